@@ -92,7 +92,7 @@ def identity_ok(a, b, identity: float) -> Column:
 
 
 def _longest(lengths: Column, test) -> Column:
-    return F.coalesce(F.element_at(F.filter(lengths, test), 1), F.lit(0)).cast("int")
+    return F.coalesce(F.get(F.filter(lengths, test), F.lit(0)), F.lit(0)).cast("int")
 
 
 def overlap_length(a, b, low, high) -> Column:

@@ -41,9 +41,11 @@ def left_local_minimum(hist: DataFrame, value: str, width: int = 1) -> DataFrame
     reach = hist.select(F.explode(F.sequence(F.greatest(F.col(value) - width, F.lit(1)), F.col(value) + 1)).alias("at"))
     sums = (hist.select(F.explode(F.sequence(F.greatest(F.col(value) - width + 1, F.lit(1)), F.col(value))).alias("at"), "n")
             .groupBy("at").agg(F.sum("n").alias("s")))
-    grid = reach.distinct().join(sums, "at", "left").select("at", F.coalesce("s", F.lit(0)).alias("s"))
+    first = hist.sparkSession.range(1, 2).select(F.col("id").alias("at"))
+    grid = (reach.unionByName(first).distinct().join(sums, "at", "left")
+            .select("at", F.coalesce("s", F.lit(0)).alias("s")))
     nxt = grid.select((F.col("at") - 1).alias("at"), F.col("s").alias("next"))
-    return (grid.join(nxt, "at").where(F.col("next") >= F.col("s"))
+    return (grid.join(nxt, "at", "left").where(F.coalesce("next", F.lit(0)) >= F.col("s"))
             .agg(F.min("at").alias("minimum")))
 
 
