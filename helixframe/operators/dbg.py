@@ -2,6 +2,6 @@ from pyspark.sql import functions as F
 from ..functions.bases import canonical, pack
 
 
-def end_kmers(contigs, k, seq="seq"):
-    ends = contigs.where(F.length(seq) >= k).select(F.explode(F.array(F.left(seq, F.lit(k)), F.right(seq, F.lit(k)))).alias("e"))
-    return ends.where(~F.contains("e", F.lit("N"))).select(pack(canonical("e")).alias("kmer")).distinct()
+def end_kmers(contigs, k, seq="seq", keep=()):
+    ends = contigs.where(F.length(seq) >= k).select(*keep, F.explode(F.array(F.left(seq, F.lit(k)), F.right(seq, F.lit(k)))).alias("e"))
+    return ends.where(~F.contains("e", F.lit("N"))).select(*keep, pack(canonical("e")).alias("kmer")).distinct()

@@ -58,7 +58,7 @@ def _packed_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return fwd, rev, unknown[k:] == unknown[:-k]
 
 
-def _emit(k: int, mode: str, positions: bool, seq: str, names: Sequence[str]):
+def _emit(k: int, mode: str, positions: bool, seq: str, names: Sequence[str], words: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
@@ -79,6 +79,13 @@ def _emit(k: int, mode: str, positions: bool, seq: str, names: Sequence[str]):
                         ok[max(0, end - k + 1):end] = False
                     at = np.flatnonzero(ok)
                     row = np.searchsorted(bounds, at, side="right") - 1
+                    if words:
+                        size = batch.column(batch.schema.get_field_index(words)).slice(first, last - first)
+                        size = np.asarray(size.to_numpy(zero_copy_only=False), np.int64)[row]
+                        off = batch.column(batch.schema.get_field_index("_off")).slice(first, last - first)
+                        place = at - bounds[row] + np.asarray(off.to_numpy(zero_copy_only=False), np.int64)[row]
+                        take = ((size - k - place) % k == 0) | (place == 0)
+                        at, row = at[take], row[take]
                     cols = [batch.column(batch.schema.get_field_index(x)).slice(first, last - first).take(pa.array(row))
                             for x in names]
                     if positions:
@@ -102,14 +109,19 @@ def _emit(k: int, mode: str, positions: bool, seq: str, names: Sequence[str]):
 
 
 def kmer_rows(df: DataFrame, k: int, keep: Sequence[str] = (), seq: str = "seq",
-              mode: str = "canonical", positions: bool = False) -> DataFrame:
+              mode: str = "canonical", positions: bool = False, words: str | None = None) -> DataFrame:
     """One row per window of k bases without N: ``keep`` columns, optional
     ``pos`` (0-based) and ``kmer`` (BIGINT for k <= 31, else STRING). Mode
     "canonical" gives the smaller strand, "forward" the text as it stands and
-    "both" the two strands side by side (``kmer``, ``rkmer``)."""
+    "both" the two strands side by side (``kmer``, ``rkmer``). With ``words``
+    (a kept column with the sequence length) only every k-th window is given,
+    counted from the 3' end, and the first window of the sequence."""
     src = df.select(*keep, seq)
     if k > PACKED_MAX:
-        return _string_rows(src, k, keep, seq, mode, positions)
+        rows = _string_rows(src, k, keep, seq, mode, positions or bool(words))
+        if words:
+            rows = rows.where(((F.col(words) - k - F.col("pos")) % k == 0) | (F.col("pos") == 0))
+        return rows if positions else rows.drop("pos")
     src = cut_long(src, k, seq)
     fields = [src.schema[x] for x in keep]
     if positions:
@@ -117,7 +129,7 @@ def kmer_rows(df: DataFrame, k: int, keep: Sequence[str] = (), seq: str = "seq",
     fields.append(T.StructField("kmer", T.LongType()))
     if mode == "both":
         fields.append(T.StructField("rkmer", T.LongType()))
-    return src.mapInArrow(_emit(k, mode, positions, seq, list(keep)), T.StructType(fields))
+    return src.mapInArrow(_emit(k, mode, positions, seq, list(keep), words), T.StructType(fields))
 
 
 def _string_rows(src: DataFrame, k: int, keep, seq: str, mode: str, positions: bool) -> DataFrame:
