@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.bases import c, canonical, pack, revcomp
+from ..functions.bases import c, revcomp
 from .kmers import kmer_rows
 
+_CODES = np.full(256, 5, np.uint64)
+_CODES_RC = np.full(256, 5, np.uint64)
+for _i, _b in enumerate(b"ACGT"):
+    _CODES[_b], _CODES_RC[_b] = _i + 1, 4 - _i
+
 
 def _bounded_levenshtein(a, b, limit) -> Column:
     return F.levenshtein(a, b) <= limit
@@ -29,43 +36,76 @@ def canonical_pair(id1, id2) -> Column:
     return F.struct(F.when(turn, -b).otherwise(a).alias("id1"), F.when(turn, -a).otherwise(b).alias("id2"))
 
 
-def exact_overlaps(contigs: DataFrame, seed: int, min_overlap: int, min_len: int = 0,
-                   key: str = "contig_id") -> DataFrame:
+# fixed values: odd bases of the two text digests
+DIGEST_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_MASK = (1 << 64) - 1
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _end_digests(low: int):
+    """Digest of every prefix and suffix of at least ``low`` bases, for the text
+    and its reverse complement: sums of code times base power, so a suffix is a
+    difference of two sums shifted back by an inverse power."""
+    inverse = [pow(b, -1, 1 << 64) for b in DIGEST_BASES]
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], []]
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                n = len(text)
+                if n < low:
+                    continue
+                raw = np.frombuffer(text.encode("ascii"), np.uint8)
+                sizes = np.arange(low, n + 1)
+                for strand in (1, -1):
+                    codes = _CODES[raw] if strand > 0 else _CODES_RC[raw[::-1]]
+                    pre, suf = [], []
+                    for base, back in zip(DIGEST_BASES, inverse):
+                        sums = np.zeros(n + 1, np.uint64)
+                        sums[1:] = np.cumsum(codes * _powers(base, n), dtype=np.uint64)
+                        pre.append(sums[sizes].view(np.int64))
+                        suf.append(((sums[n] - sums[n - sizes]) * _powers(back, n + 1)[n - sizes]).view(np.int64))
+                    for kind, dig in ((0, pre), (1, suf)):
+                        out[0].append(np.full(len(sizes), i * strand, np.int64))
+                        out[1].append(np.full(len(sizes), n, np.int32))
+                        out[2].append(np.full(len(sizes), kind, np.int8))
+                        out[3].append(sizes.astype(np.int32))
+                        out[4].append(dig[0])
+                        out[5].append(dig[1])
+            if out[0]:
+                cols = [np.concatenate(x) for x in out]
+                for q in range(0, len(cols[0]), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[q:q + (1 << 17)]) for x in cols],
+                                                     names=["id", "len", "kind", "n", "h1", "h2"])
+    return run
+
+
+def exact_overlaps(contigs: DataFrame, min_overlap: int, min_len: int = 0, key: str = "contig_id") -> DataFrame:
     """Longest exact overlaps (id1, id2, length), signed 1-based ids with
     |id1| < |id2|; sequence id1 read in its direction runs into id2.
 
-    A seed at one end of the lower-numbered contig meets the windows of
-    higher-numbered ones, then the whole overlap must agree. Each contig offers
-    two end seeds, so a seed word shared by many ends is first reduced to the
-    contigs that hold it; the windows of the other side are the large side of
-    the join and carry no text, only ids and positions.
+    Suffixes meet prefixes by (length, digest), so only ends that really
+    overlap come together: a word that fills the inside of many contigs makes
+    no candidates. The text is compared before a pair counts.
     """
-    base = contigs.where((F.length("seq") >= min_len) & (F.length("seq") >= seed)).select(
-        (F.col(key) + 1).alias("id"), "seq", F.length("seq").alias("len"))
-    ends = base.select("id", "len", F.explode(F.array(
-        F.struct(F.lit(-1).alias("side"), F.left("seq", F.lit(seed)).alias("w")),
-        F.struct(F.lit(1).alias("side"), F.right("seq", F.lit(seed)).alias("w")))).alias("e"))
-    ends = ends.where(~F.contains("e.w", F.lit("N"))).select("id", "len", "e.side", "e.w")
-    # the same word forward or turned round on the other contig
-    ask = ends.select("id", "len", "side", F.explode(F.array(
-        F.struct(F.lit(1).alias("strand"), pack("w").alias("kmer")),
-        F.struct(F.lit(-1).alias("strand"), pack(revcomp("w")).alias("kmer")))).alias("q")).select("id", "len", "side", "q.*")
-    windows = kmer_rows(base, seed, keep=["id", "len"], mode="forward", positions=True).select(
-        F.col("id").alias("oid"), F.col("len").alias("olen"), "pos", "kmer")
-    hit = ask.join(windows, "kmer").where("oid > id")
-    # length of the overlap that the seed position implies
-    to_end, to_start = F.col("olen") - F.col("pos"), F.col("pos") + seed
-    n = F.when(F.col("side") * F.col("strand") < 0, to_end).otherwise(to_start)
-    hit = hit.select("id", "oid", "side", "strand", n.alias("n")).where((F.col("n") >= min_overlap) & (F.col("n") <= F.col("len")))
-    left = base.select("id", F.col("seq").alias("a"))
-    right = base.select(F.col("id").alias("oid"), F.col("seq").alias("b0"))
-    full = hit.join(left, "id").join(right, "oid").withColumn(
-        "b", F.when(F.col("strand") > 0, F.col("b0")).otherwise(revcomp("b0")))
-    agree = F.when(F.col("side") > 0, F.right("a", F.col("n")) == F.left("b", F.col("n"))).otherwise(
-        F.left("a", F.col("n")) == F.right("b", F.col("n")))
-    found = full.where(agree & (F.col("n") <= F.length("b")))
-    return found.groupBy((F.col("id") * F.col("side")).alias("id1"), (F.col("oid") * F.col("side") * F.col("strand")).alias("id2")).agg(
-        F.max("n").cast("int").alias("length"))
+    base = contigs.where(F.length("seq") >= max(min_len, min_overlap)).select((F.col(key) + 1).alias("id"), "seq")
+    ends = base.mapInArrow(_end_digests(min_overlap), "id bigint, len int, kind byte, n int, h1 bigint, h2 bigint")
+    suf = ends.where("kind = 1").select(F.col("id").alias("id1"), "n", "h1", "h2")
+    pre = ends.where("kind = 0").select(F.col("id").alias("id2"), "n", "h1", "h2")
+    hit = suf.join(pre, ["n", "h1", "h2"]).where(F.abs("id1") < F.abs("id2"))
+    text = lambda k: base.select(F.col("id").alias("_" + k), F.col("seq").alias("t_" + k))
+    full = (hit.select("id1", "id2", "n").withColumn("_a", F.abs("id1")).withColumn("_b", F.abs("id2"))
+            .join(text("a"), "_a").join(text("b"), "_b"))
+    # only the two ends are needed: a suffix of the turned text is a turned prefix
+    end1 = F.when(F.col("id1") > 0, F.right("t_a", F.col("n"))).otherwise(revcomp(F.left("t_a", F.col("n"))))
+    end2 = F.when(F.col("id2") > 0, F.left("t_b", F.col("n"))).otherwise(revcomp(F.right("t_b", F.col("n"))))
+    known = full.where((end1 == end2) & ~F.contains(end1, F.lit("N")))
+    return known.groupBy("id1", "id2").agg(F.max("n").cast("int").alias("length"))
 
 
 def lookup_overlap(pairs: DataFrame, overlaps: DataFrame) -> DataFrame:
@@ -82,8 +122,8 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
 
     Exact copies go first, by grouping on a digest of the canonical text: a
     group of copies of any size collapses by aggregation and never forms pairs.
-    Of the remaining distinct texts, prefixes meet the windows of longer ones
-    and the rest of the text is compared at that place.
+    Of the remaining distinct texts, each is looked up by its rarest word of
+    ``prefix`` bases in the others and the whole text is compared at that place.
     """
     text = F.least(F.col("seq"), revcomp("seq"))
     cl = F.col(cluster) if cluster else F.lit(0)
@@ -100,15 +140,26 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
         first = base.groupBy("_d").agg(F.min("id").alias("f"))
         copies = base.join(first, "_d").where("id > f").select("id")
         kept = base.join(copies, "id", "left_anti")
-    probe = kept.where(F.length("seq") >= prefix).select(
+    rows = kmer_rows(kept, prefix, keep=["id", "len", "cl"], mode="both", positions=True)
+    rows = rows.select("id", "len", "cl", "pos", F.least("kmer", "rkmer").alias("kmer"),
+                       F.when(F.col("kmer") <= F.col("rkmer"), 1).otherwise(-1).alias("s"))
+    seen = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("seen"))
+    # the rarest word of a text is its anchor: common words never open groups
+    anchor = rows.join(seen, "kmer").groupBy("id", "len", "cl").agg(F.min(F.struct("seen", "kmer", "pos", "s")).alias("a"))
+    probe = anchor.where("a.seen > 1").select(
         F.col("id").alias("in_id"), F.col("len").alias("in_len"), F.col("cl").alias("in_cl"),
-        pack(F.left("seq", F.lit(prefix))).alias("kmer"), F.contains(F.left("seq", F.lit(prefix)), F.lit("N")).alias("_n")).where("not _n").drop("_n")
-    both = kept.select("id", "len", "cl", F.explode(F.array(F.struct(F.lit(1).alias("strand"), F.col("seq").alias("seq")),
-                                                            F.struct(F.lit(-1).alias("strand"), revcomp("seq").alias("seq")))).alias("o")).select(
-        "id", "len", "cl", "o.*")
-    windows = kmer_rows(both, prefix, keep=["id", "strand", "len", "cl"], mode="forward", positions=True)
-    hit = windows.join(probe, "kmer").where(
-        (F.col("id") != F.col("in_id")) & (F.col("len") > F.col("in_len")) & (F.col("len") - F.col("pos") >= F.col("in_len")))
+        F.col("a.kmer").alias("kmer"), F.col("a.pos").alias("in_pos"), F.col("a.s").alias("in_s"))
+    hit = rows.join(probe, "kmer").where((F.col("id") != F.col("in_id")) & (F.col("len") > F.col("in_len")))
+    # start of the inner text in the outer one, read on the strand that agrees;
+    # a word that equals its own reverse complement fits both strands
+    same = F.col("s") == F.col("in_s")
+    fwd = F.struct(F.lit(1).alias("strand"), (F.col("pos") - F.col("in_pos")).alias("pos"))
+    rev = F.struct(F.lit(-1).alias("strand"), (F.col("len") - F.col("pos") - prefix - F.col("in_pos")).alias("pos"))
+    both_ways = F.lit(prefix % 2 == 0)
+    place = F.explode(F.when(both_ways, F.array(fwd, rev)).when(same, F.array(fwd)).otherwise(F.array(rev)))
+    hit = hit.select("id", "len", "cl", "in_id", "in_len", "in_cl", place.alias("p")).select(
+        "id", "len", "cl", "in_id", "in_len", "in_cl", "p.strand", "p.pos")
+    hit = hit.where((F.col("pos") >= 0) & (F.col("pos") + F.col("in_len") <= F.col("len")))
     if cluster:
         hit = hit.where((F.col("in_cl") == 0) | (F.col("in_cl") == F.col("cl")))
     hit = hit.select("id", "strand", "pos", "in_id", "in_len")

@@ -60,20 +60,22 @@ def _block_window(keys, order):
     return Window.partitionBy(*keys, "_blk").orderBy(*order)
 
 
-def lagged(blocks: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
-    """Value of the previous row in (keys, order) for ``columns`` {source: name}.
-    Rows that open a block take the last row of the block before."""
+def lagged(blocks: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str],
+           ahead: bool = False) -> DataFrame:
+    """Value of the previous (or, with ``ahead``, next) row in (keys, order) for
+    ``columns`` {source: name}. Rows at the edge of a block take the nearest row
+    of the neighbouring block."""
     w = _block_window(keys, order)
     packed = F.struct(*[F.col(s).alias(n) for s, n in columns.items()])
-    last = (blocks.groupBy(*keys, "_blk").agg(F.max_by(packed, F.struct(*order)).alias("_last")))
-    carry = last.select(*keys, "_blk", F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy("_blk")).alias("_carry"))
-    local = blocks.withColumn("_prev", F.lag(packed).over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    joined = local.join(carry, [*keys, "_blk"], "left")
-    prev = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))
+    pick = F.min_by if ahead else F.max_by
+    edge = blocks.groupBy(*keys, "_blk").agg(pick(packed, F.struct(*order)).alias("_edge"))
+    shift = F.lead if ahead else F.lag
+    carry = edge.select(*keys, "_blk", shift("_edge").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_carry"))
+    joined = blocks.withColumn("_near", shift(packed).over(w)).join(carry, [*keys, "_blk"], "left")
+    near = F.coalesce("_near", "_carry")
     for n in columns.values():
-        joined = joined.withColumn(n, prev[n])
-    return joined.drop("_prev", "_first", "_carry")
+        joined = joined.withColumn(n, near[n])
+    return joined.drop("_near", "_carry")
 
 
 def running_sum(blocks: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
@@ -86,3 +88,14 @@ def running_sum(blocks: DataFrame, keys: Sequence[str], order: Sequence[str], va
     w = _block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return (blocks.withColumn("_in", F.sum(value).over(w)).join(before, [*keys, "_blk"], "left")
             .withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before"))
+
+
+def halo_blocks(df: DataFrame, position: str, size: int, reach: int) -> DataFrame:
+    """Give each row to the coordinate block (column ``_blk``) of its position
+    and to the earlier blocks whose rows look ``reach`` positions ahead. Frames
+    of at most ``reach`` rows then never cross a block; rows with ``_own`` are
+    the ones to keep. Positions must be unique within the partition keys."""
+    p = F.col(position)
+    first = F.floor(F.greatest(p - reach, F.lit(0)) / size)
+    return (df.withColumn("_blk", F.explode(F.sequence(first, F.floor(p / size))))
+            .withColumn("_own", F.col("_blk") == F.floor(p / size)))

@@ -125,7 +125,7 @@ def map_with_bubbles(spark, d):
       UNION ALL SELECT -x, -y, n FROM p WHERE left(sa, n) = right(sb, n))
     SELECT x AS id1, y AS id2, cast(max(n) as int) AS length FROM q GROUP BY ALL""", "contigs"))
 def overlap_exact(spark, d):
-    return ov.exact_overlaps(fx.contigs(spark, d), 6, 6)
+    return ov.exact_overlaps(fx.contigs(spark, d), 6)
 
 
 @query("overlap_lookup", "J18 J20 P17", sql(r"""
@@ -135,7 +135,7 @@ def overlap_exact(spark, d):
     SELECT -p.id2 AS id1, -p.id1 AS id2, cast(coalesce(n, 0) as int) AS overlap FROM p LEFT JOIN n ON n.id1 = p.id1 AND n.id2 = p.id2""", "contigs"))
 def overlap_lookup(spark, d):
     c = fx.contigs(spark, d)
-    o = ov.exact_overlaps(c, 6, 6)
+    o = ov.exact_overlaps(c, 6)
     # asked for the wrong way round on purpose
     ids = c.where(F.length("seq") >= 6).select((F.col("contig_id") + 1).alias("i"))
     nxt = ids.select((F.col("i") - 1).alias("i"), F.col("i").alias("j"))
