@@ -54,60 +54,30 @@ def oriented(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
     return segs.select(F.explode(rows).alias("o"), "n_kmer", "cov").select("o.*", "n_kmer", "cov")
 
 
-def neighbours(orient: DataFrame) -> DataFrame:
-    """Degrees and single neighbours of each direction: (key, n_in, n_out, prev,
-    next); prev/next only when there is exactly one."""
-    meet = (orient.select("key", F.explode(F.array(F.struct(F.col("suf").alias("q"), F.lit(0).alias("out")),
-                                                   F.struct(F.col("pre").alias("q"), F.lit(1).alias("out")))).alias("m"))
-            .select("key", "m.q", "m.out"))
-    # at most 4 + 4 members per word
-    g = meet.groupBy("q").agg(F.collect_list(F.when(F.col("out") == 0, F.col("key"))).alias("ins"),
-                              F.collect_list(F.when(F.col("out") == 1, F.col("key"))).alias("outs"))
-    one = lambda a: F.when(F.size(a) == 1, F.get(F.col(a), F.lit(0)))
-    tails = g.select(F.explode("ins").alias("key"), F.size("outs").alias("n_out"), one("outs").alias("next"))
-    heads = g.select(F.explode("outs").alias("key"), F.size("ins").alias("n_in"), one("ins").alias("prev"))
-    return tails.join(heads, "key")
-
-
 def _chains(links: DataFrame, all_keys: DataFrame) -> DataFrame:
-    """(key, head, dist) by pointer doubling over ``links`` (key, prev). Keys in
-    rings are opened before their smallest member."""
-    state = materialize(all_keys.select("key").join(links, "key", "left").select(
+    """(key, head, dist) by pointer doubling over ``links`` (key, prev). Each
+    round writes only the rows that are still moving. Keys in rings are opened
+    before their smallest member."""
+    start = materialize(all_keys.select("key").join(links, "key", "left").select(
         "key", F.coalesce("prev", "key").alias("head"), F.when(F.col("prev").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
         F.col("prev").isNull().alias("done"), F.least(F.col("key"), F.coalesce("prev", "key")).alias("low")), "chain")
-    finished = None
-    active = state
-    steps = 1
-    while True:
-        done = active.where("done")
-        finished = done if finished is None else finished.unionByName(done)
-        open_rows = active.where("not done")
-        if is_empty(open_rows):
-            break
-        # the pointer target may be finished already or still moving
-        target = state.select(F.col("key").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"),
-                              F.col("done").alias("end2"), F.col("low").alias("l2"))
-        moved = materialize(open_rows.join(target, "head").select(
+    finished, active = start.where("done"), start.where("not done")
+    while not is_empty(active):
+        target = finished.unionByName(active).select(
+            F.col("key").alias("head"), F.col("head").alias("h2"), F.col("dist").alias("d2"), F.col("done").alias("end2"), F.col("low").alias("l2"))
+        moved = materialize(active.join(target, "head").select(
             "key", F.col("h2").alias("head"), (F.col("dist") + F.col("d2")).alias("dist"), F.col("end2").alias("done"),
             F.least("low", "l2").alias("low")), "chain")
-        kept = state.join(moved.select("key"), "key", "left_anti")
-        state = materialize(kept.unionByName(moved), "chain")
-        active = moved
-        steps *= 2
-        if steps > 2 and is_empty(moved.where("done")):
-            # nothing ended in this doubling: what is left may be rings, whose
-            # low mark stops changing once the doubling has gone all round
-            before = open_rows.select("key", F.col("low").alias("l0"))
+        if is_empty(moved.where("done")):
+            # no end was reached: rings, once their low mark has gone all round
+            before = active.select("key", F.col("low").alias("l0"))
             if is_empty(moved.join(before, "key").where("low < l0")):
-                break
-    rest = state.where("not done")
-    if not is_empty(rest):
-        ring = materialize(rest.select("key", "low"), "rings")
-        # the ring opens before its smallest key; the rest follows from there
-        cut = links.join(ring.select("key", "low"), "key").where("key <> low").select("key", "prev")
-        opened = _chains(cut, ring.select("key"))
-        return state.where("done").select("key", "head", "dist").unionByName(opened)
-    return state.select("key", "head", "dist")
+                ring = materialize(moved.select("key", "low"), "rings")
+                cut = links.join(ring, "key").where("key <> low").select("key", "prev")
+                opened = _chains(materialize(cut, "ring-links"), ring.select("key"))
+                return finished.select("key", "head", "dist").unionByName(opened)
+        finished, active = finished.unionByName(moved.where("done")), moved.where("not done")
+    return finished.select("key", "head", "dist")
 
 
 def compact(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
@@ -115,7 +85,7 @@ def compact(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
     (scope, seq, n_kmer, cov, n_in, n_out, junction)."""
     segs = materialize(segs.select("scope", "seq", "n_kmer", "cov"), "segments")
     orient = materialize(oriented(segs, k, stranded), "oriented")
-    near = materialize(orient.select("key", "rkey").join(neighbours_full(orient), "key", "left").na.fill(0, ["n_in", "n_out"]), "near")
+    near = materialize(orient.select("key", "rkey").join(neighbours(orient), "key", "left").na.fill(0, ["n_in", "n_out"]), "near")
     plain = near.where("n_in <= 1 and n_out <= 1")
     # a joint needs a straight segment on both sides, and no turning on the spot
     a = plain.where("next is not null").select(F.col("key").alias("prev"), F.col("next").alias("key"), F.col("rkey").alias("_r"))
@@ -143,7 +113,7 @@ def compact(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
     return materialize(out.withColumn("junction", (F.col("n_in") > 1) | (F.col("n_out") > 1)), "compact")
 
 
-def neighbours_full(orient: DataFrame) -> DataFrame:
+def neighbours(orient: DataFrame) -> DataFrame:
     """As ``neighbours`` for all keys, also those with a free end."""
     meet = (orient.select("key", F.explode(F.array(F.struct(F.col("suf").alias("q"), F.lit(0).alias("out")),
                                                    F.struct(F.col("pre").alias("q"), F.lit(1).alias("out")))).alias("m"))
@@ -164,7 +134,7 @@ def neighbours_full(orient: DataFrame) -> DataFrame:
 def _around(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
     """Directions with degrees, single neighbours and the junction marks of those."""
     o = materialize(oriented(segs, k, stranded), "oriented")
-    n = materialize(o.join(neighbours_full(o), "key", "left").na.fill(0, ["n_in", "n_out"]), "around")
+    n = materialize(o.join(neighbours(o), "key", "left").na.fill(0, ["n_in", "n_out"]), "around")
     j = n.select("key", ((F.col("n_in") > 1) | (F.col("n_out") > 1)).alias("j"))
     return (n.join(j.select("key", F.col("j").alias("junction")), "key")
             .join(j.select(F.col("key").alias("prev"), F.col("j").alias("prev_j")), "prev", "left")

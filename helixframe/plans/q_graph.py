@@ -11,6 +11,7 @@ from .catalog import query
 from .fixtures import canon_sql, kmers_sql, sql
 
 K = 9
+ARM = 13
 
 _RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 GRAPH_SQL = ", " + kmers_sql("contigs", "ck", "contig_id", K) + f""",
@@ -31,6 +32,31 @@ GRAPH_SQL = ", " + kmers_sql("contigs", "ck", "contig_id", K) + f""",
     se AS (SELECT seq, n_kmer, cov, junction, left(seq, {K - 1}) AS pre, right(seq, {K - 1}) AS suf, least(left(seq, {K}), {_RC.format(f'right(seq, {K})')}) AS name FROM sg)"""
 
 
+def arms_table(spark, d):
+    """Contigs three times over, each with a second arm (middle base changed)
+    and a dead end (the first part with its last base changed)."""
+    c = fx.contigs(spark, d).where(F.length("seq") >= 100).select("contig_id", "seq")
+    n = F.length("seq")
+    mid = F.floor(n / 2).cast("int")
+    flip = lambda at: F.translate(F.substring(F.col("seq"), at, F.lit(1)), "ACGT", "CGTA")
+    arm = F.concat(F.left("seq", mid - 1), flip(mid), F.substring(F.col("seq"), mid + 1, n))
+    tip = F.concat(F.substring(F.col("seq"), F.lit(1), F.lit(29)), flip(F.lit(30)), F.substring(F.col("seq"), F.lit(31), F.lit(5)))
+    return c.select(F.explode(F.array("seq", "seq", "seq", arm, tip)).alias("seq"))
+
+
+def arms_graph(spark, d):
+    return dbg.compact(dbg.as_segments(km.count_kmers(km.kmer_rows(arms_table(spark, d), ARM)), ARM), ARM)
+
+
+_FLIP = "translate(substring(seq, {0}, 1), 'ACGT', 'CGTA')"
+_ARMS = f""", cc AS (SELECT contig_id, seq, cast(length(seq) // 2 as int) AS mid FROM contigs WHERE length(seq) >= 100),
+    av AS (SELECT contig_id, seq FROM cc UNION ALL SELECT contig_id, seq FROM cc UNION ALL SELECT contig_id, seq FROM cc
+      UNION ALL SELECT contig_id, left(seq, mid - 1) || {_FLIP.format('mid')} || substring(seq, mid + 1) FROM cc
+      UNION ALL SELECT contig_id, left(seq, 29) || {_FLIP.format('30')} || substring(seq, 31, 5) FROM cc)"""
+ARMS_SQL = _ARMS + GRAPH_SQL.replace("FROM contigs)", "FROM av)").replace(", 9)", f", {ARM})").replace("+ 1, 9)", f"+ 1, {ARM})").replace(
+    "- 9 + 1", f"- {ARM} + 1").replace(", 8)", f", {ARM - 1})")
+
+
 def graph(spark, d):
     c = fx.contigs(spark, d)
     return dbg.compact(dbg.as_segments(km.count_kmers(km.kmer_rows(c, K)), K), K)
@@ -47,31 +73,38 @@ def junction_kmers(spark, d):
     return dbg.junctions(graph(spark, d)).select(canonical("seq").alias("kmer"), F.col("cov").cast("bigint").alias("occ"))
 
 
-_TIPS = f""", dd AS (SELECT a.*, (SELECT count(*) FROM se b WHERE b.suf = a.pre) AS n_in, (SELECT count(*) FROM se b WHERE b.pre = a.suf) AS n_out,
-      (SELECT bool_or(b.junction) FROM se b WHERE b.suf = a.pre) AS pj FROM se a WHERE n_kmer <= {K} AND NOT junction),
+_TIPS = """, dd AS (SELECT a.*, (SELECT count(*) FROM se b WHERE b.suf = a.pre) AS n_in, (SELECT count(*) FROM se b WHERE b.pre = a.suf) AS n_out,
+      (SELECT bool_or(b.junction) FROM se b WHERE b.suf = a.pre) AS pj FROM se a WHERE n_kmer <= 13 AND NOT junction),
     tp AS (SELECT DISTINCT name FROM dd WHERE n_out = 0 AND n_in = 1 AND pj
       AND cov <= 0.5 * coalesce((SELECT max(cov) FROM se b WHERE b.pre = dd.pre AND b.seq <> dd.seq), 0))"""
 
 
-@query("tip_candidates", "G3", sql(GRAPH_SQL + _TIPS + " SELECT name FROM tp", "contigs"))
+@query("tip_candidates", "G3", sql(ARMS_SQL + _TIPS + " SELECT name FROM tp", "contigs"))
 def tip_candidates(spark, d):
-    return dbg.tips(graph(spark, d), K).select(F.substring("name", 2, K).alias("name"))
+    return dbg.tips(arms_graph(spark, d), ARM).select(F.substring("name", 2, ARM).alias("name"))
 
 
 @query("tips_cut_to_fixpoint", "G4 G10", None)
 def tips_cut_to_fixpoint(spark, d):
-    return dbg.cut_tips(graph(spark, d), K).select(canonical("seq").alias("seq"), "n_kmer", "cov", "junction")
+    return dbg.cut_tips(arms_graph(spark, d), ARM).select(canonical("seq").alias("seq"), "n_kmer", "cov", "junction")
 
 
-@query("bubble_pairs", "G5 G6", None)
+@query("bubble_pairs", "G5 G6", sql(ARMS_SQL + f"""
+    , ad AS (SELECT a.*, (SELECT count(*) FROM se b WHERE b.suf = a.pre) AS n_in, (SELECT count(*) FROM se b WHERE b.pre = a.suf) AS n_out,
+      (SELECT min(b.seq) FROM se b WHERE b.suf = a.pre AND b.junction) AS prev, (SELECT min(b.seq) FROM se b WHERE b.pre = a.suf AND b.junction) AS next FROM se a WHERE NOT junction),
+    ar AS (SELECT * FROM ad WHERE n_in = 1 AND n_out = 1 AND prev IS NOT NULL AND next IS NOT NULL),
+    pp AS (SELECT a.name, b.name AS keeper, a.n_kmer, round(a.cov, 6) AS cov, a.seq AS s, b.seq AS t, b.n_kmer AS bn FROM ar a JOIN ar b
+      ON a.prev = b.prev AND a.next = b.next AND a.name <> b.name AND (a.cov < b.cov OR (a.cov = b.cov AND (a.n_kmer < b.n_kmer OR (a.n_kmer = b.n_kmer AND a.name < b.name)))))
+    SELECT DISTINCT name, keeper, n_kmer, cov FROM pp WHERE CASE WHEN least(n_kmer, bn) + 1 <= {ARM} THEN abs(n_kmer - bn) <= floor((greatest(n_kmer, bn) + {ARM} - 1) * 0.1 + 0.5)
+      ELSE levenshtein(substring(s, {ARM}, cast(n_kmer as int) - {ARM} + 1), substring(t, {ARM}, cast(bn as int) - {ARM} + 1)) <= floor((greatest(n_kmer, bn) + {ARM} - 1) * 0.1 + 0.5) END""", "contigs"))
 def bubble_pairs(spark, d):
-    return dbg.bubble_arms(graph(spark, d), K, 0.4).select(
-        F.substring("name", 2, K).alias("name"), F.substring("keeper", 2, K).alias("keeper"), "n_kmer", F.round("cov", 6).alias("cov"))
+    return dbg.bubble_arms(arms_graph(spark, d), ARM, 0.1).select(
+        F.substring("name", 2, ARM).alias("name"), F.substring("keeper", 2, ARM).alias("keeper"), "n_kmer", F.round("cov", 6).alias("cov"))
 
 
 @query("bubbles_crushed", "G7", None)
 def bubbles_crushed(spark, d):
-    return dbg.crush_bubbles(graph(spark, d), K, 0.4).select(canonical("seq").alias("seq"), "n_kmer", "cov", "junction")
+    return dbg.crush_bubbles(arms_graph(spark, d), ARM, 0.1).select(canonical("seq").alias("seq"), "n_kmer", "cov", "junction")
 
 
 @query("weak_unitigs", "G8 A31", sql(GRAPH_SQL + """
@@ -88,8 +121,8 @@ def weak_unitigs_removed(spark, d):
 
 @query("coverage_without_bubbles", "A32", None)
 def coverage_without_bubbles(spark, d):
-    g = graph(spark, d)
-    return dbg.mean_coverage_without_bubbles(g, dbg.bubble_arms(g, K, 0.4), K)
+    g = arms_graph(spark, d)
+    return dbg.mean_coverage_without_bubbles(g, dbg.bubble_arms(g, ARM, 0.1), ARM)
 
 
 @query("unitig_seed_counts", "G13", sql(GRAPH_SQL + f""", us AS (SELECT seq, cast(floor(cov + 0.5) as int) AS cov FROM ut UNION ALL
