@@ -91,10 +91,13 @@ def compact(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
     a = plain.where("next is not null").select(F.col("key").alias("prev"), F.col("next").alias("key"), F.col("rkey").alias("_r"))
     links = a.where("key <> prev and key <> _r").join(plain.select("key"), "key", "left_semi").select("key", "prev")
     chain = materialize(_chains(materialize(links, "links"), near.select("key")), "chains")
-    # each chain appears in both directions; keep the one that starts lower
-    tail = chain.groupBy("head").agg(F.max_by("key", "dist").alias("t"))
-    turned = tail.join(near.select(F.col("key").alias("t"), F.col("rkey").alias("back")), "t")
-    keep = turned.where(F.col("head") <= F.col("back")).select("head") if not stranded else tail.select("head")
+    # each chain (or ring) appears in both directions; keep the one that holds
+    # the lower key
+    if stranded:
+        keep = chain.select("head").distinct()
+    else:
+        low = chain.join(near.select("key", "rkey"), "key").groupBy("head").agg(F.min("key").alias("a"), F.min("rkey").alias("b"))
+        keep = low.where("a <= b").select("head")
     text = segs.select(segment_key("seq", k).alias("key"), "scope", "seq", "n_kmer", "cov")
     if not stranded:
         text = text.unionByName(segs.select(F.concat("scope", F.lit(":"), revcomp(F.right("seq", F.lit(k)))).alias("key"), "scope",

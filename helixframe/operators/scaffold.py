@@ -78,8 +78,14 @@ def path_joins(edges: DataFrame) -> DataFrame:
     keys = m.select(F.col("u").alias("k")).unionByName(m.select(F.col("v").alias("k"))).distinct()
     text = lambda x: F.col(x).cast("string")
     chain = materialize(_chains(m.select(text("v").alias("key"), text("u").alias("prev")), keys.select(text("k").alias("key"))), "paths")
-    tail = chain.groupBy("head").agg(F.max_by("key", "dist").alias("t"))
-    keep = tail.where(F.col("head").cast("bigint") >= -F.col("t").cast("bigint")).select("head")
+    num = F.col("key").cast("bigint")
+    g = chain.groupBy("head").agg(F.max_by("key", "dist").alias("t"), F.min(num).alias("low"), F.min(-num).alias("back"))
+    # chains are read from the end with the larger signed id, rings from the
+    # direction that holds the lower one
+    ring = g.join(m.select(text("v").alias("head")).distinct(), "head", "left_semi").where("low <= back").select("head")
+    line = g.join(m.select(text("v").alias("head")).distinct(), "head", "left_anti").where(
+        F.col("head").cast("bigint") >= -F.col("t").cast("bigint")).select("head")
+    keep = line.unionByName(ring)
     return chain.join(keep, "head").select(F.col("head").cast("bigint").alias("head"), F.col("key").cast("bigint").alias("node"), "dist")
 
 

@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL twins on DuckDB.
 
-    python tests/oracle.py [--sf 0.001] [name-part ...]
+    python tests/oracle.py [--sf 0.001] [--sql] [name-part ...]
 """
 
 from __future__ import annotations
@@ -76,11 +76,13 @@ def main(argv):
         sf = argv[i + 1]
         del argv[i:i + 2]
     sf_dir = f"{DATA}/sf{sf}"
+    only_sql = "--sql" in argv
+    argv = [a for a in argv if a != "--sql"]
     spark = local_session()
     con = connect(sf_dir)
     bad = []
     for name, q in catalog.load().items():
-        if argv and not any(a in name for a in argv):
+        if (argv and not any(a in name for a in argv)) or (only_sql and not q.sql):
             continue
         try:
             ok, msg, sec = compare(spark, con, q, sf_dir)
