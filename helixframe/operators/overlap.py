@@ -7,8 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bases import c, revcomp
+from ..session import materialize
 from .kmers import kmer_rows
 
+# fixed values: masks that give candidate words their different orders
+ANCHOR_MASKS = (0x15A3C96E2F4B87D1, 0x2C7E91B5D3A8640F, 0x39D4076AEB512C8E, 0x064FB83C7192DEA5)
+
 _CODES = np.full(256, 5, np.uint64)
 _CODES_RC = np.full(256, 5, np.uint64)
 for _i, _b in enumerate(b"ACGT"):
@@ -122,12 +126,13 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
 
     Exact copies go first, by grouping on a digest of the canonical text: a
     group of copies of any size collapses by aggregation and never forms pairs.
-    Of the remaining distinct texts, each is looked up by its rarest word of
-    ``prefix`` bases in the others and the whole text is compared at that place.
+    Of the remaining distinct texts, each is looked up by the rarest of a few of
+    its words of ``prefix`` bases and the whole text is compared at that place.
     """
     text = F.least(F.col("seq"), revcomp("seq"))
     cl = F.col(cluster) if cluster else F.lit(0)
     base = seqs.select(F.col(key).alias("id"), "seq", cl.alias("cl"), F.length("seq").alias("len"), F.sha2(text, 256).alias("_d"))
+    base = materialize(base, "texts")
     if cluster:
         # a copy is redundant when an earlier one has its cluster or it has none
         first_any = base.groupBy("_d").agg(F.min("id").alias("f"))
@@ -140,16 +145,25 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
         first = base.groupBy("_d").agg(F.min("id").alias("f"))
         copies = base.join(first, "_d").where("id > f").select("id")
         kept = base.join(copies, "id", "left_anti")
-    rows = kmer_rows(kept, prefix, keep=["id", "len", "cl"], mode="both", positions=True)
-    rows = rows.select("id", "len", "cl", "pos", F.least("kmer", "rkmer").alias("kmer"),
-                       F.when(F.col("kmer") <= F.col("rkmer"), 1).otherwise(-1).alias("s"))
-    seen = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("seen"))
-    # the rarest word of a text is its anchor: common words never open groups
-    anchor = rows.join(seen, "kmer").groupBy("id", "len", "cl").agg(F.min(F.struct("seen", "kmer", "pos", "s")).alias("a"))
-    probe = anchor.where("a.seen > 1").select(
-        F.col("id").alias("in_id"), F.col("len").alias("in_len"), F.col("cl").alias("in_cl"),
-        F.col("a.kmer").alias("kmer"), F.col("a.pos").alias("in_pos"), F.col("a.s").alias("in_s"))
-    hit = rows.join(probe, "kmer").where((F.col("id") != F.col("in_id")) & (F.col("len") > F.col("in_len")))
+    rows = kmer_rows(kept, prefix, keep=["id"], mode="both", positions=True)
+    rows = rows.select("id", "pos", F.least("kmer", "rkmer").alias("kmer"), F.when(F.col("kmer") <= F.col("rkmer"), 1).otherwise(-1).alias("s"))
+    # a few candidate words a text, the smallest under different masks; masks
+    # only permute letters, so the word comes back by the same mask
+    width = (1 << (2 * prefix)) - 1
+    masks = [F.lit(m & width).cast("bigint") for m in ANCHOR_MASKS]
+    few = rows.groupBy("id").agg(*[F.min(F.col("kmer").bitwiseXOR(m)).alias(f"m{i}") for i, m in enumerate(masks)])
+    own = few.select("id", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(m) for i, m in enumerate(masks)]))).alias("kmer"))
+    own = materialize(own, "anchor-words")
+    near = rows.join(own.select("kmer").distinct(), "kmer").join(kept.select("id", "len", "cl"), "id")
+    near = materialize(near, "anchor-places")
+    seen = near.groupBy("kmer").agg(F.count(F.lit(1)).alias("seen"))
+    # the rarest candidate is the anchor: common words never open groups
+    best = own.join(seen, "kmer").groupBy("id").agg(F.min(F.struct("seen", "kmer")).alias("a")).where("a.seen > 1").select(
+        "id", F.col("a.kmer").alias("kmer"))
+    first = near.join(best, ["id", "kmer"]).groupBy("id", "kmer", "len", "cl").agg(F.min(F.struct("pos", "s")).alias("p"))
+    probe = first.select(F.col("id").alias("in_id"), F.col("len").alias("in_len"), F.col("cl").alias("in_cl"), "kmer",
+                         F.col("p.pos").alias("in_pos"), F.col("p.s").alias("in_s"))
+    hit = near.join(probe, "kmer").where((F.col("id") != F.col("in_id")) & (F.col("len") > F.col("in_len")))
     # start of the inner text in the outer one, read on the strand that agrees;
     # a word that equals its own reverse complement fits both strands
     same = F.col("s") == F.col("in_s")

@@ -40,7 +40,9 @@ def join_unique(many: DataFrame, one: DataFrame, on: Sequence[str], how: str = "
     if not hot:
         return many.join(one, on, how)
     is_hot = F.col(on[0]).isin(list(hot))
-    salted = many.withColumn("_salt", F.when(is_hot, F.floor(F.rand(7) * SALTS).cast("int")).otherwise(0))
+    # the salt follows from the row, so a task that runs again gives the same one
+    salt = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    salted = many.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     return salted.join(one.withColumn("_salt", F.explode(copies)), on + ["_salt"], how).drop("_salt")
 
