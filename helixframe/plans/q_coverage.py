@@ -216,13 +216,24 @@ def pileup(spark, d):
     return cv.pileup(iv, 0.9)
 
 
-@query("error_base_masks", "P20")
+_PILE = f""", iv AS (SELECT node, tag % 3 = 0 AS odd, s - {BASE} AS s, e - {BASE} AS e FROM intervals),
+    st AS (SELECT node, s AS pos, CASE WHEN odd THEN 0 ELSE 1 END AS g, CASE WHEN odd THEN 1 ELSE 0 END AS o FROM iv WHERE e > s
+      UNION ALL SELECT node, e, CASE WHEN odd THEN 0 ELSE -1 END, CASE WHEN odd THEN -1 ELSE 0 END FROM iv WHERE e > s),
+    sg AS (SELECT node, pos, sum(g) AS g, sum(o) AS o FROM st GROUP BY 1, 2 HAVING sum(g) <> 0 OR sum(o) <> 0),
+    ds AS (SELECT node, pos AS s, lead(pos) OVER (PARTITION BY node ORDER BY pos) AS e, sum(g) OVER (PARTITION BY node ORDER BY pos) AS g, sum(o) OVER (PARTITION BY node ORDER BY pos) AS o FROM sg)"""
+
+
+@query("error_base_masks", "P20", sql(_PILE + """, bd AS (SELECT node, s, e FROM ds WHERE e IS NOT NULL AND o > g),
+    bm AS (SELECT *, sum(nw) OVER (PARTITION BY node ORDER BY s) AS run FROM (SELECT *, CASE WHEN s = lag(e) OVER (PARTITION BY node ORDER BY s) THEN 0 ELSE 1 END AS nw FROM bd))
+    SELECT node, min(s) AS s, max(e) AS e FROM bm GROUP BY node, run""", "intervals"))
 def error_base_masks(spark, d):
     iv = _iv(spark, d).withColumn("identity", F.when(F.col("tag") % 3 == 0, 0.5).otherwise(0.95))
     return cv.error_masks(cv.pileup(iv, 0.9), 1.0)
 
 
-@query("low_end_masks", "P21")
+@query("low_end_masks", "P21", sql(_DEPTH + """, ok AS (SELECT node, min("start") AS a, max("end") AS b FROM dep WHERE depth >= 2 GROUP BY 1),
+    n AS (SELECT DISTINCT node FROM intervals), x AS (SELECT n.node, coalesce(a, 2600000) AS a, coalesce(b, 0) AS b FROM n LEFT JOIN ok USING (node))
+    SELECT node, cast(0 as bigint) AS s, CASE WHEN b <= a THEN 2600000 ELSE a END AS e FROM x WHERE a > 0 UNION ALL SELECT node, b, 2600000 FROM x WHERE b > a AND b < 2600000""", "intervals"))
 def low_end_masks(spark, d):
     iv = _iv(spark, d).withColumn("identity", F.lit(1.0))
     lengths = iv.select("node", F.lit(2600000).cast("bigint").alias("len")).distinct()

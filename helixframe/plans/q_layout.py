@@ -268,3 +268,35 @@ def divided_contigs(spark, d):
 def binned_contigs(spark, d):
     c = fx.contigs(spark, d).select(F.col("contig_id").alias("id"), "seq", "cov")
     return cmd.cluster(c, min_len=100, number=2, max_iter=3)
+
+
+@query("gaps_closed_by_reads", "D5 D11", sql(" SELECT contig_id AS node, seq FROM contigs WHERE length(seq) >= 120", "contigs"))
+def gaps_closed_by_reads(spark, d):
+    return cmd.close_gaps(_gapped(spark, d), _pieces(spark, d).select("read_id", "seq"), word=15).select("node", "seq")
+
+
+@query("scaffolded_contigs", "D3 D4 D14")
+def scaffolded_contigs(spark, d):
+    """Contigs cut in two with the middle left out, joined again by pairs."""
+    c = fx.contigs(spark, d).where(F.length("seq") >= 200)
+    n = F.length("seq")
+    half = c.select(F.explode(F.array(F.struct((F.col("contig_id") * 2).alias("contig_id"), F.left("seq", F.lit(90)).alias("seq")),
+                                      F.struct((F.col("contig_id") * 2 + 1).alias("contig_id"), F.substring(F.col("seq"), F.lit(111), n).alias("seq")))).alias("h"),
+                    "cov").select("h.*", "cov")
+    at = c.select("contig_id", "seq", F.explode(F.sequence(F.lit(0), (n - 160).cast("int"), F.lit(2))).alias("i"))
+    mate = F.explode(F.array(F.struct(F.lit(0).alias("mate"), F.substring(F.col("seq"), F.col("i") + 1, F.lit(40)).alias("seq")),
+                             F.struct(F.lit(1).alias("mate"), revcomp(F.substring(F.col("seq"), F.col("i") + 121, F.lit(40))).alias("seq"))))
+    pairs = at.select((F.col("contig_id") * 100000 + F.col("i")).alias("pair_id"), mate.alias("m")).select("pair_id", "m.*")
+    out = cmd.scaffold(materialize(half, "halves"), materialize(pairs, "mates"), seed=21, min_link=3, min_len=1, min_overlap=25)
+    return out.results.select("name", "seq")
+
+
+@query("bubble_result_sets", "T8", sql("""
+    SELECT contig_id * 2 AS opposite, 'p' || (contig_id * 2 + 1) AS primary_name, 's' || (contig_id * 2) AS secondary_name FROM contigs""", "contigs"))
+def bubble_result_sets(spark, d):
+    from ..sources.writers import bubble_sets
+    k = F.col("contig_id")
+    c = fx.contigs(spark, d)
+    a = c.select((k * 2 + 1).alias("node"), F.concat(F.lit("p"), k * 2 + 1).alias("name"), (k * 2).alias("opposite"), F.lit(True).alias("primary"), F.lit(False).alias("secondary"), F.lit(True).alias("hetero"))
+    b = c.select((k * 2).alias("node"), F.concat(F.lit("s"), k * 2).alias("name"), (k * 2 + 1).alias("opposite"), F.lit(False).alias("primary"), F.lit(True).alias("secondary"), F.lit(True).alias("hetero"))
+    return bubble_sets(a.unionByName(b))["relation"]
