@@ -1,6 +1,7 @@
 """Hand-made cases and brute-force comparisons."""
 
 import gzip
+import os
 import itertools
 import random
 from collections import Counter, defaultdict
@@ -466,3 +467,24 @@ def test_running_counts(spark, tmp_path):
     q.stop()
     got = {r["k"]: r["occ"] for r in spark.table("kc").select(b.unpack("kmer", 4).alias("k"), "occ").collect()}
     assert got == dict(Counter(canon(s[i:i + 4]) for s in ("ACGTACGT", "ACGTT") for i in range(len(s) - 3)))
+
+
+def test_phase_and_cluster_fill(spark):
+    n = spark.createDataFrame([(1, 10.0, 100), (2, 9.0, 100), (3, 5.0, 100), (4, 10.0, 100)], "node long, cov double, len long")
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4)], "id1 long, id2 long")
+    assert rows(cmd.phase(None, e, n), "node", "opposite", "primary") == [(2, 3, True), (3, 2, False)]
+    g = rand_seq(500, 61)
+    reads = spark.createDataFrame([(i, g[p:p + 110]) for i, p in enumerate(range(0, 390, 4))], "read_id long, seq string")
+    s = spark.createDataFrame([(1, g[:200] + "N" * 9 + g[230:], 1), (2, g[300:380], 1), (3, g[300:380], 2)], "node long, seq string, cluster long")
+    got = {r["node"]: r["seq"] for r in cmd.cluster_fill(s, reads, word=21, prefix=21).collect()}
+    assert got == {1: g, 3: g[300:380]}
+
+
+@pytest.mark.skipif(not os.environ.get("SLOW_TESTS"), reason="takes more than a minute")
+def test_iterate_rebuilds_a_genome(spark):
+    g = rand_seq(900, 62)
+    contigs = spark.createDataFrame([(0, g[:400], 5), (1, rc(g[430:]), 5)], "contig_id long, seq string, cov int")
+    reads = spark.createDataFrame([(i, g[p:p + 110]) for i, p in enumerate(range(0, 790, 4))], "read_id long, seq string")
+    pairs = [x for n, i in enumerate(range(0, 600, 4)) for x in ((n, 0, g[i:i + 50]), (n, 1, rc(g[i + 250:i + 300])))]
+    out = cmd.iterate(contigs, reads, spark.createDataFrame(pairs, "pair_id long, mate int, seq string"), k=25, rounds=1).collect()
+    assert [canon(r["seq"]) for r in out] == [canon(g)]
