@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neardup, rules
+from . import chat, embed_dedup, license, mix, neardup, packing, pii, rules, substring, toxic
 from .tables import arrow_rows, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,58 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=2)
+
+
+@query("op1_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query("op2_sainte_lague_mix")
+def sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix.plan(read(spark, sf_dir, "documents"), ["doc_id"])
+    return plan.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_quotation_links")
+def quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.quotation_links(read(spark, sf_dir, "conversations"))
+
+
+@query("op4_length_buckets")
+def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(read(spark, sf_dir, "documents"), ["doc_id"])
+    return packed.select("doc.doc_id", "n_tokens", "bucket", "bucket_len", "batch", "slot")
+
+
+@query("op6_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return substring.remove_repeats(read(spark, sf_dir, "documents"), length=20).drop("kept_text")
+
+
+@query("op8_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    return license.summary(read(spark, sf_dir, "documents"))
+
+
+@query("op9_pii_contexts")
+def pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = pii.spans(read(spark, sf_dir, "documents"))
+    n_base = len(pii.KINDS) - 1
+    base = F.filter("spans", lambda x: x["kind"] < n_base)
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == pii.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return s.select("doc_id", *map(count, pii.KINDS[:n_base]), F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query("op10_toxicity_cnn")
+def toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrow_rows(spark)
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxic.fit(docs, labels.where(~held_out))
+    out = toxic.score(docs, model, ["doc_id"])
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"),
+                      (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+                      F.col("toxicity.threshold").alias("threshold"), F.col("toxicity.flagged").alias("flagged"))
