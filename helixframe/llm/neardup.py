@@ -11,9 +11,10 @@ frequent values are never looked at where rarer ones suffice. Lists give pairs,
 the sketch of the union estimates their similarity, and pairs that are not
 clearly below the threshold are decided on their full sets.
 
-Documents with equal sets are one class. A list first links its members to its
-smallest one; only pairs whose ends are still in different components are then
-compared with each other, so copies cost no pairs among themselves.
+Documents with equal sets are one class. A list first compares its members with
+one of them that a hash picks, differently in each round and class of lists; only
+pairs whose ends are still in different components are then compared with each
+other, so groups of copies are connected before they could cost all their pairs.
 
 Defined cases: null and empty texts have an empty set and link with nothing;
 rows without an id stand alone (component null, kept); rows that repeat an id
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from . import words as W
@@ -36,6 +37,7 @@ from .tables import drop_table, with_components
 
 K = 48
 LEAST = 21
+HEADS = (4, 16)        # classes of lists with a head of their own, by round
 
 
 def loss(k: int, similarity: float, least: int) -> float:
@@ -109,12 +111,13 @@ def _likely(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     whole = (F.size("sa") < k) & (F.size("sb") < k)        # complete sets: exact
-    return both.where(F.when(whole, common * 100 >= F.size(F.array_union("sa", "sb")) * percent).otherwise(common >= least)).select("a", "b")
+    return both.where(F.when(whole, F.size(F.array_intersect("sa", "sb")) * 100 >= F.size(F.array_union("sa", "sb")) * percent).otherwise(common >= least)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B| on their full sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # as a table, so that the planner knows when the ids are few
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     texts = materialize(docs.join(ids, "id", "left_semi"), "texts")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
@@ -133,9 +136,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
 
     edges = materialize(both.mapInArrow(run, "a long, b long"), "links")
     drop_table(texts)
+    drop_table(ids)
     return edges
 
 
+def _stars(placed: DataFrame, classes: int, percent: int) -> DataFrame:
+    """Pairs of a list's head with its members of other components."""
+    turn = F.xxhash64("id", F.pmod("v", F.lit(classes)), F.lit(classes))
+    heads = placed.groupBy("v").agg(F.min_by("id", turn).alias("head"), F.min_by("n", turn).alias("hn"), F.min_by("component_id", turn).alias("hc"),
+                                    F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
+    met = placed.join(heads, "v").where((F.col("component_id") != F.col("hc")) & _near(F.col("n"), F.col("hn"), percent))
+    return met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+
+
+def _near(x: Column, y: Column, percent: int) -> Column:
+    """Sizes that allow the similarity."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                     k: int = K, least: int = LEAST) -> DataFrame:
     """One row per document: the id, ``n_shingles``, ``component_id`` (smallest
@@ -146,21 +164,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        .select("id", "n", "sketch"), "reps")
     rare = materialize(_rare(reps, least, percent), "lists")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-
-    heads = rare.groupBy("v").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("hn"), F.count(F.lit(1)).alias("f")).where("f > 1")
-    stars = materialize(rare.join(heads, "v").where((F.col("id") != F.col("head")) & near(F.col("n"), F.col("hn")))
-                        .select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    edges = _verified(_likely(stars, reps, k, least, percent), texts, size, percent)
-
-    placed = materialize(with_components(rare, "id", edges), "placed")
+    placed, edges, tested = rare.withColumn("component_id", F.col("id")), None, None
+    for kinds in HEADS:
+        pairs = _stars(placed, kinds, percent)
+        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = _verified(_likely(pairs, reps, k, least, percent), texts, size, percent)
+        edges, tested = (new, pairs) if edges is None else (edges.unionByName(new), tested.unionByName(pairs))
+        placed = materialize(with_components(rare, "id", edges), "placed")
     mixed = placed.groupBy("v").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("v")
     left = placed.join(mixed, "v", "left_semi")
     x, y = left.alias("x"), left.alias("y")
     rest = (x.join(y, F.col("x.v") == F.col("y.v"))
-            .where((F.col("x.id") < F.col("y.id")) & (F.col("x.component_id") != F.col("y.component_id")) & near(F.col("x.n"), F.col("y.n")))
+            .where((F.col("x.id") < F.col("y.id")) & (F.col("x.component_id") != F.col("y.component_id")) & _near(F.col("x.n"), F.col("y.n"), percent))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            .join(stars, ["a", "b"], "left_anti"))
+            .join(tested, ["a", "b"], "left_anti"))
     more = _verified(_likely(materialize(rest, "pairs"), reps, k, least, percent), texts, size, percent)
     # members of a class hang on its smallest id
     members = sets.join(classes, "digest", "left").select("id", "n", "rep")
