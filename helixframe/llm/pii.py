@@ -21,6 +21,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
@@ -34,13 +36,14 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     # identifier-like: one run of letters, digits and joiners with four digits or more
-    "id": r"(?<![A-Za-z0-9_.@+-])(?=[A-Za-z0-9_.@+-]*+)[A-Za-z0-9_.@+-]*?(?:[0-9][A-Za-z_.@+-]*+){4}[A-Za-z0-9_.@+-]*+",
+    "id": r"(?<![A-Za-z0-9_.@+-])[A-Za-z_.@+-]*+(?:[0-9][A-Za-z_.@+-]*+){4}[A-Za-z0-9_.@+-]*+",
 }
 OPEN, SHUT, OTHER = "\u0001", "\u0002", "\u0003"
+BLOCK, PAGE = 64, 1024
 CONTEXT = 64          # characters before an entity that are looked at
 ROUNDS = 3
 SUPPORT = 3           # known instances that an accepted pattern has, at least
-CONFIDENCE = 0.8
+CONFIDENCE = 0.7
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -61,22 +64,47 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, also inside other lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _before(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each number of a non-empty array the merged numbers before it (0 for
+    the first), by blocks, so that long arrays are not merged from their start."""
+    zero, block = F.lit(0), lambda v, b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK))
+    whole = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(block(v, b), zero, merge))
+    first = lambda t: F.transform(t, lambda _, b: F.aggregate(F.slice(t, F.lit(1), b), zero, merge))
+
+    def each(v: Column, base: Column) -> Column:
+        start = lambda i: F.floor(i / BLOCK).cast("int")
+        return F.transform(v, lambda _, i: merge(F.get(base, start(i)), F.aggregate(F.slice(v, start(i) * BLOCK + 1, i % BLOCK), zero, merge)))
+
+    return _let(values, lambda v: _let(_let(whole(v), first), lambda base: each(v, base)))
+
+
+def _cut(kind: str, text: Column) -> Column:
+    """The text cut at its matches: pieces at odd places are matches."""
+    return F.split(F.regexp_replace(text, PATTERNS[kind], f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]", -1)
+
+
 def _matches(kind: str, text: Column) -> Column:
     """Array of (start, end, value, before) of the valid matches; ``before`` is
     the end of the text between this match and the one before it."""
-    cut = F.split(F.regexp_replace(text, PATTERNS[kind], f"{OPEN}$0{SHUT}"), f"[{OPEN}{SHUT}]", -1)
-    # odd pieces are matches; add up the lengths of all pieces before them
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("gap"), F.lit(0).alias("i"),
-                    F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
+    def told(cut: Column) -> Column:
+        at = _before(F.transform(cut, F.length), lambda x, y: x + y)
+        item = lambda piece, i, at_: F.when((i % 2 == 1) & _valid(kind, piece), F.struct(
+            F.get(at_, i).alias("start"), (F.get(at_, i) + F.length(piece)).alias("end"), piece.alias("value"),
+            F.right(F.get(cut, i - 1), F.lit(CONTEXT)).alias("before")))
+        return F.filter(_let(at, lambda at_: F.transform(cut, lambda piece, i: item(piece, i, at_))), F.isnotnull)
+
+    return _let(_cut(kind, text), told)
 
-    def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.length(piece)
-        item = F.struct(s["at"].alias("start"), end.alias("end"), piece.alias("value"), F.right(s["gap"], F.lit(CONTEXT)).alias("before"))
-        odd = s["i"] % 2 == 1
-        return F.struct(end.alias("at"), piece.alias("gap"), (s["i"] + 1).alias("i"),
-                        F.when(odd & _valid(kind, piece), F.concat(s["out"], F.array(item))).otherwise(s["out"]).alias("out"))
 
-    return F.aggregate(cut, zero, step, lambda s: s["out"])
+def _masked(kind: str, text: Column) -> Column:
+    """The text with its valid matches blotted out, length unchanged."""
+    blot = lambda piece, i: F.when((i % 2 == 1) & _valid(kind, piece), F.repeat(F.lit(OTHER), F.length(piece))).otherwise(piece)
+    return F.array_join(F.transform(_cut(kind, text), blot), "")
 
 
 def _context(before: Column) -> Column:
@@ -92,15 +120,16 @@ def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     digits = F.col("t").rlike("[0-9]")
     if_any = {"email": F.contains("t", F.lit("@")), "ip": digits, "card": digits, "phone": F.contains("t", F.lit("+")), "id": digits}
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    t = t.select("id", "key", *[F.when(if_any[k], _matches(k, F.col("t"))).otherwise(none).alias(f"_{k}") for k in KINDS])
+    # identifiers are looked for in what the base entities leave
+    rest = F.col("t")
+    for k in KINDS[:-1]:
+        rest = F.when(if_any[k], _masked(k, rest)).otherwise(rest)
+    t = t.select("id", "key", *[F.when(if_any[k], _matches(k, rest if k == "id" else F.col("t"))).otherwise(none).alias(f"_{k}") for k in KINDS])
 
     def told(kind: str) -> Column:
         return F.transform(F.col(f"_{kind}"), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"], x["end"], x["value"], _context(x["before"]).alias("context")))
 
-    base = F.concat(*[told(k) for k in KINDS[:-1]])
-    # candidates that overlap no base entity
-    free = F.filter(told("id"), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return t.select("id", "key", base.alias("base"), free.alias("candidates"))
+    return t.select("id", "key", F.concat(*[told(k) for k in KINDS[:-1]]).alias("base"), told("id").alias("candidates"))
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -150,21 +179,25 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     """The documents with every span replaced by the name of its first kind in
     brackets; spans that overlap are replaced as one."""
     columns = docs.columns
-    merged_type = "array<struct<start:int,kind:int,end:int>>"
-
-    def merge(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(out) > 0) & (s["start"] < last["end"]), joined).otherwise(F.concat(out, F.array(s)))
-
     found = spans(docs, doc_id, text).where(F.size("spans") > 0).dropDuplicates([doc_id, "key"])
-    found = found.select(F.col(doc_id).alias("_id"), F.col("key").alias("_key"), F.aggregate("spans", F.array().cast(merged_type), merge).alias("_spans"))
+    ends = F.transform("spans", lambda s: s["end"])
+    # a span that starts before an earlier one ends is part of what that one began
+    found = found.select(F.col(doc_id).alias("_id"), F.col("key").alias("_key"), F.array_max(ends).alias("_end"), F.filter(
+        F.arrays_zip(F.col("spans").alias("s"), _before(ends, lambda x, y: F.greatest(x, y)).alias("after")), lambda z: z["s"]["start"] >= z["after"]).alias("_heads"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = docs.withColumn("_text", F.col(text)).join(found, docs[doc_id].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_key"]), "left")
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_spans", i - 1)["end"])
-    pieces = F.transform("_spans", lambda s, i: F.concat(F.substring("_text", before(i) + 1, s["start"] - before(i)), F.get(names, s["kind"])))
-    tail = F.substring("_text", F.element_at("_spans", -1)["end"] + 1, F.length("_text"))
-    new = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(F.concat(F.array_join(pieces, ""), tail))
+
+    def between(pages: Column, a: Column, b: Column) -> Column:
+        page = F.floor(a / PAGE).cast("int")
+        near = F.array_join(F.slice(pages, page + 1, F.floor(b / PAGE).cast("int") - page + 1), "")
+        return F.substring(near, a - page * PAGE + 1, b - a)
+
+    # pages keep the cost of a cut independent of its place in the text
+    pages = F.regexp_extract_all("_text", F.lit("(?s).{1,%d}" % PAGE), F.lit(0))
+    new = _let(pages, lambda p: F.concat(
+        F.array_join(F.transform("_heads", lambda z: F.concat(between(p, z["after"], z["s"]["start"]), F.get(names, z["s"]["kind"]))), ""),
+        between(p, F.col("_end"), F.length("_text"))))
+    new = F.when(F.col("_heads").isNull(), F.col("_text")).otherwise(new)
     out = t.select(*[new.alias(c) if c == text else docs[c] for c in columns])
     if n_chars in columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
