@@ -12,9 +12,13 @@ the sketch of the union estimates their similarity, and pairs that are not
 clearly below the threshold are decided on their full sets.
 
 Documents with equal sets are one class. A list first compares its members with
-one of them that a hash picks, differently in each round and class of lists; only
-pairs whose ends are still in different components are then compared with each
-other, so groups of copies are connected before they could cost all their pairs.
+one of them that a hash picks, another one for each class of lists. Pairs that
+the sketches leave possible join documents to crowds, links join them to
+components. Inside a crowd only documents outside its largest component are
+compared further, in tiles of packed sets: shared shingles of a pair of tiles are
+counted by one matrix product, and a tile returns a spanning forest of its
+links. Between crowds the pairs of a list that are left are compared one by one.
+No group of copies is ever written out as pairs.
 
 Defined cases: null and empty texts have an empty set and link with nothing;
 rows without an id stand alone (component null, kept); rows that repeat an id
@@ -28,16 +32,20 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from . import words as W
-from .tables import drop_table, with_components
+from .embed_dedup import forest
+from .tables import components, drop_table, with_components
 
 K = 48
 LEAST = 21
-HEADS = (4, 16)        # classes of lists with a head of their own, by round
+HEADS = 4              # classes of lists with a head of their own
+TILE = 60_000          # shingles of a tile of a crowd, about
+COLUMNS = 4096         # shingles that are counted at once
 
 
 def loss(k: int, similarity: float, least: int) -> float:
@@ -140,15 +148,92 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return edges
 
 
-def _stars(placed: DataFrame, classes: int, percent: int) -> DataFrame:
-    """Pairs of a list's head with its members of other components."""
-    turn = F.xxhash64("id", F.pmod("v", F.lit(classes)), F.lit(classes))
-    heads = placed.groupBy("v").agg(F.min_by("id", turn).alias("head"), F.min_by("n", turn).alias("hn"), F.min_by("component_id", turn).alias("hc"),
-                                    F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi")
-    met = placed.join(heads, "v").where((F.col("component_id") != F.col("hc")) & _near(F.col("n"), F.col("hn"), percent))
+def _stars(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's head with its other members."""
+    turn = F.xxhash64("id", F.pmod("v", F.lit(HEADS)))
+    heads = rare.groupBy("v").agg(F.min_by("id", turn).alias("head"), F.min_by("n", turn).alias("hn"))
+    met = rare.join(heads, "v").where((F.col("id") != F.col("head")) & _near(F.col("n"), F.col("hn"), percent))
     return met.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
 
 
+def tile_links(x: tuple, y: tuple, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked documents of two tiles; a tile is (component of
+    each document, borders of their sets, all shingles)."""
+    (cx, ax, vx), (cy, ay, vy) = x, y
+    nx, ny = np.diff(ax), np.diff(ay)
+    shared = np.intersect1d(vx, vy)
+    common = np.zeros((len(cx), len(cy)), dtype=np.float32)
+    dx, dy = np.repeat(np.arange(len(cx)), nx), np.repeat(np.arange(len(cy)), ny)
+    px, py = np.searchsorted(shared, vx), np.searchsorted(shared, vy)
+    kx = np.append(shared, 0)[px] == vx
+    ky = np.append(shared, 0)[py] == vy
+    dx, px, dy, py = dx[kx], px[kx], dy[ky], py[ky]
+    ox, oy = np.argsort(px, kind="stable"), np.argsort(py, kind="stable")
+    dx, px, dy, py = dx[ox], px[ox], dy[oy], py[oy]
+    for low in range(0, len(shared), COLUMNS):
+        i, j = np.searchsorted(px, [low, low + COLUMNS])
+        k, m = np.searchsorted(py, [low, low + COLUMNS])
+        left = np.zeros((len(cx), COLUMNS), dtype=np.float32)
+        right = np.zeros((len(cy), COLUMNS), dtype=np.float32)
+        left[dx[i:j], px[i:j] - low] = 1
+        right[dy[k:m], py[k:m] - low] = 1
+        common += left @ right.T               # exact below 2^24
+    both = nx[:, None] + ny[None, :] - common
+    i, j = np.nonzero((common > 0) & (100 * common.astype(np.float64) >= percent * both.astype(np.float64)) & (cx[:, None] != cy[None, :]))
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def _crowd_links(crowds: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of a crowd: rows of ``crowds`` are id, n, crowd,
+    component_id."""
+    parts = crowds.groupBy("crowd", "component_id").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("crowd").agg(F.max_by("component_id", F.col("c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # documents outside the largest component, and those in it
+    sides = crowds.join(main, "crowd").withColumn("out", F.col("component_id") != F.col("main"))
+    tiles = sides.groupBy("crowd", "out").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    sides = sides.join(tiles, ["crowd", "out"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    sides = materialize(sides.select("id", "crowd", "out", "tile", "component_id"), "crowds")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in W.pieces(batches):
+            v, at = shingles(piece.column(1), size)
+            raw = W.arrow_binary(v.view(np.uint8), at * 8)
+            yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in (0, 2, 3, 4, 5)], raw], ["id", "crowd", "out", "tile", "component_id", "set"])
+
+    rows = docs.join(sides, "id").select("id", "text", "crowd", "out", "tile", "component_id").mapInArrow(
+        packed, "id long, crowd long, out boolean, tile int, component_id long, set binary")
+
+    def pack(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("id")
+        size_ = np.array([len(x) // 8 for x in t["set"]], dtype=np.int64)
+        return pd.DataFrame({"crowd": t["crowd"].iloc[:1], "out": t["out"].iloc[:1], "tile": t["tile"].iloc[:1], "ids": [t["id"].to_numpy(np.int64).tobytes()],
+                             "parts": [t["component_id"].to_numpy(np.int64).tobytes()], "sizes": [size_.tobytes()], "sets": [b"".join(t["set"])]})
+
+    packs = materialize(rows.groupBy("crowd", "out", "tile").applyInPandas(pack, "crowd long, out boolean, tile int, ids binary, parts binary, sizes binary, sets binary"), "tiles")
+    first = tiles.where("out").select("crowd", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    other = tiles.select("crowd", F.col("out").alias("out2"), F.col("tiles").alias("tiles2"))
+    todo = first.join(other, "crowd").withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1))).where("not out2 or tile2 >= tile")
+    side = lambda n: [F.col(c).alias(f"{c}{n}") for c in ("ids", "parts", "sizes", "sets")]
+    work = (todo.join(packs.where("out").select("crowd", "tile", *side(1)), ["crowd", "tile"])
+            .join(packs.select("crowd", F.col("out").alias("out2"), F.col("tile").alias("tile2"), *side(2)), ["crowd", "out2", "tile2"])
+            .select((F.col("out2") & (F.col("tile") == F.col("tile2"))).alias("same"), "ids1", "parts1", "sizes1", "sets1", "ids2", "parts2", "sizes2", "sets2"))
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = lambda b: np.frombuffer(b, dtype=np.int64)
+        borders = lambda b: np.concatenate([[0], np.cumsum(numbers(b))])
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                i, j = tile_links((numbers(r.parts1), borders(r.sizes1), numbers(r.sets1)), (numbers(r.parts2), borders(r.sizes2), numbers(r.sets2)), percent, r.same)
+                ids1, ids2 = numbers(r.ids1), numbers(r.ids2)
+                shift = 0 if r.same else len(ids1)
+                all_ids = ids1 if r.same else np.concatenate([ids1, ids2])
+                root = forest(len(all_ids), i, j + shift)
+                hung = np.flatnonzero(root != np.arange(len(root)))
+                yield pd.DataFrame({"a": all_ids[hung], "b": all_ids[root[hung]]})
+
+    return materialize(work.repartition(F.xxhash64("ids1", "ids2")).mapInPandas(multiply, "a long, b long"), "links")
+
+
 def _near(x: Column, y: Column, percent: int) -> Column:
     """Sizes that allow the similarity."""
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -164,20 +249,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                        .select("id", "n", "sketch"), "reps")
     rare = materialize(_rare(reps, least, percent), "lists")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    placed, edges, tested = rare.withColumn("component_id", F.col("id")), None, None
-    for kinds in HEADS:
-        pairs = _stars(placed, kinds, percent)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = _verified(_likely(pairs, reps, k, least, percent), texts, size, percent)
-        edges, tested = (new, pairs) if edges is None else (edges.unionByName(new), tested.unionByName(pairs))
-        placed = materialize(with_components(rare, "id", edges), "placed")
-    mixed = placed.groupBy("v").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("v")
-    left = placed.join(mixed, "v", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
+    stars = materialize(_stars(rare, percent), "pairs")
+    likely = materialize(_likely(stars, reps, k, least, percent), "likely")
+    edges = _verified(likely, texts, size, percent)
+    crowd = components(likely, "crowd").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+    nodes = materialize(with_components(reps.select("id", "n").join(crowd, "id"), "id", edges), "nodes")
+    edges = edges.unionByName(_crowd_links(nodes, texts, size, percent))
+
+    placed = materialize(rare.join(crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", "id")), "placed")
+    most = placed.groupBy("v", "crowd").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(
+        F.max_by("crowd", "c").alias("most"), F.count(F.lit(1)).alias("crowds")).where("crowds > 1")
+    left = placed.join(most, "v")
+    x, y = left.where("crowd <> most").alias("x"), left.alias("y")
     rest = (x.join(y, F.col("x.v") == F.col("y.v"))
-            .where((F.col("x.id") < F.col("y.id")) & (F.col("x.component_id") != F.col("y.component_id")) & _near(F.col("x.n"), F.col("y.n"), percent))
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti"))
+            .where(((F.col("y.crowd") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & (F.col("x.crowd") != F.col("y.crowd"))
+                   & _near(F.col("x.n"), F.col("y.n"), percent))
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            .join(stars, ["a", "b"], "left_anti"))
     more = _verified(_likely(materialize(rest, "pairs"), reps, k, least, percent), texts, size, percent)
     # members of a class hang on its smallest id
     members = sets.join(classes, "digest", "left").select("id", "n", "rep")
