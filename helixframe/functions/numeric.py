@@ -71,12 +71,17 @@ def expected_links(coverage, len1, len2, gap, insert_mean, insert_sd, read_len)
 
 
 def placements(len1, len2, gap, insert, read_len) -> Column:
-    """Number of positions from which a pair can span two nodes."""
-    half = F.floor(F.lit(read_len) / 2)
-    zero = F.lit(0)
-    way = F.greatest(zero, insert - F.greatest(c(gap), zero) - half * 2 + 1)
-    way = F.least(way, F.greatest(zero, F.least(c(len1), c(len2)) + half + 1))
-    return F.least(way, F.greatest(zero, c(len1) + c(len2) + c(gap) - insert + 1)).cast("bigint")
+    """Number of fragment starts that put one mate on each of two nodes.
+
+    Each limit is a count of starts: the part of the fragment between the mates'
+    middles has to bridge the gap, a mate has to touch the shorter node by half
+    of its bases, and the fragment has to end on the two nodes."""
+    reach = F.lit(insert)
+    mate = F.lit(read_len // 2)
+    bridging = reach - mate - mate - F.greatest(c(gap), F.lit(0))
+    touching = F.least(c(len1), c(len2)) + mate
+    ending = c(len1) + c(gap) + c(len2) - reach
+    return F.greatest(F.least(bridging, touching, ending) + 1, F.lit(0)).cast("bigint")
 
 
 def join_log_probability(coverage, read_len, cutoff: int, large_k: int, small_k: int) -> Column:

@@ -119,7 +119,7 @@ def half_distances(seqs: DataFrame, min_len: int, key: str = "id") -> DataFrame:
     return g.select(key, _distance("_a", "_b").alias("distance"))
 
 
-def upgma(distances: DataFrame, weights: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def upgma(distances: DataFrame, weights: DataFrame) -> DataFrame:
     """Average-linkage tree: rows (node, child1, child2, height, weight). Names
     of joined nodes are 'child1|child2' digests.
 
@@ -130,7 +130,7 @@ def upgma(distances: DataFrame, weights: DataFrame, max_rounds: int = 10_000) ->
     d = materialize(distances.select(F.col("id1").cast("string").alias("a"), F.col("id2").cast("string").alias("b"), F.col("distance").alias("d")), "upgma")
     w = materialize(weights.select(F.col("id").cast("string").alias("id"), F.col("weight").cast("double").alias("w")), "upgma-weights")
     tree = None
-    for _ in range(max_rounds):
+    while True:
         if is_empty(d):
             break
         rank = F.struct("d", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))

@@ -153,11 +153,12 @@ def window_breaks(cover: DataFrame, width: int, step: int, ratio: float, sds: fl
     reach = 2 * width + step
     blocks = halo_blocks(cover, "pos", max(4096, 8 * reach), reach)
     w = Window.partitionBy(key, "_blk").orderBy("pos")
-    frame = w.rowsBetween(0, width - 1)
     v = F.col(value).cast("double")
-    t = blocks.withColumn("_n", F.count(F.lit(1)).over(frame)).withColumn("m", F.sum(v).over(frame) / width).withColumn(
-        "q", F.sum(v * v).over(frame) / width)
-    t = t.withColumn("m", F.when(F.col("_n") == width, F.col("m")))
+    # a window is the difference of two running sums, whatever its width
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    t = blocks.withColumn("_v", v).withColumn("_s", F.sum(v).over(run)).withColumn("_q", F.sum(v * v).over(run))
+    t = t.withColumn("m", (F.lead("_s", width - 1).over(w) - F.col("_s") + F.col("_v")) / width).withColumn(
+        "q", (F.lead("_q", width - 1).over(w) - F.col("_q") + F.col("_v") * F.col("_v")) / width)
     t = t.withColumn("sd", F.sqrt(F.greatest(F.col("q") - F.col("m") * F.col("m"), F.lit(0.0))))
     t = t.withColumn("m2", F.lead("m", width + step).over(w)).withColumn("sd2", F.lead("sd", width + step).over(w))
     near = (F.col("m") * ratio >= F.col("m2")) & (F.col("m2") * ratio >= F.col("m"))
@@ -226,8 +227,12 @@ def gap_rate_compensated(cover: DataFrame, gaps: DataFrame, width: int, key: str
     p = F.col("pos")
     b = t.withColumn("_blk", F.explode(F.sequence(F.floor(F.greatest(p - half, F.lit(0)) / size), F.floor((p + half) / size))))
     b = b.withColumn("_own", F.col("_blk") == F.floor(p / size))
-    w = Window.partitionBy(key, "_blk").orderBy("pos").rowsBetween(-half, half)
-    b = b.withColumn("_g", F.sum("gap").over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    all_ = Window.partitionBy(key, "_blk")
+    w = all_.orderBy("pos")
+    b = b.withColumn("_s", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_i", F.row_number().over(w))
+    b = b.withColumn("_all", F.max("_s").over(all_)).withColumn("_rows", F.count(F.lit(1)).over(all_))
+    b = b.withColumn("_g", F.coalesce(F.lead("_s", half).over(w), F.col("_all")) - F.coalesce(F.lag("_s", half + 1).over(w), F.lit(0)))
+    b = b.withColumn("_n", F.least(F.col("_i") + half, F.col("_rows")) - F.greatest(F.col("_i") - half - 1, F.lit(0)))
     return b.where("_own").select(key, "pos", F.floor(F.col("depth") * F.col("_n") / F.nullif(F.col("_n") - F.col("_g"), F.lit(0)) + 0.5).cast("bigint").alias("depth"))
 
 

@@ -103,7 +103,7 @@ def compact(segs: DataFrame, k: int, stranded: bool = False) -> DataFrame:
         text = text.unionByName(segs.select(F.concat("scope", F.lit(":"), revcomp(F.right("seq", F.lit(k)))).alias("key"), "scope",
                                             revcomp("seq").alias("seq"), "n_kmer", "cov")).dropDuplicates(["key"])
     member = chain.join(keep, "head").join(text, "key").join(near.select("key", "n_in", "n_out"), "key")
-    piece = F.when(F.col("dist") == 0, F.col("seq")).otherwise(F.substring("seq", k, 1 << 30))
+    piece = F.when(F.col("dist") == 0, F.col("seq")).otherwise(F.expr(f"substring(seq, {k})"))
     part = member.groupBy("head", "scope", F.floor(F.col("dist") / BLOCK).alias("b")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dist", piece.alias("t")))), lambda x: x["t"]), "").alias("text"),
         F.sum("n_kmer").alias("n_kmer"), F.sum(F.col("cov") * F.col("n_kmer")).alias("mass"),
@@ -161,14 +161,13 @@ def _drop(segs: DataFrame, names: DataFrame, k: int) -> DataFrame:
     return named.join(names, "name", "left_anti").drop("name")
 
 
-def cut_tips(segs: DataFrame, k: int, ratio: float = TIP_RATIO, max_rounds: int = 10_000, stranded: bool = False) -> DataFrame:
+def cut_tips(segs: DataFrame, k: int, ratio: float = TIP_RATIO, stranded: bool = False) -> DataFrame:
     """Remove tips until there are none, joining chains after each round."""
-    for _ in range(max_rounds):
+    while True:
         t = materialize(tips(segs, k, ratio, stranded), "tip-names")
         if is_empty(t):
             return segs
         segs = compact(_drop(segs, t, k), k, stranded)
-    return segs
 
 
 def bubble_arms(segs: DataFrame, k: int, rate: float = BUBBLE_RATE) -> DataFrame:
@@ -205,10 +204,10 @@ def bubble_arms(segs: DataFrame, k: int, rate: float = BUBBLE_RATE) -> DataFrame
     return m.select("name", F.col("b.name").alias("keeper"), "n_kmer", "cov", F.col("b.n_kmer").alias("keeper_n")).distinct()
 
 
-def crush_bubbles(segs: DataFrame, k: int, rate: float = BUBBLE_RATE, max_rounds: int = 10_000) -> DataFrame:
+def crush_bubbles(segs: DataFrame, k: int, rate: float = BUBBLE_RATE) -> DataFrame:
     """Merge alike arms into the best covered one until none are left; the
     keeper takes over the coverage, weighted by length."""
-    for _ in range(max_rounds):
+    while True:
         arms = materialize(bubble_arms(segs, k, rate), "bubbles")
         if is_empty(arms):
             return segs
@@ -218,7 +217,6 @@ def crush_bubbles(segs: DataFrame, k: int, rate: float = BUBBLE_RATE, max_rounds
         cov = F.when(F.col("gain").isNull(), F.col("cov")).otherwise(
             F.least(F.floor(F.col("cov") + F.col("gain") / F.col("n_kmer") + 0.5), F.lit(MAX_OCCURRENCE)).cast("double"))
         segs = compact(left.select("scope", "seq", "n_kmer", cov.alias("cov")), k)
-    return segs
 
 
 def weak_segments(segs: DataFrame, max_cov: float, max_kmers: int) -> DataFrame:
@@ -227,8 +225,8 @@ def weak_segments(segs: DataFrame, max_cov: float, max_kmers: int) -> DataFrame:
         (F.col("n_in") > 0) & (F.col("n_out") > 0)))
 
 
-def drop_weak(segs: DataFrame, k: int, max_cov: float, max_kmers: int, max_rounds: int = 10_000) -> DataFrame:
-    for _ in range(max_rounds):
+def drop_weak(segs: DataFrame, k: int, max_cov: float, max_kmers: int) -> DataFrame:
+    while True:
         bad = F.coalesce((F.col("cov") < max_cov) & (F.col("n_kmer") < max_kmers) & ~F.col("junction") & ~(
             (F.col("n_in") > 0) & (F.col("n_out") > 0)), F.lit(False))
         if is_empty(segs.where(bad)):

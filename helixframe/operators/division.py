@@ -99,12 +99,12 @@ def collision_breaks(parts: DataFrame, support: DataFrame, min_link: int) -> Dat
     return label_breaks(best)
 
 
-def end_flag_breaks(parts: DataFrame, opposite: DataFrame, breaks: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def end_flag_breaks(parts: DataFrame, opposite: DataFrame, breaks: DataFrame) -> DataFrame:
     """A break beside a bubble contig is repeated beside its partner, on the
     matching side, until no new break appears. opposite: (contig, opposite)."""
     known = materialize(breaks.select("node", "idx").distinct(), "breaks")
     size = parts.groupBy("node").agg(F.max("idx").alias("last"))
-    for _ in range(max_rounds):
+    while True:
         # side 0 = before the contig as it reads, 1 = after it
         plus = F.col("contig") > 0
         before = parts.join(known, ["node", "idx"]).select(F.abs("contig").alias("contig"), F.when(plus, 0).otherwise(1).alias("side"))
@@ -201,17 +201,19 @@ def erroneous_breaks(parts: DataFrame, pro: DataFrame, contra: DataFrame, mode:
     return t.where(rule).select("node", "idx")
 
 
-def split_at(parts: DataFrame, breaks: DataFrame) -> DataFrame:
+def split_at(parts: DataFrame, breaks: DataFrame, unique: bool = False) -> DataFrame:
     """Cut nodes at breaks: (parent, seg, idx, contig, start, end) with starts
-    counted from the new node. Segments without a contig of their own, one that
-    no earlier segment holds, are dropped."""
+    counted from the new node. With ``unique`` (division at gaps) segments
+    without a contig of their own, one that no earlier segment holds, are
+    dropped; every other division keeps all segments."""
     marked = parts.join(breaks.select("node", "idx").distinct().withColumn("_c", F.lit(1)), ["node", "idx"], "left").na.fill(0, ["_c"])
     run = running_sum(ordered_blocks(marked, ["node"], ["idx"], "split"), ["node"], ["idx"], "_c", "seg").drop("_c", "_blk")
     run = materialize(run, "segments")
     zero = run.groupBy("node", "seg").agg(F.min(F.struct("idx", "start")).alias("z"))
-    first = run.groupBy(F.abs("contig").alias("c")).agg(F.min(F.struct("node", "seg")).alias("f")).select("f.node", "f.seg").distinct()
-    keep = zero.join(first, ["node", "seg"], "left_semi")
-    return run.join(keep, ["node", "seg"]).select(
+    if unique:
+        first = run.groupBy(F.abs("contig").alias("c")).agg(F.min(F.struct("node", "seg")).alias("f")).select("f.node", "f.seg").distinct()
+        zero = zero.join(first, ["node", "seg"], "left_semi")
+    return run.join(zero, ["node", "seg"]).select(
         F.col("node").alias("parent"), "seg", (F.col("idx") - F.col("z.idx")).alias("idx"), "contig",
         (F.col("start") - F.col("z.start")).alias("start"), (F.col("end") - F.col("z.start")).alias("end"))
 

@@ -174,7 +174,8 @@ def same_target(edges: DataFrame) -> DataFrame:
     their links are within a factor of two, else the smaller one. A pair of
     nodes has at most four directed edges."""
     key = [F.abs("id1").alias("a"), F.abs("id2").alias("b")]
-    g = edges.select(*key, "id1", "id2", "n_link")
+    # rows of one direction are one edge, not rivals
+    g = edges.groupBy("id1", "id2").agg(F.sum("n_link").alias("n_link")).select(*key, "id1", "id2", "n_link")
     best = g.groupBy("a", "b").agg(F.sort_array(F.collect_list("n_link"), False).alias("v"), F.count(F.lit(1)).alias("m")).where("m > 1")
     t = g.join(best, ["a", "b"])
     top = F.get("v", F.lit(0))
@@ -292,12 +293,11 @@ def repeat_edge_links(edges: DataFrame, parts: DataFrame, nodes: DataFrame, tole
     return left.select("id1", "id2").distinct()
 
 
-def until_stable(edges: DataFrame, rule, max_rounds: int = 10_000) -> DataFrame:
+def until_stable(edges: DataFrame, rule) -> DataFrame:
     """Apply a rule (edges -> edges to delete) until it names none."""
     edges = materialize(edges, "edges")
-    for _ in range(max_rounds):
+    while True:
         bad = materialize(rule(edges).select("id1", "id2").distinct(), "bad-edges")
         if is_empty(bad):
             return edges
         edges = materialize(without(edges, bad), "edges")
-    return edges

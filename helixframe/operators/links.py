@@ -109,9 +109,8 @@ def common_tags(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 
 def co_occurring(incidence: DataFrame, group: str, item: str, support: int) -> DataFrame:
     """Pairs (id1 < id2) of items that share at least ``support`` groups, with
-    the number of shared groups. ``support`` must be at least 2."""
-    if support < 2:
-        raise ValueError("one shared group would ask for all pairs of every group")
+    the number of shared groups. With a support of 1 the result itself is all
+    pairs of every group: only for groups of bounded size, such as a read."""
     inc = incidence.select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
     size = inc.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     sized = materialize(inc.join(size, "g"), "incidence")
@@ -119,7 +118,7 @@ def co_occurring(incidence: DataFrame, group: str, item: str, support: int) -> D
     # keeps the (support - 1) best rows to leave out by repeated maximum
     skip = sized
     drop = None
-    for _ in range(support - 1):
+    for _ in range(max(support, 1) - 1):
         top = skip.groupBy("x").agg(F.max(F.struct("size", "g")).alias("t")).select("x", F.col("t.g").alias("g"))
         drop = top if drop is None else drop.unionByName(top)
         skip = sized.join(drop, ["x", "g"], "left_anti")
@@ -141,21 +140,24 @@ def long_read_links(hits: DataFrame, lengths: DataFrame, min_link: int, toleranc
     """Links between nodes that reads pass one after the other, one per read and
     pair, for pairs with at least ``min_link`` reads in common.
 
-    A node's extent in read coordinates is [q_start - t_start, + len); extents
-    must follow each other on both ends, gaps below -tolerance are refused.
+    A negative node is met on its reverse strand; its start counts from the
+    other end then. Ids keep that sign. A node's extent in read coordinates is
+    [q_start - t_start, + len); extents must follow each other on both ends,
+    gaps below -tolerance are refused.
     """
-    m = materialize(merged_hits(hits), "merged-hits")
-    pairs = co_occurring(m, "read_id", "node", min_link).select("id1", "id2")
-    ext = m.join(lengths, "node").select("read_id", "node", (F.col("q_start") - F.col("t_start")).alias("l"),
-                                         (F.col("q_start") - F.col("t_start") + F.col("len") - 1).alias("r"), "score")
-    a = ext.select("read_id", F.col("node").alias("id1"), F.col("l").alias("l1"), F.col("r").alias("r1"), F.col("score").alias("s1"))
-    b = ext.select("read_id", F.col("node").alias("id2"), F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("score").alias("s2"))
+    m = materialize(merged_hits(hits).withColumn("_n", F.abs("node")), "merged-hits")
+    pairs = co_occurring(m, "read_id", "_n", min_link).select("id1", "id2")
+    turned = F.col("len") - F.col("t_start") - (F.col("q_end") - F.col("q_start"))
+    left = F.col("q_start") - F.when(F.col("node") >= 0, F.col("t_start")).otherwise(turned)
+    ext = m.join(lengths.withColumnRenamed("node", "_n"), "_n").select("read_id", "_n", "node", left.alias("l"), (left + F.col("len") - 1).alias("r"), "score")
+    a = ext.select("read_id", F.col("_n").alias("id1"), F.col("node").alias("n1"), F.col("l").alias("l1"), F.col("r").alias("r1"), F.col("score").alias("s1"))
+    b = ext.select("read_id", F.col("_n").alias("id2"), F.col("node").alias("n2"), F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("score").alias("s2"))
     j = pairs.join(a, "id1").join(b, ["id2", "read_id"])
     ahead = (F.col("l1") <= F.col("l2")) & (F.col("r1") <= F.col("r2"))
     behind = (F.col("l1") > F.col("l2")) & (F.col("r2") <= F.col("r1"))
     gap = F.when(ahead, F.col("l2") - F.col("r1") - 1).otherwise(F.col("l1") - F.col("r2") - 1)
     return (j.where(ahead | behind).withColumn("gap", gap).where(F.col("gap") >= -tolerance)
-            .select("read_id", "id1", "id2", F.when(ahead, 1).otherwise(-1).alias("direction"), "gap",
+            .select("read_id", F.col("n1").alias("id1"), F.col("n2").alias("id2"), F.when(ahead, 1).otherwise(-1).alias("direction"), "gap",
                     (F.col("s1") + F.col("s2")).alias("score")))
 
 
@@ -185,14 +187,62 @@ def barcode_links(spans: DataFrame, lengths: DataFrame, reach: int, support: int
     first (last) position lies within ``reach`` of the node start (end) marks
     that end; ends of different nodes with ``support`` common tags are linked.
     The end is coded in the sign of the node id."""
-    s = spans.join(lengths, "node")
-    ends = s.select("tag", F.explode(F.array_compact(F.array(
-        F.when(F.col("first") <= reach, -F.col("node")), F.when(F.col("len") - F.col("last") <= reach, F.col("node"))))).alias("end"))
-    pairs = co_occurring(ends, "tag", "end", support).where(F.abs("id1") != F.abs("id2"))
+    pairs = co_occurring(barcode_ends(spans, lengths, reach), "tag", "end", support).where(F.abs("id1") != F.abs("id2"))
     turned = pairs.select(canonical_pair("id1", -F.col("id2")).alias("p"), F.col("common").alias("n_link"))
     return turned.select("p.id1", "p.id2", "n_link")
 
 
+def barcode_ends(spans: DataFrame, lengths: DataFrame, reach: int) -> DataFrame:
+    """(tag, end): ends that a session of the barcode reaches, the start of a
+    node as its negative id."""
+    s = spans.join(lengths, "node")
+    return s.select("tag", F.explode(F.array_compact(F.array(
+        F.when(F.col("first") <= reach, -F.col("node")), F.when(F.col("len") - F.col("last") <= reach, F.col("node"))))).alias("end"))
+
+
+def lift_hits(hits: DataFrame, parts: DataFrame) -> DataFrame:
+    """Long-read hits on contigs as hits on nodes: both ends of the hit move."""
+    first = hits.select("*", F.col("node").alias("id"), F.col("t_start").alias("offset"))
+    last = F.col("t_start") + F.greatest(F.col("q_end") - F.col("q_start"), F.lit(1)) - 1
+    moved = lift(first, parts).drop("idx").withColumnsRenamed({"id": "_id1", "offset": "_o1"})
+    both = lift(moved.select("*", F.col("node").alias("id"), last.alias("offset")), parts)
+    return both.select("read_id", F.col("id").alias("node"), "q_start", "q_end", F.least("_o1", "offset").alias("t_start"), "score")
+
+
+def lift_barcodes(barcodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Barcode positions on contigs as positions on nodes."""
+    moved = lift(barcodes.select("tag", F.col("node").alias("id"), F.col("pos").alias("offset")), parts)
+    return moved.select("tag", F.abs("id").alias("node"), F.col("offset").alias("pos"))
+
+
+def pooled_links(rows: DataFrame | None, ends: DataFrame | None, min_link: int) -> DataFrame:
+    """Edges from all evidence at once: links of pairs, reads and overlaps (id1,
+    id2, gap, score) plus the barcodes that the two facing ends share, one row
+    per edge and one threshold. Common barcodes are counted for every pair that
+    other evidence names; pairs that only barcodes name need at least two."""
+    edges = None
+    if rows is not None:
+        pair = canonical_pair("id1", "id2")
+        rows = rows.withColumn("_p", pair).withColumn("id1", F.col("_p.id1")).withColumn("id2", F.col("_p.id2")).drop("_p")
+        edges = merge_links(rows, 1)
+    if ends is None:
+        return edges.where((F.col("n_link") >= min_link) | F.col("is_overlap"))
+    ends = materialize(ends.distinct(), "ends")
+    alone = co_occurring(ends, "tag", "end", max(min_link, 2)).where(F.abs("id1") != F.abs("id2"))
+    alone = alone.select(canonical_pair("id1", -F.col("id2")).alias("p"), F.col("common")).select("p.id1", "p.id2", "common")
+    if edges is not None:
+        edges = materialize(edges, "evidence")
+        counts = ends.select("tag", F.col("end").alias("node"), F.lit(1).alias("n"))
+        named = common_tags(edges.select("id1", (-F.col("id2")).alias("id2")), counts).select("id1", (-F.col("id2")).alias("id2"), "common")
+        new = alone.join(edges.select("id1", "id2"), ["id1", "id2"], "left_anti")
+        told = edges.join(named, ["id1", "id2"], "left").na.fill(0, ["common"])
+        told = told.select("id1", "id2", (F.col("n_link") + F.col("common")).alias("n_link"), (F.col("score") + F.col("common")).alias("score"), "gap", "is_overlap")
+    else:
+        new, told = alone, None
+    tagged = new.select("id1", "id2", F.col("common").alias("n_link"), F.col("common").alias("score"), F.lit(0).cast("bigint").alias("gap"), F.lit(False).alias("is_overlap"))
+    return (tagged if told is None else told.unionByName(tagged)).where((F.col("n_link") >= min_link) | F.col("is_overlap"))
+
+
 def evidence(mode: set, sources: dict[str, DataFrame]) -> DataFrame:
     """Union of the link sources that a mode names (overlap, pair, long, tag)."""
     parts = [sources[m] for m in ("overlap", "pair", "long", "tag") if m in mode and m in sources]
@@ -239,14 +289,14 @@ def _overlapping(hits: DataFrame, tolerance: int, width: int = 512) -> DataFrame
     return j.where(better & (over > tolerance)).select("read_id", "hit_a", "hit_b", "score_a", "score_b").distinct()
 
 
-def suppress_greedy(hits: DataFrame, tolerance: int, max_rounds: int = 1000) -> DataFrame:
+def suppress_greedy(hits: DataFrame, tolerance: int) -> DataFrame:
     """Best-first choice per read: keep the best alignment, drop what overlaps a
     kept one, go on. In rounds over all reads at once: an alignment without a
     better undecided rival is kept, its rivals are dropped."""
     from ..session import is_empty
     rivals = materialize(_overlapping(hits, tolerance).select("hit_a", "hit_b"), "rivals")
     kept = hits.select("hit").join(rivals.select(F.col("hit_b").alias("hit")).distinct(), "hit", "left_anti")
-    for _ in range(max_rounds):
+    while True:
         if is_empty(rivals):
             break
         # winners: better side of an open rivalry that nobody better opposes

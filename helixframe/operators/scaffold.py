@@ -50,13 +50,13 @@ def pair_joins(edges: DataFrame) -> DataFrame:
     return greedy_matching(pairs).select("p.u", "p.v")
 
 
-def greedy_matching(pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def greedy_matching(pairs: DataFrame) -> DataFrame:
     """First-come choice over pairs (a, b, self): in each round the pairs that
     are first (self, a, b) at both of their nodes are taken and their nodes
     leave, so the outcome equals a pass over all pairs in that order."""
     left = materialize(pairs, "pairs")
     taken = None
-    for _ in range(max_rounds):
+    while True:
         if is_empty(left):
             break
         rank = F.struct("self", "a", "b")
@@ -289,7 +289,7 @@ def node_coverage(parts: DataFrame, coverage: DataFrame) -> DataFrame:
     return t.groupBy("node").agg((F.coalesce(total(u, m), F.sum(m)) / F.coalesce(total(u, F.col("len")), F.sum("len"))).alias("cov"))
 
 
-def bounded_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, tolerance: int, max_steps: int = 1000) -> DataFrame:
+def bounded_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, tolerance: int) -> DataFrame:
     """Unique ways along overlap edges between linked nodes: (id1, id2, path).
 
     A frontier of all searches moves one edge per round; a node is entered once
@@ -303,7 +303,7 @@ def bounded_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, toleranc
                                      F.lit(0).cast("bigint").alias("dist"), F.array("id1").alias("path"), F.lit(False).alias("many")), "front")
     seen = front.select("id1", "id2", "at")
     found = None
-    for _ in range(max_steps):
+    while True:
         nxt = (front.join(step, F.col("at") == F.col("u")).withColumn("dist", F.col("dist") + F.col("add"))
                .where(F.col("dist") - F.col("add") <= F.col("limit") + tolerance)
                .select("id1", "id2", "limit", F.col("v").alias("at"), "dist", "path", "many"))
@@ -320,7 +320,7 @@ def bounded_paths(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, toleranc
     return found.where(~F.col("many")).select("id1", "id2", "path", "dist")
 
 
-def grow_layouts(nodes: DataFrame, edges: DataFrame, tolerance: int, max_rounds: int = 10_000) -> DataFrame:
+def grow_layouts(nodes: DataFrame, edges: DataFrame, tolerance: int) -> DataFrame:
     """Scaffolds by growth: (scaffold, node signed, start, end).
 
     Every scaffold starts as one node. In each round each scaffold proposes its
@@ -339,7 +339,7 @@ def grow_layouts(nodes: DataFrame, edges: DataFrame, tolerance: int, max_rounds:
                                  F.col("len").cast("bigint").alias("end"), "cluster"), "layout")
     d = materialize(directed(edges.select("id1", "id2", "gap", "n_link")).where(F.abs("u") != F.abs("v")), "layout-edges")
     refused = None
-    for _ in range(max_rounds):
+    while True:
         side = lay.select("node", "scaffold", "strand", "start", "end", "cluster")
         label = lay.groupBy("scaffold").agg(F.max("cluster").alias("c"))
         a = side.select(F.col("node").alias("_a"), F.col("scaffold").alias("s1"), F.col("strand").alias("d1"), F.col("start").alias("a1"), F.col("end").alias("e1"))

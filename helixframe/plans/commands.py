@@ -161,15 +161,15 @@ def scaffold(contigs: DataFrame, pairs: DataFrame | None = None, hits: DataFrame
         if mapped is not None:
             sources["pair"] = _pair_evidence(mapped, parts, size, insert)
         if hits is not None:
-            long = lk.long_read_links(hits, size.select("node", "len"), max(min_link, 2), tolerance)
+            long = lk.long_read_links(lk.lift_hits(hits, parts), size.select("node", "len"), 1, tolerance)
             sources["long"] = long.select((F.col("id1") * F.col("direction")).alias("id1"), (F.col("id2") * F.col("direction")).alias("id2"), "gap", "score")
         if not sources and barcodes is None:
             break
-        edges = lk.merge_links(lk.evidence(set(sources), sources), min_link) if sources else None
+        ends = None
         if barcodes is not None:
-            ends = lk.barcode_links(lk.sessions(barcodes), size.select("node", "len"), lk.SESSION_GAP, max(min_link, 2))
-            tagged = ends.select("id1", "id2", "n_link", F.col("n_link").alias("score"), F.lit(0).cast("bigint").alias("gap"), F.lit(False).alias("is_overlap"))
-            edges = tagged if edges is None else edges.unionByName(tagged, allowMissingColumns=True)
+            spans = lk.sessions(lk.lift_barcodes(barcodes, parts))
+            ends = lk.barcode_ends(spans, size.select("node", "len"), lk.SESSION_GAP)
+        edges = lk.pooled_links(lk.evidence(set(sources), sources) if sources else None, ends, min_link)
         edges = materialize(edges, "edges")
         cov = sc.node_coverage(parts, text.select("contig", F.length("seq").alias("len"), "cov"))
         nodes = materialize(size.join(cov, "node").join(sc.node_clusters(parts, label), "node"), "nodes")

@@ -561,13 +561,13 @@ def division_erroneous(spark, d):
     SELECT sg.node AS parent, cast(sg.seg as bigint) AS seg, sg.idx - z AS idx, contig, s - zs AS "start", e - zs AS "end" FROM sg JOIN kp ON kp.node = sg.node AND kp.seg = sg.seg JOIN zs ON zs.node = sg.node AND zs.seg = sg.seg""", "nodes"))
 def division_applied(spark, d):
     p = parts(spark, d)
-    return dv.split_at(p, dv.gap_breaks(p, 100))
+    return dv.split_at(p, dv.gap_breaks(p, 100), unique=True)
 
 
 @query("division_renumbered", "G71 G78", None)
 def division_renumbered(spark, d):
     p = parts(spark, d)
-    return dv.renumbered_nodes(dv.split_at(p, dv.gap_breaks(p, 100)))
+    return dv.renumbered_nodes(dv.split_at(p, dv.gap_breaks(p, 100), unique=True))
 
 
 @query("majority_runs", "W17 A37", sql(_PT + """, w AS (SELECT node, contig % 3 AS l, sum(e - s) AS t, min(idx) AS first, max(idx) AS last FROM parts WHERE contig % 3 <> 0 GROUP BY 1, 2),

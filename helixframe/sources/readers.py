@@ -12,8 +12,7 @@ from ..functions.bases import barcode, header_length_like, header_number, known_
 from ..session import materialize
 
 PAF_SCHEMA = ("q_name string, q_len bigint, q_start bigint, q_end bigint, strand string, t_name string, "
-              "t_len bigint, t_start bigint, t_end bigint, match bigint, aln_len bigint, mapq int, "
-              "tag1 string, tag2 string, tag3 string, tag4 string, tag5 string, tag6 string")
+              "t_len bigint, t_start bigint, t_end bigint, match bigint, aln_len bigint, mapq int")
 
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
@@ -43,7 +42,7 @@ def read_fastq(spark: SparkSession, path) -> DataFrame:
     at = (lines.join(starts.join(first, ["_f", "_s", "_p"]), ["_f", "_s", "_p"])
           .withColumn("_l", F.col("_i") - F.col("_z") + F.col("_o")))
     rec = at.groupBy("_f", F.floor(F.col("_l") / 4).alias("ord")).agg(
-        F.max(F.when(F.col("_l") % 4 == 0, F.substring("value", 2, 1 << 20))).alias("name"),
+        F.max(F.when(F.col("_l") % 4 == 0, F.expr("substring(value, 2)"))).alias("name"),
         F.max(F.when(F.col("_l") % 4 == 1, F.upper("value"))).alias("seq"),
         F.max(F.when(F.col("_l") % 4 == 3, F.col("value"))).alias("qual"))
     return rec.where("seq is not null").select("name", "seq", "qual", "ord", F.col("_f").alias("file"))
@@ -80,10 +79,18 @@ def interleaved_pairs(reads: DataFrame, order: str = "ord", outward: bool = Fals
 
 
 def paired_files(forward: DataFrame, reverse: DataFrame, order: str = "ord") -> DataFrame:
-    """Mates by record number of two files."""
-    f = forward.select(F.col(order).alias("pair_id"), F.lit(0).alias("mate"), "seq")
-    r = reverse.select(F.col(order).alias("pair_id"), F.lit(1).alias("mate"), "seq")
-    return f.unionByName(r)
+    """Mates by record number of two files. When either side reads several files,
+    they are paired in order of their names and ids go on from file to file."""
+    def side(t: DataFrame, mate: int) -> DataFrame:
+        if "file" not in t.columns:
+            return t.select(F.col(order).alias("pair_id"), F.lit(mate).alias("mate"), "seq")
+        # one row a file
+        per = t.groupBy("file").agg((F.max(order) + 1).alias("_n"))
+        before = Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+        return t.join(per, "file").select((F.col(order) + F.col("_o")).alias("pair_id"), F.lit(mate).alias("mate"), "seq")
+
+    return side(forward, 0).unionByName(side(reverse, 1))
 
 
 def with_barcode(reads: DataFrame, name: str = "name") -> DataFrame:
@@ -127,9 +134,11 @@ def cut_unknown(contigs: DataFrame, min_len: int, keep=("contig_id",)) -> DataFr
 
 def read_paf(spark: SparkSession, path) -> DataFrame:
     """Alignment rows with their score (AS:i: tag, wherever it stands)."""
-    t = spark.read.schema(PAF_SCHEMA).option("sep", "\t").csv(path)
-    tags = F.concat_ws("\t", *[f"tag{i}" for i in range(1, 7)])
-    score = F.regexp_extract(tags, r"AS:i:(-?[0-9]+)", 1)
+    line = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    names = [x.split() for x in PAF_SCHEMA.split(", ")]
+    cell = F.split("value", "\t")
+    t = line.select("value", *[F.get(cell, F.lit(i)).cast(kind).alias(name) for i, (name, kind) in enumerate(names)])
+    score = F.regexp_extract("value", r"\tAS:i:(-?[0-9]+)", 1)
     return t.select("q_name", "q_len", "q_start", "q_end", "strand", "t_name", "t_len", "t_start", "t_end", "match",
                     F.when(score != "", score.cast("bigint")).otherwise(F.col("match")).alias("score"))
 
@@ -148,12 +157,18 @@ def read_genes(spark: SparkSession, path) -> DataFrame:
     raw = spark.read.option("lineSep", "\n# ").text(path)
     # a record head is "name\\n# .. \\n# .." so its comment lines come as rows without genes
     block = F.split(F.regexp_replace("value", "^# ", ""), "\n")
-    rows = raw.select(F.monotonically_increasing_id().alias("_o"), F.get(block, F.lit(0)).alias("_head"),
+    rows = raw.select(F.monotonically_increasing_id().alias("_o"), F.col("_metadata.file_path").alias("_f"),
+                      F.input_file_block_start().alias("_s"), F.get(block, F.lit(0)).alias("_head"),
                       F.filter(block, lambda x: x.rlike(r"^\S+\t[0-9]+\t[0-9]+\t[+-]\t")).alias("genes"))
     is_comment = F.col("_head").rlike("^(gc|self)")
-    name = F.last(F.when(~is_comment, F.col("_head")), ignorenulls=True).over(
-        Window.partitionBy(F.shiftright("_o", 33)).orderBy("_o").rowsBetween(Window.unboundedPreceding, 0))
-    part = rows.withColumn("contig", F.trim(name)).select("contig", F.explode("genes").alias("g"))
+    rows = rows.withColumn("_h", F.when(~is_comment, F.col("_head")))
+    name = F.last("_h", ignorenulls=True).over(Window.partitionBy("_f", "_s").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0))
+    # a split that begins inside a record takes the last name of the splits before it
+    last = rows.where("_h is not null").groupBy("_f", "_s").agg(F.max_by("_h", "_o").alias("_l"))
+    splits = rows.select("_f", "_s").distinct().join(last, ["_f", "_s"], "left")
+    before = F.last("_l", ignorenulls=True).over(Window.partitionBy("_f").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    named = rows.withColumn("_n", name).join(splits.select("_f", "_s", before.alias("_b")), ["_f", "_s"])
+    part = named.withColumn("contig", F.trim(F.coalesce("_n", "_b"))).select("contig", F.explode("genes").alias("g"))
     f = F.split("g", "\t")
     return part.select("contig", f[0].alias("gene"), f[1].cast("int").alias("start"), f[2].cast("int").alias("end"),
                        f[3].alias("strand"), f[4].cast("int").alias("frame"), f[5].alias("flags"))

@@ -324,7 +324,10 @@ def test_layout_grows_in_order_and_strand(spark):
 
 def test_split_drops_segments_without_own_contig(spark):
     p = spark.createDataFrame([(1, 0, 5, 0, 10), (1, 1, -6, 20, 30), (2, 0, 6, 0, 10), (2, 1, 7, 40, 50)], "node long, idx int, contig long, start long, end long")
-    out = dv.split_at(p, spark.createDataFrame([(2, 1)], "node long, idx int"))
+    at = spark.createDataFrame([(2, 1)], "node long, idx int")
+    every = dv.split_at(p, at)
+    assert rows(every, "parent", "seg", "contig", "start") == [(1, 0, -6, 20), (1, 0, 5, 0), (2, 0, 6, 0), (2, 1, 7, 0)]
+    out = dv.split_at(p, at, unique=True)
     assert rows(out, "parent", "seg", "contig", "start") == [(1, 0, -6, 20), (1, 0, 5, 0), (2, 1, 7, 0)]
 
 
