@@ -56,22 +56,15 @@ def tag_rows(spark, sf_dir) -> DataFrame:
 
 
 def links(spark, sf_dir) -> DataFrame:
-    """Two mates give one link: even and odd order keys are mates, each order
-    maps to its smallest part key, the offset is the smallest line number there."""
-    li = table(spark, sf_dir, "lineitem")
-    one = li.groupBy("l_orderkey").agg(
-        F.min(F.struct("l_partkey", "l_linenumber", F.floor("l_quantity").cast("bigint").alias("q"))).alias("m"))
-    mates = one.groupBy(F.floor(F.col("l_orderkey") / 2).alias("pair")).agg(
-        F.min("m").alias("a"), F.max("m").alias("b"), F.count(F.lit(1)).alias("n"))
-    # fold the ids so that pairs repeat
-    fold = lambda x: x["l_partkey"] % 40
-    a, b = F.col("a"), F.col("b")
-    e = mates.where((F.col("n") == 2) & (fold(a) != fold(b)))
-    lo, hi = F.when(fold(a) < fold(b), a).otherwise(b), F.when(fold(a) < fold(b), b).otherwise(a)
-    return e.select("pair", lo.alias("lo"), hi.alias("hi")).select(
-        "pair", fold(F.col("lo")).alias("id1"), fold(F.col("hi")).alias("id2"),
-        F.col("lo.l_linenumber").alias("off1"), F.col("hi.l_linenumber").alias("off2"),
-        (F.col("hi.q") - F.col("lo.q")).alias("gap"), (F.col("hi.q") + F.col("lo.q")).alias("score"))
+    """Every two lines of an order whose parts fall to different nodes link
+    them; offsets are line numbers, the gap is the difference of quantities.
+    Part keys fold to 40 nodes, so that links repeat; no line is left out."""
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("pair"), (F.col("l_partkey") % 40).alias("id"), F.col("l_linenumber").alias("off"),
+        F.floor("l_quantity").cast("bigint").alias("q"))
+    one, two = (li.select("pair", *[F.col(c).alias(f"{c}{i}") for c in ("id", "off", "q")]) for i in (1, 2))
+    return one.join(two, "pair").where("id1 < id2").select(
+        "pair", "id1", "id2", "off1", "off2", (F.col("q2") - F.col("q1")).alias("gap"), (F.col("q2") + F.col("q1")).alias("score"))
 
 
 def positions(spark, sf_dir) -> DataFrame:
@@ -113,14 +106,9 @@ SQL = {
     "nodes": """nodes AS (SELECT p_partkey AS node, cast(p_size * 100 as bigint) AS len,
         cast(floor(p_retailprice) as int) AS cov, p_partkey % 7 AS cluster FROM part)""",
     "tag_rows": "tag_rows AS (SELECT l_orderkey AS tag, l_partkey AS node FROM lineitem)",
-    "links": """one AS (SELECT l_orderkey, min(row(l_partkey, l_linenumber, cast(floor(l_quantity) as bigint))) AS m FROM lineitem GROUP BY 1),
-      ranked AS (SELECT l_orderkey, l_partkey, l_linenumber, cast(floor(l_quantity) as bigint) AS q,
-        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, floor(l_quantity)) AS rn FROM lineitem),
-      best AS (SELECT l_orderkey // 2 AS pair, l_partkey, l_linenumber, q FROM ranked WHERE rn = 1),
-      paired AS (SELECT pair, l_partkey % 40 AS id, l_linenumber AS off, q,
-        count(*) OVER (PARTITION BY pair) AS n FROM best),
+    "links": """li AS (SELECT l_orderkey AS pair, l_partkey % 40 AS id, l_linenumber AS off, cast(floor(l_quantity) as bigint) AS q FROM lineitem),
       links AS (SELECT a.pair, a.id AS id1, b.id AS id2, a.off AS off1, b.off AS off2, b.q - a.q AS gap, b.q + a.q AS score
-        FROM paired a JOIN paired b ON a.pair = b.pair AND a.id < b.id WHERE a.n = 2)""",
+        FROM li a JOIN li b ON a.pair = b.pair AND a.id < b.id)""",
     "positions": """positions AS (SELECT user_id AS tag, event_type AS node, cast(floor(epoch(ts)) as bigint) AS pos,
         value, event_id FROM events)""",
     "intervals": """intervals AS (SELECT event_type AS node, user_id AS tag, cast(floor(epoch(ts)) as bigint) AS s,
@@ -133,9 +121,6 @@ SQL = {
         cast(floor(floor(l_quantity) * 9 * CASE WHEN l_returnflag = 'R' THEN 0.75 ELSE 0.9 END) as bigint) AS match,
         cast(l_suppkey * 10 as bigint) AS t_start FROM lineitem)""",
 }
-# the pair projection needs no nested minimum in SQL
-SQL["links"] = SQL["links"][SQL["links"].index("ranked AS"):]
-
 
 def sql(body: str, *names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(SQL[n] for n in names) + body

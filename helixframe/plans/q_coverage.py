@@ -38,8 +38,8 @@ def pair_inner_intervals(spark, d):
     return cv.pair_intervals(p, fx.nodes(spark, d).select("node", "len"), 300, 30, 100)
 
 
-_CHAIN_IN = """, lh AS (SELECT read_id, node % 20 AS node, 800 AS read_len, t_start + q_start AS t_start, t_start + q_end AS t_end FROM hits),
-    nl AS (SELECT node, 100000 + len AS len FROM nodes WHERE node < 20),
+_CHAIN_IN = """, lh AS (SELECT read_id, node, 800 AS read_len, t_start + q_start AS t_start, t_start + q_end AS t_end FROM hits),
+    nl AS (SELECT node, 100000 + len AS len FROM nodes),
     ch AS (SELECT read_id, read_len, lh.node, least(greatest(t_start, 0), len - 1) AS s, max(least(greatest(t_end, 0), len - 1)) AS e FROM lh JOIN nl ON nl.node = lh.node GROUP BY 1, 2, 3, 4),
     cb AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY read_id, node ORDER BY s) + 1 > read_len THEN 1 ELSE 0 END AS nw FROM ch),
     cr AS (SELECT *, sum(nw) OVER (PARTITION BY read_id, node ORDER BY s) AS run FROM cb),
@@ -49,9 +49,9 @@ _CHAIN_IN = """, lh AS (SELECT read_id, node % 20 AS node, 800 AS read_len, t_st
 
 
 def _chains(spark, d):
-    h = fx.hits(spark, d).select("read_id", (F.col("node") % 20).alias("node"), F.lit(800).alias("read_len"),
+    h = fx.hits(spark, d).select("read_id", "node", F.lit(800).alias("read_len"),
                                  (F.col("t_start") + F.col("q_start")).alias("t_start"), (F.col("t_start") + F.col("q_end")).alias("t_end"))
-    n = fx.nodes(spark, d).where("node < 20").select("node", (F.col("len") + 100000).alias("len"))
+    n = fx.nodes(spark, d).select("node", (F.col("len") + 100000).alias("len"))
     return cv.alignment_chains(h, n)
 
 

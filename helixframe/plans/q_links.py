@@ -82,21 +82,14 @@ _MERGED = """, mh AS (SELECT read_id, node, cast(sum(score) as bigint) AS score
     ex AS (SELECT read_id, bh.node, score, q_start - t_start AS l, q_start - t_start + len - 1 AS r FROM bh JOIN mh USING (read_id, node) JOIN nodes ON nodes.node = bh.node)"""
 
 
-def _folded_hits(spark, d):
-    return fx.hits(spark, d).withColumn("node", F.col("node") % 200)
-
-
-_FOLD = """, fh AS (SELECT read_id, node % 200 AS node, q_start, q_end, t_start, score FROM hits)"""
-
-
-@query("long_read_links", "J25 A16", sql(_FOLD + _MERGED.replace("FROM hits", "FROM fh") + """,
+@query("long_read_links", "J25 A16", sql(_MERGED + """,
     lp AS (SELECT a.read_id, a.node AS id1, b.node AS id2, a.score + b.score AS score,
       CASE WHEN a.l <= b.l THEN 1 ELSE -1 END AS direction, CASE WHEN a.l <= b.l THEN b.l - a.r - 1 ELSE a.l - b.r - 1 END AS gap,
       count(*) OVER (PARTITION BY a.node, b.node) AS shared, CASE WHEN a.l <= b.l THEN a.r <= b.r ELSE b.r <= a.r END AS ok
       FROM ex a JOIN ex b ON a.read_id = b.read_id AND a.node < b.node)
-    SELECT read_id, id1, id2, direction, gap, score FROM lp WHERE ok AND shared >= 3 AND gap >= -2000""", "hits", "nodes"))
+    SELECT read_id, id1, id2, direction, gap, score FROM lp WHERE ok AND shared >= 2 AND gap >= -2000""", "hits", "nodes"))
 def long_read_links(spark, d):
-    return lk.long_read_links(_folded_hits(spark, d), fx.nodes(spark, d).select("node", "len"), 3, 2000)
+    return lk.long_read_links(fx.hits(spark, d), fx.nodes(spark, d).select("node", "len"), 2, 2000)
 
 
 @query("tag_sessions", "W5", sql("""
@@ -119,9 +112,9 @@ def molecule_length(spark, d):
 
 @query("barcode_links", "J26")
 def barcode_links(spark, d):
-    rows = fx.hits(spark, d).select(F.col("read_id").alias("tag"), (F.col("node") % 50 + 1).alias("node"), F.col("q_start").alias("pos"))
+    rows = fx.hits(spark, d).select(F.col("read_id").alias("tag"), "node", F.col("q_start").alias("pos"))
     spans = lk.sessions(rows, gap=200)
-    lengths = fx.nodes(spark, d).where("node between 1 and 50").select("node", F.lit(900).alias("len"))
+    lengths = fx.nodes(spark, d).select("node", F.lit(900).alias("len"))
     return lk.barcode_links(spans, lengths, 300, 2)
 
 

@@ -62,15 +62,15 @@ def ratio_closeness(spark, d):
 
 
 @query("ungapped_identity", "P15 P16", sql("""
-    , m AS (SELECT read_id // 2 AS pair, max(CASE WHEN read_id % 2 = 0 THEN left(seq, 400) END) AS a,
-        max(CASE WHEN read_id % 2 = 1 THEN left(seq, 400) END) AS b FROM reads_n GROUP BY 1),
+    , m AS (SELECT read_id // 2 AS pair, max(CASE WHEN read_id % 2 = 0 THEN seq END) AS a,
+        max(CASE WHEN read_id % 2 = 1 THEN seq END) AS b FROM reads_n GROUP BY 1),
     t AS (SELECT pair, left(a, least(length(a), length(b))) AS a, left(b, least(length(a), length(b))) AS b FROM m
         WHERE a IS NOT NULL AND b IS NOT NULL),
     n AS (SELECT *, (SELECT count(*) FROM (SELECT unnest(range(1, length(a) + 1)) AS i)
         WHERE a[i] <> b[i] AND a[i] <> 'N' AND b[i] <> 'N') AS mism FROM t)
     SELECT pair, cast(mism as int) AS mism, mism <= floor(0.35 * length(a)) AS ok FROM n""", "reads_n"))
 def ungapped_identity(spark, d):
-    r = fx.reads_n(spark, d).withColumn("s", F.left("seq", F.lit(400)))
+    r = fx.reads_n(spark, d).withColumn("s", F.col("seq"))
     even = r.where("read_id % 2 = 0").select(F.expr("read_id div 2").alias("pair"), F.col("s").alias("a"))
     odd = r.where("read_id % 2 = 1").select(F.expr("read_id div 2").alias("pair"), F.col("s").alias("b"))
     n = F.least(F.length("a"), F.length("b"))
@@ -108,13 +108,13 @@ def common_end_trim(spark, d):
 
 
 @query("edit_distance", "F4 F6", sql("""
-    SELECT a.contig_id AS id1, cast(levenshtein(left(a.seq, 60), left(b.seq, 60)) as int) AS dist
+    SELECT a.contig_id AS id1, cast(levenshtein(a.seq, b.seq) as int) AS dist
     FROM contigs a JOIN contigs b ON b.contig_id = a.contig_id + 1""", "contigs"))
 def edit_distance(spark, d):
     c = fx.contigs(spark, d)
     nxt = c.select((F.col("contig_id") - 1).alias("contig_id"), F.col("seq").alias("b"))
     return c.join(nxt, "contig_id").select(F.col("contig_id").alias("id1"),
-                                           F.levenshtein(F.left("seq", F.lit(60)), F.left("b", F.lit(60))).alias("dist"))
+                                           F.levenshtein("seq", "b").alias("dist"))
 
 
 @query("approximate_overlap", "J21 F5 F6", sql("""
