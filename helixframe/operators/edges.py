@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import is_empty, materialize
+from ..session import discard, is_empty, materialize
 
 LINK_RATE = 0.25        # fixed values: evidence ratios of the edge rules
 EXPECTED_RATE = 0.5
@@ -300,4 +300,6 @@ def until_stable(edges: DataFrame, rule) -> DataFrame:
         bad = materialize(rule(edges).select("id1", "id2").distinct(), "bad-edges")
         if is_empty(bad):
             return edges
-        edges = materialize(without(edges, bad), "edges")
+        before, edges = edges, materialize(without(edges, bad), "edges")
+        discard(before)
+        discard(bad)

@@ -71,6 +71,17 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a step table that nothing reads any more. Only files
+    under the work folder are touched."""
+    spark = df.sparkSession
+    plain = lambda path: path.removeprefix("file:").lstrip("/")
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if plain(path).startswith(plain(work_dir(spark)) + "/"):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
