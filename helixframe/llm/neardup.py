@@ -17,8 +17,9 @@ the sketches leave possible join documents to crowds, links join them to
 components. Inside a crowd only documents outside its largest component are
 compared further, in tiles of packed sets: shared shingles of a pair of tiles are
 counted by one matrix product, and a tile returns a spanning forest of its
-links. Between crowds the pairs of a list that are left are compared one by one.
-No group of copies is ever written out as pairs.
+links. A document that shares a list with a larger crowd is compared with it as a
+guest, in the same tiles; pairs of a list between small crowds are compared one
+by one. No group of copies is ever written out as pairs.
 
 Defined cases: null and empty texts have an empty set and link with nothing;
 rows without an id stand alone (component null, kept); rows that repeat an id
@@ -46,6 +47,7 @@ LEAST = 21
 HEADS = 4              # classes of lists with a head of their own
 TILE = 60_000          # shingles of a tile of a crowd, about
 COLUMNS = 4096         # shingles that are counted at once
+LARGE = 16             # documents from which a crowd takes guests
 
 
 def loss(k: int, similarity: float, least: int) -> float:
@@ -183,16 +185,20 @@ def tile_links(x: tuple, y: tuple, percent: int, same: bool) -> tuple[np.ndarray
     return (i[i < j], j[i < j]) if same else (i, j)
 
 
-def _crowd_links(crowds: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between components of a crowd: rows of ``crowds`` are id, n, crowd,
-    component_id."""
-    parts = crowds.groupBy("crowd", "component_id").agg(F.count(F.lit(1)).alias("c"))
-    main = parts.groupBy("crowd").agg(F.max_by("component_id", F.col("c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    # documents outside the largest component, and those in it
-    sides = crowds.join(main, "crowd").withColumn("out", F.col("component_id") != F.col("main"))
+def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of a crowd, and of guests (id, crowd) with the
+    documents of a crowd: rows of ``nodes`` are id, n, crowd, component_id."""
+    parts = nodes.groupBy("crowd", "component_id").agg(F.count(F.lit(1)).alias("c"))
+    main = parts.groupBy("crowd").agg(F.max_by("component_id", F.struct("c", "component_id")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    visited = guests.select("crowd").distinct().withColumn("visited", F.lit(True))
+    main = main.join(visited, "crowd", "left").where("parts > 1 or visited").select("crowd", "main")
+    # documents outside the largest component and guests, and those in it
+    own = nodes.join(main, "crowd").withColumn("out", F.col("component_id") != F.col("main"))
+    told = nodes.select("id", "n", "component_id").join(guests, "id").withColumn("out", F.lit(True))
+    sides = materialize(own.drop("main").unionByName(told), "sides")
     tiles = sides.groupBy("crowd", "out").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
     sides = sides.join(tiles, ["crowd", "out"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    sides = materialize(sides.select("id", "crowd", "out", "tile", "component_id"), "crowds")
+    sides = sides.select("id", "crowd", "out", "tile", "component_id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in W.pieces(batches):
@@ -253,18 +259,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     likely = materialize(_likely(stars, reps, k, least, percent), "likely")
     edges = _verified(likely, texts, size, percent)
     crowd = components(likely, "crowd").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
-    nodes = materialize(with_components(reps.select("id", "n").join(crowd, "id"), "id", edges), "nodes")
-    edges = edges.unionByName(_crowd_links(nodes, texts, size, percent))
-
-    placed = materialize(rare.join(crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", "id")), "placed")
-    most = placed.groupBy("v", "crowd").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(
-        F.max_by("crowd", "c").alias("most"), F.count(F.lit(1)).alias("crowds")).where("crowds > 1")
-    left = placed.join(most, "v")
-    x, y = left.where("crowd <> most").alias("x"), left.alias("y")
+    nodes = reps.select("id", "n").join(crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", "id"))
+    nodes = materialize(with_components(nodes, "id", edges), "nodes")
+    large = nodes.groupBy("crowd").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE).select("crowd", F.lit(True).alias("large"))
+    where = nodes.select("id", "crowd").join(large, "crowd", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    placed = materialize(rare.join(where, "id"), "placed")
+    hosts = placed.where("large").select("v", F.col("crowd").alias("host")).distinct()
+    guests = placed.join(hosts, "v").where("crowd <> host and (not large or crowd < host)").select("id", F.col("host").alias("crowd")).distinct()
+    edges = edges.unionByName(_crowd_links(nodes, materialize(guests, "guests"), texts, size, percent))
+
+    small = placed.where("not large")
+    x, y = small.alias("x"), small.alias("y")
     rest = (x.join(y, F.col("x.v") == F.col("y.v"))
-            .where(((F.col("y.crowd") == F.col("y.most")) | (F.col("x.id") < F.col("y.id"))) & (F.col("x.crowd") != F.col("y.crowd"))
-                   & _near(F.col("x.n"), F.col("y.n"), percent))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+            .where((F.col("x.id") < F.col("y.id")) & (F.col("x.crowd") != F.col("y.crowd")) & _near(F.col("x.n"), F.col("y.n"), percent))
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
     more = _verified(_likely(materialize(rest, "pairs"), reps, k, least, percent), texts, size, percent)
     # members of a class hang on its smallest id

@@ -5,22 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize, work_dir
+from ..session import discard as drop_table, materialize
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a step table once a later one replaces it."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.removeprefix("file:").lstrip("/").startswith(work_dir(spark).removeprefix("file:").lstrip("/")):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b: long).
 
