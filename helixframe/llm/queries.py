@@ -54,13 +54,35 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       rules.fails("base").alias("base_failed"), (~rules.fails("v1")).alias("kept"), value("failed"))
 
 
-@query("op7_minhash_near_dedup")
+@query("op7_minhash_near_dedup", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws
+    FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws
+    ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || chr(10) || ws[i + 1]) END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=2)
 
 
-@query("op1_embedding_near_dedup")
+@query("op1_embedding_near_dedup", """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, list_dot_product(e, e) AS q FROM v WHERE len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / sqrt(a.q * b.q) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS node, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id""")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -82,7 +104,16 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc.doc_id", "n_tokens", "bucket", "bucket_len", "batch", "slot")
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], chr(10)) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g),
+gone AS (SELECT DISTINCT doc_id, i + s AS i FROM f, (SELECT unnest(range(20)) AS s) WHERE k > 1),
+k AS (SELECT t.doc_id, count(gone.i) AS n_removed, string_agg(CASE WHEN gone.i IS NULL THEN word END, ' ' ORDER BY t.i) AS kept
+      FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.i = t.i GROUP BY t.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id""")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_rows(spark)
     return substring.remove_repeats(read(spark, sf_dir, "documents"), length=20).drop("kept_text")
