@@ -40,7 +40,8 @@ def lift(hits: DataFrame, parts: DataFrame) -> DataFrame:
 
 def merge_links(links: DataFrame, min_link: int, keys: Sequence[str] = ("id1", "id2")) -> DataFrame:
     """Links to edges: number, summed score, middle gap and overlap mark; kept
-    with at least ``min_link`` links or an overlap. Overlap rows do not count."""
+    with at least ``min_link`` links or an overlap. Overlap rows do not count; an
+    edge with one has the overlap's gap (the largest of several) and score 0."""
     keys = list(keys)
     has = "is_overlap" in links.columns
     flag = F.col("is_overlap") if has else F.lit(False)
@@ -50,7 +51,8 @@ def merge_links(links: DataFrame, min_link: int, keys: Sequence[str] = ("id1", "
     half = F.floor(F.col("all") / 2)
     odd = F.col("all") % 2 == 1
     edge = run.groupBy(*keys).agg(
-        F.max("all").alias("n_link"), F.sum("s").cast("bigint").alias("score"), F.bool_or("o").alias("is_overlap"),
+        F.max("all").alias("n_link"), F.when(F.bool_or("o"), F.lit(0)).otherwise(F.sum("s")).cast("bigint").alias("score"), F.bool_or("o").alias("is_overlap"),
+        F.max(F.when(F.col("o"), F.col("gap"))).alias("_og"),
         F.min(F.when(F.col("cum") > half, F.col("gap"))).alias("_hi"),
         F.min(F.when(F.col("cum") >= half, F.col("gap"))).alias("_lo"))
     total = (F.col("_hi") + F.col("_lo")).cast("bigint")
@@ -59,7 +61,7 @@ def merge_links(links: DataFrame, min_link: int, keys: Sequence[str] = ("id1", "
     mid = F.when(odd, F.col("_hi")).otherwise(F.when(halved >= 0, halved).otherwise(F.ceil(halved + 0.5))).cast("bigint")
     return (edge.where((F.col("n_link") >= min_link) | F.col("is_overlap"))
             .select(*keys, (F.col("n_link") - F.when(F.col("is_overlap"), 1).otherwise(0)).cast("bigint").alias("n_link"),
-                    "score", mid.alias("gap"), "is_overlap"))
+                    "score", F.coalesce("_og", mid).cast("bigint").alias("gap"), "is_overlap"))
 
 
 def average_gap(links: DataFrame, min_link: int) -> DataFrame:

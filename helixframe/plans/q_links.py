@@ -39,13 +39,15 @@ def link_breakdown(spark, d):
 
 @query("link_sources_by_mode", "U2 U3 G33", sql("""
     , a AS (SELECT id1, id2, gap, score, false AS o FROM links WHERE pair % 2 = 0 UNION ALL SELECT id1, id2, -5, 0, true FROM links WHERE pair % 11 = 0)
-    SELECT id1, id2, count(*) - CASE WHEN bool_or(o) THEN 1 ELSE 0 END AS n_link, bool_or(o) AS is_overlap FROM a GROUP BY 1, 2 HAVING count(*) >= 3 OR bool_or(o)""", "links"))
+    SELECT id1, id2, count(*) - CASE WHEN bool_or(o) THEN 1 ELSE 0 END AS n_link, bool_or(o) AS is_overlap,
+      cast(CASE WHEN bool_or(o) THEN 0 ELSE sum(score) END as bigint) AS score, cast(max(CASE WHEN o THEN gap END) as bigint) AS overlap_gap FROM a GROUP BY 1, 2 HAVING count(*) >= 3 OR bool_or(o)""", "links"))
 def link_sources_by_mode(spark, d):
     l = fx.links(spark, d)
     src = {"pair": l.where("pair % 2 = 0").select("id1", "id2", "gap", "score", F.lit(False).alias("is_overlap")),
            "long": l.where("pair % 2 = 1").select("id1", "id2", "gap", "score", F.lit(False).alias("is_overlap")),
            "overlap": l.where("pair % 11 = 0").select("id1", "id2", F.lit(-5).cast("bigint").alias("gap"), F.lit(0).cast("bigint").alias("score"), F.lit(True).alias("is_overlap"))}
-    return lk.merge_links(lk.evidence({"pair", "overlap"}, src), 3).select("id1", "id2", "n_link", "is_overlap")
+    return lk.merge_links(lk.evidence({"pair", "overlap"}, src), 3).select(
+        "id1", "id2", "n_link", "is_overlap", "score", F.when(F.col("is_overlap"), F.col("gap")).alias("overlap_gap"))
 
 
 @query("tag_counts_by_contig", "A33", sql(" SELECT tag, node, count(*) AS n FROM tag_rows GROUP BY 1, 2", "tag_rows"))
