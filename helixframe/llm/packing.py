@@ -27,7 +27,7 @@ from .mix import n_words
 CLASSES = 4096
 BUCKETS = 16
 BUDGET = 16384
-SHARD_ROWS = 50_000
+SHARD_ROWS = 5_000
 SEED = 29
 
 
@@ -89,8 +89,11 @@ def pack(docs: DataFrame, keep: Sequence[str], doc_id: str = "doc_id", text: str
     held = [int(count[(border <= e) & (border > (edges[i - 1] if i else -1))].sum()) for i, e in enumerate(edges)] or [0]
     number = lambda values: F.array(*[F.lit(v).cast("long") for v in values or [0]])
     of = lambda values: F.element_at(number(values), F.col("bucket") + 1)
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("doc"), F.col(doc_id).alias("_id"), tokens.alias("n_tokens"))
-    rows = rows.withColumn("bucket", F.size(F.filter(number(edges[:-1] if edges else []), lambda e: e < F.col("n_tokens"))) if len(edges) > 1 else F.lit(0))
+    upper = number(edges[:-1]) if len(edges) > 1 else F.array().cast("array<bigint>")
+    # inside the lambda the tokens are a value; outside they would be counted for every border
+    found = F.get(F.transform(F.array(tokens), lambda n: F.struct(n.alias("n"), F.size(F.filter(upper, lambda e: e < n)).alias("b"))), F.lit(0))
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("doc"), F.col(doc_id).alias("_id"), found.alias("_p"))
+    rows = rows.select("doc", "_id", F.col("_p.n").alias("n_tokens"), F.col("_p.b").alias("bucket"))
     rows = rows.withColumn("bucket_len", of(edges)).withColumn("_order", F.xxhash64(F.lit(seed), "_id", "n_tokens"))
     rows = rows.withColumn("_shard", F.pmod(F.col("_order"), of([max(1, -(-n // shard_rows)) for n in held])).cast("int"))
     shards = rows.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_n"))
