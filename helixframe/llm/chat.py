@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators import skew
 from ..session import is_empty, materialize
-from .tables import drop_table
 
 MARK = r"^(?:\s*>)+"
 
@@ -88,12 +87,12 @@ def quotation_links(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
 
 def _heads(up: DataFrame) -> DataFrame:
     """(conv, turn, branch): the end of the ``up`` links of each message, by
-    pointer doubling until nothing moves."""
-    now = materialize(up.select("conv", "turn", F.coalesce("up", "turn").alias("branch")), "branches")
-    while True:
-        step = now.select("conv", F.col("turn").alias("branch"), F.col("branch").alias("next"))
-        after = materialize(now.join(step, ["conv", "branch"]).select("conv", "turn", F.col("next").alias("branch"), (F.col("next") != F.col("branch")).alias("moved")), "branches")
-        drop_table(now)
-        now = after.select("conv", "turn", "branch")
-        if is_empty(after.where("moved")):
-            return now
+    pointer doubling. Messages that reached their end leave; a round joins only
+    those that still move."""
+    now = materialize(up.select("conv", "turn", F.coalesce("up", "turn").alias("branch"), F.col("up").isNull().alias("done")), "branches")
+    ended, moving = now.where("done"), now.where(~F.col("done"))
+    while not is_empty(moving):
+        step = ended.unionByName(moving).select("conv", F.col("turn").alias("branch"), F.col("branch").alias("next"), "done")
+        now = materialize(moving.drop("done").join(step, ["conv", "branch"]).select("conv", "turn", F.col("next").alias("branch"), "done"), "branches")
+        ended, moving = ended.unionByName(now.where("done")), now.where(~F.col("done"))
+    return ended.select("conv", "turn", "branch")
