@@ -226,11 +226,24 @@ def renumbered_nodes(split: DataFrame) -> DataFrame:
 
 
 def majority_run(labels: DataFrame, score_factor: float = 1.0) -> DataFrame:
-    """Longest-total label of each node and the stretch from its first to its
-    last part: (node, label, first, last). labels: (node, idx, label, len)."""
+    """Longest-total label of each node and its run: (node, label, first, last).
+    labels: (node, idx, label, len).
+
+    The run reaches from the first to the last part with the label, without the
+    ends where other labels outweigh it: it begins where the parts before count
+    most for others (their lengths times ``score_factor`` minus those of the
+    label), and ends in the same way. Unlabelled parts weigh nothing."""
     w = labels.where("label <> 0").groupBy("node", "label").agg(F.sum("len").alias("l"), F.min("idx").alias("first"), F.max("idx").alias("last"))
-    return w.groupBy("node").agg(F.max(F.struct("l", (-F.col("label")).alias("i"), "label", "first", "last")).alias("b")).select(
-        "node", "b.label", "b.first", "b.last")
+    best = w.groupBy("node").agg(F.max(F.struct("l", (-F.col("label")).alias("i"), "label", "first", "last")).alias("b")).select(
+        "node", F.col("b.label").alias("best"), "b.first", "b.last")
+    weight = F.when(F.col("label") == F.col("best"), -F.col("len")).when(F.col("label") != 0, F.col("len") * score_factor).otherwise(0).cast("double")
+    inside = labels.join(best, "node").where("idx between first and last").select("node", "idx", "best", weight.alias("w"))
+    run = materialize(running_sum(ordered_blocks(inside, ["node"], ["idx"], "run"), ["node"], ["idx"], "w", "sum"), "run")
+    start = run.groupBy("node").agg(F.max_by("idx", F.struct(F.col("sum") - F.col("w"), -F.col("idx"))).alias("first"),
+                                    F.first("best").alias("label"), F.sum("w").alias("all"))
+    late = run.select("node", "idx", "sum").join(start, "node").where("idx > first")
+    end = late.groupBy("node").agg(F.max_by("idx", F.struct(F.col("all") - F.col("sum"), F.col("idx"))).alias("last"))
+    return start.join(end, "node", "left").select("node", "label", "first", F.coalesce("last", "first").alias("last"))
 
 
 def smoothed(labels: DataFrame) -> DataFrame:

@@ -571,7 +571,14 @@ def division_renumbered(spark, d):
 
 
 @query("majority_runs", "W17 A37", sql(_PT + """, w AS (SELECT node, contig % 3 AS l, sum(e - s) AS t, min(idx) AS first, max(idx) AS last FROM parts WHERE contig % 3 <> 0 GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t DESC, l) AS rn FROM w) SELECT node, l AS label, first, last FROM r WHERE rn = 1""", "nodes"))
+    r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY t DESC, l) AS rn FROM w),
+    x AS (SELECT node, idx, l, last, CASE WHEN contig % 3 = l THEN s - e WHEN contig % 3 <> 0 THEN e - s ELSE 0 END AS x
+      FROM parts JOIN r USING (node) WHERE rn = 1 AND idx BETWEEN first AND last),
+    b AS (SELECT *, sum(x) OVER (PARTITION BY node ORDER BY idx ROWS UNBOUNDED PRECEDING) - x AS before,
+      sum(x) OVER (PARTITION BY node ORDER BY idx DESC ROWS UNBOUNDED PRECEDING) - x AS after FROM x),
+    st AS (SELECT node, l, idx AS first FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY before DESC, idx) AS k FROM b) WHERE k = 1),
+    en AS (SELECT node, idx AS last FROM (SELECT b.*, row_number() OVER (PARTITION BY b.node ORDER BY after DESC, idx DESC) AS k FROM b JOIN st ON st.node = b.node AND idx > st.first) WHERE k = 1)
+    SELECT st.node, l AS label, first, coalesce(en.last, first) AS last FROM st LEFT JOIN en ON en.node = st.node""", "nodes"))
 def majority_runs(spark, d):
     return dv.majority_run(parts(spark, d).select("node", "idx", (F.col("contig") % 3).alias("label"), (F.col("end") - F.col("start")).alias("len")))
 

@@ -97,3 +97,37 @@ def test_pairs_of_several_files(spark, tmp_path):
     read = lambda k: readers.read_fastq(spark, [str(tmp_path / f"{x}_{k}.fq") for x in "ab"])
     got = readers.paired_files(read(1), read(2))
     assert rows(got, "pair_id", "mate", "seq") == [(0, 0, "AC"), (0, 1, "TT"), (1, 0, "CC"), (1, 1, "TA"), (2, 0, "GT"), (2, 1, "GG")]
+
+
+def trimmed_run(ids, size, factor):
+    """The run of the majority label of one node, step by step."""
+    total = {}
+    for i, n in zip(ids, size):
+        total[i] = total.get(i, 0) + (n if i else 0)
+    label = min((k for k in total if k), key=lambda k: (-total[k], k))
+    at = [i for i, x in enumerate(ids) if x == label]
+    first, last = at[0], at[-1]
+
+    def trim(order, keep):
+        score = 0
+        for i in order:
+            if score > 0:
+                score, keep = 0, i
+            score += 0 if not ids[i] else -size[i] if ids[i] == label else size[i] * factor
+        return keep
+    first = trim(range(first, last + 1), first)
+    return label, first, trim(range(last, first, -1), last)
+
+
+def test_majority_run_drops_outweighed_ends(spark):
+    import random
+
+    from helixframe.operators import division as dv
+    rng = random.Random(3)
+    cases = {n: ([rng.choice([0, 1, 1, 2, 3]) for _ in range(rng.randrange(1, 30))]) for n in range(60)}
+    cases = {n: ids if any(ids) else [1] for n, ids in cases.items()}
+    size = {n: [rng.randrange(1, 50) for _ in ids] for n, ids in cases.items()}
+    df = spark.createDataFrame([(n, i, x, size[n][i]) for n, ids in cases.items() for i, x in enumerate(ids)], "node long, idx int, label long, len long")
+    for factor in (1.0, 2.0):
+        got = {r.node: (r.label, r.first, r.last) for r in dv.majority_run(df, factor).collect()}
+        assert got == {n: trimmed_run(ids, size[n], factor) for n, ids in cases.items()}
