@@ -45,7 +45,8 @@ from .tables import components, drop_table, with_components
 K = 48
 LEAST = 21
 HEADS = 4              # classes of lists with a head of their own
-TILE = 60_000          # shingles of a tile of a crowd, about
+TILE = 500_000         # shingles of a tile of a crowd, about
+TILE_ROWS = 1000       # documents of a tile, about
 COLUMNS = 4096         # shingles that are counted at once
 LARGE = 16             # documents from which a crowd takes guests
 
@@ -115,20 +116,24 @@ def _rare(reps: DataFrame, least: int, percent: int) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int) -> DataFrame:
-    """Pairs whose union sketch does not rule the similarity out."""
+    """Pairs that belong to one crowd (a, b, possible): the union sketches have
+    two thirds of ``least`` in common, or complete sets share two fifths of their
+    union; ``possible`` tells whether they may be linked."""
     side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
+    inter, all_ = F.size(F.array_intersect("sa", "sb")), F.size(F.array_union("sa", "sb"))
     whole = (F.size("sa") < k) & (F.size("sb") < k)        # complete sets: exact
-    return both.where(F.when(whole, F.size(F.array_intersect("sa", "sb")) * 100 >= F.size(F.array_union("sa", "sb")) * percent).otherwise(common >= least)).select("a", "b")
+    near = F.when(whole, inter * 5 >= all_ * 2).otherwise(common * 3 >= 2 * least)
+    return both.where(near).select("a", "b", F.when(whole, inter * 100 >= all_ * percent).otherwise(common >= least).alias("possible"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B| on their full sets."""
-    # as a table, so that the planner knows when the ids are few
+    # the ids grow with the documents, so they are never broadcast
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = materialize(docs.join(ids, "id", "left_semi"), "texts")
+    texts = materialize(docs.join(ids.hint("merge"), "id", "left_semi"), "texts")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -196,7 +201,7 @@ def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int
     own = nodes.join(main, "crowd").withColumn("out", F.col("component_id") != F.col("main"))
     told = nodes.select("id", "n", "component_id").join(guests, "id").withColumn("out", F.lit(True))
     sides = materialize(own.drop("main").unionByName(told), "sides")
-    tiles = sides.groupBy("crowd", "out").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    tiles = sides.groupBy("crowd", "out").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
     sides = sides.join(tiles, ["crowd", "out"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     sides = sides.select("id", "crowd", "out", "tile", "component_id")
 
@@ -206,7 +211,7 @@ def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int
             raw = W.arrow_binary(v.view(np.uint8), at * 8)
             yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in (0, 2, 3, 4, 5)], raw], ["id", "crowd", "out", "tile", "component_id", "set"])
 
-    rows = docs.join(sides, "id").select("id", "text", "crowd", "out", "tile", "component_id").mapInArrow(
+    rows = docs.join(sides.hint("merge"), "id").select("id", "text", "crowd", "out", "tile", "component_id").mapInArrow(
         packed, "id long, crowd long, out boolean, tile int, component_id long, set binary")
 
     def pack(t: pd.DataFrame) -> pd.DataFrame:
@@ -257,8 +262,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     stars = materialize(_stars(rare, percent), "pairs")
     likely = materialize(_likely(stars, reps, k, least, percent), "likely")
-    edges = _verified(likely, texts, size, percent)
-    crowd = components(likely, "crowd").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+    edges = _verified(likely.where("possible").select("a", "b"), texts, size, percent)
+    crowd = components(likely.select("a", "b"), "crowd").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
     nodes = reps.select("id", "n").join(crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", "id"))
     nodes = materialize(with_components(nodes, "id", edges), "nodes")
     large = nodes.groupBy("crowd").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE).select("crowd", F.lit(True).alias("large"))
@@ -274,7 +279,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             .where((F.col("x.id") < F.col("y.id")) & (F.col("x.crowd") != F.col("y.crowd")) & _near(F.col("x.n"), F.col("y.n"), percent))
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
-    more = _verified(_likely(materialize(rest, "pairs"), reps, k, least, percent), texts, size, percent)
+    possible = _likely(materialize(rest, "pairs"), reps, k, least, percent).where("possible").select("a", "b")
+    more = _verified(materialize(possible, "possible"), texts, size, percent)
     # members of a class hang on its smallest id
     members = sets.join(classes, "digest", "left").select("id", "n", "rep")
     found = with_components(classes.select("rep").distinct(), "rep", edges.unionByName(more)).select("rep", "component_id")

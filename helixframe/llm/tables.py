@@ -51,7 +51,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         out = moved.select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m"))
     else:
         out = moved.where("v > u").select(F.col("v").alias("x"), "m")
-    return out.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+    out = out.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))
+    return out.distinct() if small else out
 
 
 def with_components(nodes: DataFrame, node: str, edges: DataFrame, label: str = "cc") -> DataFrame:
