@@ -135,13 +135,17 @@ def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Contexts accepted by the pattern-instance graph: ``context``, ``score``."""
     def edges(column: str, known: bool) -> DataFrame:
-        return (found.select(F.explode(column).alias("e")).select(F.col("e.context").alias("context"), F.lower("e.value").alias("value"))
-                .where("context <> ''").withColumn("known", F.lit(known)))
-
-    graph = edges("base", True).unionByName(edges("candidates", False)).groupBy("context", "value").agg(F.max("known").alias("known"))
-    # a context without any seed can never gain support
-    seeded = graph.groupBy("context").agg(F.count_if("known").alias("seeds")).where(F.col("seeds") >= support).select("context")
-    graph = materialize(graph.join(seeded, "context", "left_semi"), "graph")
+        return found.select(F.explode(column).alias("e")).select(F.col("e.context").alias("context"), F.lower("e.value").alias("value"), F.lit(known).alias("known"))
+
+    pairs = edges("base", True).unionByName(edges("candidates", False)).groupBy("context", "value").agg(F.max("known").alias("known"))
+    pairs = materialize(pairs, "pairs")
+    # a context of fewer instances can never gain support; any other may, by what the rounds discover
+    wide = pairs.where("context <> ''").groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("context")
+    # an instance is known wherever it stands once it is a base entity anywhere
+    known = pairs.where("known").select("value").distinct().withColumn("known", F.lit(True))
+    graph = pairs.select("context", "value").join(wide, "context", "left_semi").join(known, "value", "left")
+    graph = materialize(graph.select("context", "value", F.coalesce("known", F.lit(False)).alias("known")), "graph")
+    drop_table(pairs)
     belief = graph.select("value", F.when(F.col("known"), 1.0).otherwise(0.0).alias("belief")).groupBy("value").agg(F.max("belief").alias("belief"))
     accepted = None
     for _ in range(rounds):

@@ -154,6 +154,22 @@ def test_contexts_discover_and_redact(spark):
     assert "example" not in out[13].text and out[13].text.startswith("overlap [") and out[13].text.endswith("] end")
 
 
+def test_discovered_identifiers_induce_contexts(spark):
+    rng = random.Random(3)
+    texts = [f"{prose(rng, 5)} please write to user{i}@mail.example.com {prose(rng, 5)}" for i in range(60)]
+    texts += [f"{prose(rng, 5)} please write to staff-{i}-4711 {prose(rng, 5)}" for i in range(5)]
+    texts += [f"{prose(rng, 5)} his badge number staff-{i}-4711 {prose(rng, 5)}" for i in range(5)]
+    texts += [f"{prose(rng, 5)} his badge number staff-9-0815 {prose(rng, 5)}", f"{prose(rng, 5)} odd label staff-8-0815 {prose(rng, 5)}"]
+    docs = documents(spark, texts)
+    got = {r.doc_id: [(pii.KINDS[s.kind], texts[r.doc_id][s.start:s.end]) for s in r.spans] for r in pii.spans(docs).collect()}
+    # no base entity stands after "badge number": the five identifiers of "write to" do
+    assert all(got[65 + i] == [("id", f"staff-{i}-4711")] for i in range(5))
+    assert got[70] == [("id", "staff-9-0815")] and got[71] == []
+    found = pii.entities(docs)
+    assert {r.context.strip() for r in pii.bootstrap(found, rounds=1).collect()} == {"write to"}
+    assert {r.context.strip(): round(r.score, 3) for r in pii.bootstrap(found).collect()} == {"write to": 0.992, "badge number": 0.874}
+
+
 def test_redaction_of_odd_rows(spark):
     rows = [(1, "a@b.cd", "en", "s", 6), (1, "a@b.cd", "en", "s", 6), (1, "other +1 555 010 99 99", "en", "s", 1), (None, "a@b.cd", None, None, None), (2, None, "en", "s", 0)]
     docs = spark.createDataFrame(rows, DOC)
