@@ -1,7 +1,7 @@
 """Packing documents into padded batches with optimal length buckets.
 
-The histogram of lengths of all documents (at most ``CLASSES`` length classes)
-is the only thing that leaves the cluster. Dynamic programming over it chooses
+The histogram of lengths of all documents (``CLASSES`` exact lengths and ``TAIL``
+classes for each doubling beyond) is the only thing that leaves the cluster. Dynamic programming over it chooses
 the bucket borders with the least padding. A batch of a bucket holds as many
 documents as its token budget allows at the bucket's border length. Batches are
 numbered over shards of a bucket, so a bucket with most documents is spread over
@@ -10,8 +10,9 @@ many tasks and has at most one batch that is not full.
 Defined cases: null and empty texts have length 0 and are packed, too; a
 document longer than the budget is a batch of its own and is not cut; repeated
 rows are packed as often as they stand; an empty table gives an empty result.
-Lengths up to ``CLASSES`` are exact; beyond, borders are multiples of
-ceil(longest / CLASSES), which bounds the histogram and no document is lost.
+Lengths up to ``CLASSES`` are exact; longer ones share a class with lengths at
+most 1 / ``TAIL`` apart, whose border is the longest that occurs. The class of a
+length does not depend on other documents, and no document is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from ..session import materialize
 from .mix import n_words
 
 CLASSES = 4096
+TAIL = 256            # a power of two
 BUCKETS = 16
 BUDGET = 16384
 SHARD_ROWS = 5_000
@@ -68,13 +70,15 @@ def borders(border: np.ndarray, count: np.ndarray, total: np.ndarray, buckets: i
 
 
 def histogram(lengths: DataFrame, length: str = "n_tokens") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(largest length, documents, sum of lengths) of at most ``CLASSES`` + 1 classes."""
-    longest = lengths.agg(F.max(length)).first()[0] or 0
-    step = max(1, -(-longest // CLASSES))
-    rows = (lengths.groupBy(F.ceil(F.col(length) / step).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(length).alias("s"))
-            .orderBy("k").collect())
-    column = lambda f: np.array([f(r) for r in rows], dtype=np.int64)
-    return column(lambda r: r["k"] * step), column(lambda r: r["n"]), column(lambda r: r["s"])
+    """(largest length, documents, sum of lengths) of every class that occurs."""
+    t = lengths.groupBy(F.col(length).cast("long").alias("_len")).agg(F.count(F.lit(1)).alias("_docs")).withColumn("_n", F.col("_len") - 1)
+    # the width of a class is its power of two over TAIL; bin() counts binary digits without rounding
+    t = t.withColumn("_bits", F.greatest(F.length(F.bin("_n")) - TAIL.bit_length(), F.lit(0)))
+    klass = F.when(F.col("_len") <= CLASSES, F.col("_len")).otherwise(F.expr("shiftleft(shiftright(_n, _bits) + 1, _bits)"))
+    rows = (t.groupBy(klass.alias("k")).agg(F.max("_len").alias("top"), F.sum("_docs").alias("n"), F.sum(F.col("_len") * F.col("_docs")).alias("s"))
+            .orderBy("top").collect())
+    column = lambda name: np.array([r[name] for r in rows], dtype=np.int64)
+    return column("top"), column("n"), column("s")
 
 
 def pack(docs: DataFrame, keep: Sequence[str], doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None,

@@ -8,6 +8,7 @@ import pytest
 from llm_cases import DOC, groups, prose
 
 from helixframe.llm import embed_dedup, mix, packing
+from pyspark.sql import functions as F
 import random
 
 
@@ -193,3 +194,28 @@ def test_pack(spark):
         sizes = [len(b) for k, b in sorted(batches.items()) if k[0] == bucket]
         assert all(s == sizes[0] for s in sizes[:-1]) and sizes[-1] <= sizes[0]
     assert packing.pack(docs.limit(0), ["doc_id"]).collect() == []
+
+
+def test_very_long_document_leaves_borders_optimal(spark):
+    rng = random.Random(8)
+    lengths = [min(int(rng.lognormvariate(5, 1)), 4096) for _ in range(500)]
+    for longest in ([], [400_000], [2_000_000, 9_000]):
+        all_ = lengths + longest
+        kinds = sorted(set(all_))
+        count = np.array([all_.count(k) for k in kinds])
+        best = packing.borders(np.array(kinds), count, count * np.array(kinds), 6)
+        docs = spark.createDataFrame([(i, "", "en", "s", n) for i, n in enumerate(all_)], DOC)
+        got = packing.pack(docs, ["doc_id"], tokens=F.col("n_chars"), buckets=6).collect()
+        assert len(got) == len(all_) and all(r.n_tokens <= r.bucket_len for r in got)
+        assert sum(r.bucket_len - r.n_tokens for r in got) == padding(all_, best)
+
+
+def test_histogram_groups_only_the_tail(spark):
+    lengths = [0, 1, 4095, 4096, 4096, 4097, 4112, 4113, 8192, 8193, 8224, 8225, 2_000_000_000, 2_000_000_001]
+    df = spark.createDataFrame([(n,) for n in lengths], "n_tokens long")
+    top, n, total = packing.histogram(df)
+    assert list(zip(top, n, total)) == [
+        (0, 1, 0), (1, 1, 1), (4095, 1, 4095), (4096, 2, 8192), (4112, 2, 8209), (4113, 1, 4113), (8192, 1, 8192),
+        (8224, 2, 16417), (8225, 1, 8225), (2_000_000_001, 2, 4_000_000_001)]
+    top, n, total = packing.histogram(df.where("n_tokens < 0"))
+    assert len(top) == len(n) == len(total) == 0
