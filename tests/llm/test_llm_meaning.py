@@ -65,6 +65,29 @@ def test_quotation_links_one_long_conversation(spark):
     assert got == {t: (parent[t], branch[t], f"line {t}") for t in range(300)}
 
 
+def test_quotations_wrapped_anew_or_in_part(spark):
+    long = "the old stone bridge near the mill was closed last winter after the flood took away its middle arch and nobody knows when it opens again"
+    w = long.split()
+    wrapped = "\n".join("> " + " ".join(w[i:i + 9]) for i in range(0, len(w), 9))
+    talk = [
+        (1, 0, "user", long),
+        (1, 1, "assistant", "Take the ferry then. It leaves at nine. Bring some\nmoney with you for the ticket."),
+        (1, 2, "user", "nothing of note"),
+        (1, 3, "assistant", wrapped + "\nAs you said."),                       # 26 words in three lines
+        (1, 4, "user", "> It leaves at nine.\nToo late."),                     # a sentence of a longer line
+        (1, 5, "user", "> bring SOME money\n>\n> with you\nHow much?"),        # other line breaks on both sides
+        (1, 6, "user", "> closed last winter after the flood\nWhich flood?"),    # part of a line
+        (1, 7, "user", ">> nobody knows when it opens\n> Which\n> flood?\nyes"),  # a passage for each level
+        (1, 8, "user", "> closed last winter after the war\n> at nine\nnot said"),
+        (1, 9, "user", "> It leaves at\nyes\n>\n> nine.\nsplit by own text"),
+        (2, 1, "user", wrapped + "\nother conversation"),
+    ]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {(r.conv_id, r.turn): (r.n_quoted, r.n_linked, r.max_level, r.reply_to) for r in chat.quotation_links(df).collect()}
+    assert got == {(1, 0): (0, 0, 0, None), (1, 1): (0, 0, 0, 0), (1, 2): (0, 0, 0, 1), (1, 3): (3, 3, 1, 0), (1, 4): (1, 1, 1, 1), (1, 5): (2, 2, 1, 1),
+                   (1, 6): (1, 1, 1, 0), (1, 7): (3, 3, 2, 6), (1, 8): (2, 0, 1, 7), (1, 9): (2, 0, 1, 8), (2, 1): (3, 0, 1, None)}
+
+
 LICENSE_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
