@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, embed_dedup, license, mix, neardup, packing, pii, rules, substring, toxic
+from . import chat, embed_dedup, license, mix, neardup, packing, phrases, pii, rules, simhash, substring, toxic, vector_codes
 from .tables import arrow_rows, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,69 @@ def toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("toxicity.score").alias("score"),
                       (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
                       F.col("toxicity.threshold").alias("threshold"), F.col("toxicity.flagged").alias("flagged"))
+
+
+def _codes_sql() -> str:
+    """Four rounds of exact assignment and rounded-down means, written out."""
+    near = lambda c: f"""SELECT id, p, min(({{0}} + list_dot_product(e, e) - 2 * list_dot_product(x, e))::BIGINT * 256 + c) AS m
+        FROM x JOIN {c} USING (p) GROUP BY id, p""".format("list_dot_product(x, x)")
+    steps = [r"""WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT id, p, q[p * (len(q) // 4) + 1:(p + 1) * (len(q) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS p)),
+c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS c, x AS e FROM x QUALIFY c < 256)"""]
+    for k in range(4):
+        steps.append(f"a{k} AS MATERIALIZED ({near(f'c{k}')})")
+        steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT p, c, coalesce(n.e, o.e) AS e FROM c{k} o LEFT JOIN (
+    SELECT p, c, list(floor(s / n) ORDER BY i) AS e FROM (SELECT p, m % 256 AS c, i, sum(x[i]) AS s, count(*) AS n
+        FROM a{k} JOIN x USING (id, p), (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM x))) AS i) GROUP BY p, m % 256, i) GROUP BY p, c) n USING (p, c))""")
+    steps.append(f"a4 AS ({near('c4')})")
+    return ",\n".join(steps) + """,
+r AS (SELECT id, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a4 GROUP BY id)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(CAST(e[i] AS BIGINT)::VARCHAR, ',' ORDER BY p, c, i)) FROM c4, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM x))) AS i)) AS codebooks_sha256
+FROM r JOIN v USING (id)"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def vector_codes_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_phrase_collocations", r"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, greatest(len(ws) - k + 2, 1)), lambda i: array_to_string(ws[i:i + k - 1], ' '))))) AS phrase FROM w),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+f AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS ws FROM g GROUP BY lang, phrase HAVING count(*) >= 10),
+c AS (SELECT * FROM f WHERE len(ws) > 1),
+k AS (SELECT lang, phrase, f, k, array_to_string(ws[:k], ' ') AS first, array_to_string(ws[k + 1:], ' ') AS rest FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < len(ws)),
+s AS (SELECT k.lang, k.phrase, k.f AS a, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * k.f * k.f // (CAST(x.f AS HUGEINT) * y.f) AS score, k
+    FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.first JOIN f y ON y.lang = k.lang AND y.phrase = k.rest),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase FROM c WHERE len(ws) = 3) GROUP BY lang, phrase),
+o AS (SELECT m.*, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank
+    FROM m LEFT JOIN h ON h.lang = m.lang AND h.phrase = m.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""")
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS nx FROM documents),
+v AS (SELECT doc_id, 0 AS kind, t FROM d UNION ALL SELECT doc_id, 1, substr(t, 1, n - n // 4) || substr(nx, 1, n // 4) FROM d),
+w AS (SELECT doc_id, kind, t, regexp_extract_all(t, '{WORD}') AS ws FROM v),
+g AS (SELECT doc_id, kind, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS term FROM w),
+h AS (SELECT doc_id, kind, ('0x' || substr(md5(term), 1, 15))::BIGINT AS h, least(15, length(term)) AS n FROM g),
+f AS (SELECT doc_id, kind, {" + ".join(f"CASE WHEN 2 * sum(((h >> {b}) & 1) * n) > sum(n) THEN {1 << b} ELSE 0 END" for b in range(60))} AS fp FROM h GROUP BY doc_id, kind),
+p AS (SELECT w.doc_id, coalesce(max(fp) FILTER (w.kind = 0), 0)::BIGINT AS a, coalesce(max(fp) FILTER (w.kind = 1), 0)::BIGINT AS b, sha256(max(w.t) FILTER (w.kind = 1)) AS edited_sha256
+    FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.kind = w.kind GROUP BY w.doc_id),
+q AS (SELECT *, coalesce(lead(a) OVER (ORDER BY doc_id), first_value(a) OVER (ORDER BY doc_id)) AS c FROM p),
+u AS (SELECT a, count(*) AS k FROM p GROUP BY a),
+m AS (SELECT x.a, sum(y.k)::BIGINT - 1 AS n_near FROM u x JOIN u y ON bit_count(xor(x.a, y.a)) <= 3 GROUP BY x.a)
+SELECT q.doc_id, d.n, edited_sha256, lower(lpad(to_hex(q.a), 15, '0')) AS fingerprint, lower(lpad(to_hex(b), 15, '0')) AS edited_fingerprint,
+    greatest(30 - bit_count(xor(q.a, b)), 0) / 30.0::DOUBLE AS near_edited, greatest(30 - bit_count(xor(q.a, c)), 0) / 30.0::DOUBLE AS near_next, n_near
+FROM q JOIN d ON d.doc_id = q.doc_id JOIN m ON m.a = q.a""".replace("d.n, edited", "d.n AS n_chars, edited"))
+def simhash_(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.with_near_counts(simhash.edited(read(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_chars", "edited_sha256", simhash.written(F.col("fingerprint")).alias("fingerprint"),
+                        simhash.written(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near")
