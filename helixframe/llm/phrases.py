@@ -5,9 +5,10 @@ trie over word ids. A trie node routes by one word of the phrase; its children
 are hash containers for a range of words. A container that grows too large is
 split in two at a word border, or, once it holds a single word, bursts into a
 node that routes by the next word. When the trie is full, its largest subtrees
-are spilled whole as sorted runs of (lang, phrase, n). Spark deals the runs to
-prefix partitions (language and phrase) and merges them there by addition, so a
-frequent first word is spread over all partitions. Scores are exact decimal
+are spilled whole as sorted runs. A run is cut by prefix partition (language and
+first two words; the third word spreads a prefix over ``SPREAD`` partitions, so
+that a frequent pair is not one task's work) and packed; Spark deals the pieces to
+tasks, which merge one prefix partition after the other. Scores are exact decimal
 arithmetic on what remains above the minimum count: the parts of a candidate
 occur at least as often as the candidate, so nothing else is looked up.
 
@@ -37,10 +38,14 @@ LANGS = 16                 # languages of one dictionary
 VOCABULARY = 1_000_000     # words of one dictionary
 CHUNK = 400_000            # words that are counted at a time
 BURST = 1 << 16            # phrases of a container
-ENTRIES = 1_500_000        # phrases of a trie before its largest subtrees are spilled
-RUN_ROWS = 1 << 16
+ROWS = 1 << 17             # phrases of a run that are written at a time
+ENTRIES = 1_000_000        # phrases of a trie before its largest subtrees are spilled
+PIECE_ROWS = 16384         # phrases of a packed piece of a run, at most
+PARTS = 2                  # prefix partitions of a shuffle partition; one is merged at a time
+SPREAD = 16
 SHARES = 64
-RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+RUN = "part int, lang string, rows int, piece binary"
+RUN_SCHEMA = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("rows", pa.int32()), ("piece", pa.binary())])
 
 #: bytes that end a piece, `[.,;:!?\x0A-\x0D]`, and those that end a word
 PIECE = np.zeros(256, dtype=bool)
@@ -128,10 +133,10 @@ class Node:
         return np.concatenate([k for k, _ in both]), np.concatenate([n for _, n in both])
 
     def take_largest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Remove the largest subtree and return it as a sorted run; its range
-        stays with an empty container."""
+        """Remove the largest subtree and return its phrases; its range stays with
+        an empty container."""
         i = int(np.argmax([c.size for c in self.children]))
-        run = _sorted(*self.children[i].items())
+        run = self.children[i].items()
         self.children[i] = Container()
         return run
 
@@ -144,8 +149,8 @@ def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Counter:
     """A trie, the dictionary of its word ids, and the occurrences per language."""
 
-    def __init__(self, largest: int = 3, entries: int = ENTRIES):
-        self.largest, self.entries = largest, entries
+    def __init__(self, largest: int = 3, entries: int = ENTRIES, parts: int = PARTS):
+        self.largest, self.entries, self.parts = largest, entries, parts
         self._start()
 
     def _start(self) -> None:
@@ -184,29 +189,81 @@ class Counter:
             self.total += np.bincount(place[starts], minlength=LANGS)
             self.trie.add(*np.unique(np.concatenate(keys), return_counts=True))
             if self.trie.size > self.entries:
-                words = _array(list(self.ids))
+                taken = []
                 while self.trie.size > self.entries // 2:
-                    yield from self._run(words, *self.trie.take_largest())
+                    taken.append(self.trie.take_largest())
+                yield from self._run(*(np.concatenate(x) for x in zip(*taken)))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         """Spill everything; occurrences per language come as the empty phrase."""
         if self.ids:
-            yield from self._run(_array(list(self.ids)), *_sorted(*self.trie.items()))
+            yield from self._run(*self.trie.items())
             names = list(self.langs)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([""] * len(names), pa.string()),
-                                              pa.array(self.total[:len(names)])], schema=RUN)
+            yield _pieces(np.zeros(len(names), np.int64), np.arange(len(names)), names, _array([b""] * len(names)), self.total[:len(names)])
         self._start()
 
-    def _run(self, words: pa.Array, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names = pa.array(list(self.langs), pa.string())
+    def _run(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Phrases as a sorted run, cut by prefix partition."""
+        words, names = _array(list(self.ids)), list(self.langs)
+        h = np.concatenate([np.zeros(1, np.uint64), _hashes(words)])
+        rank = np.zeros(len(h), np.uint64)
+        rank[1 + pc.array_sort_indices(words).to_numpy().astype(np.int64)] = np.arange(1, len(h), dtype=np.uint64)
         low = np.uint64((1 << ID_BITS) - 1)
-        for a in range(0, len(keys), RUN_ROWS):
-            k = keys[a:a + RUN_ROWS]
-            parts = [(k >> np.uint64(ID_BITS * s)) & low for s in (2, 1, 0)]
-            known = [words.take(pa.array(np.maximum(p, 1) - 1, mask=p == 0)) for p in parts]
-            phrase = pc.binary_join_element_wise(*known, pa.scalar(b" ", pa.binary()), null_handling="skip").cast(pa.string())
-            lang = names.take(pa.array(k >> np.uint64(3 * ID_BITS)))
-            yield pa.RecordBatch.from_arrays([lang, phrase, pa.array(counts[a:a + RUN_ROWS])], schema=RUN)
+        ids = [((keys >> np.uint64(ID_BITS * s)) & low).astype(np.int64) for s in (2, 1, 0)]
+        lang = (keys >> np.uint64(3 * ID_BITS)).astype(np.int64)
+        prefix = W.mix(_hashes(_array([x.encode() for x in names]))[lang] + h[ids[0]] * np.uint64(3) + h[ids[1]] * np.uint64(5))
+        part = ((prefix + (h[ids[2]] % np.uint64(SPREAD)) * np.uint64(W.BASE)) % np.uint64(self.parts)).astype(np.uint32)
+        ranked = (lang.astype(np.uint64) << np.uint64(3 * ID_BITS)) | (rank[ids[0]] << np.uint64(2 * ID_BITS)) | (rank[ids[1]] << np.uint64(ID_BITS)) | rank[ids[2]]
+        order = np.argsort(ranked)
+        order = order[np.argsort(part[order].astype(np.uint16 if self.parts <= 1 << 16 else np.uint32), kind="stable")]
+        for a in range(0, len(order), ROWS):
+            o = order[a:a + ROWS]
+            known = [words.take(pa.array(np.maximum(i[o], 1) - 1, mask=i[o] == 0)) for i in ids]
+            phrase = pc.binary_join_element_wise(*known, pa.scalar(b" ", pa.binary()), null_handling="skip")
+            yield _pieces(part[o].astype(np.int64), lang[o], names, phrase, counts[o])
+
+
+def _pieces(part: np.ndarray, lang: np.ndarray, names: list[str], phrase: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """Rows in order as packed pieces: phrases by line, then their counts."""
+    fresh = np.flatnonzero(np.concatenate([[True], np.diff(part * LANGS + lang) != 0]))
+    cuts = sorted({int(c) for a, b in zip(fresh, [*fresh[1:], len(part)]) for c in range(a, b, PIECE_ROWS)})
+    ends = [*cuts[1:], len(part)]
+    lines = pc.binary_join_element_wise(phrase, pa.scalar(b"", pa.binary()), pa.scalar(b"\n", pa.binary()))
+    at = np.frombuffer(lines.buffers()[1], np.int32, len(lines) + 1, lines.offset * 4)
+    data, codec, counts = memoryview(lines.buffers()[2]), pa.Codec("zstd", 1), counts.astype("<i8")
+    packed = [_size(raw := bytes(data[at[a]:at[b]]) + counts[a:b].tobytes()) + codec.compress(raw, asbytes=True) for a, b in zip(cuts, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts], pa.int32()), pa.array([names[i] for i in lang[cuts]], pa.string()),
+                                       pa.array(np.diff([*cuts, len(part)]), pa.int32()), pa.array(packed, pa.binary())], schema=RUN_SCHEMA)
+
+
+def _size(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little")
+
+
+def _opened(rows: int, piece: bytes) -> tuple[pa.Array, np.ndarray]:
+    """Phrases and counts of a packed piece."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(piece[8:], int.from_bytes(piece[:8], "little")), np.uint8)
+    text = raw[:len(raw) - 8 * rows]
+    stop = np.flatnonzero(text == 0x0A)
+    # without the line ends, each phrase starts where the one before ended
+    borders = np.concatenate([[0], stop + 1 - np.arange(1, rows + 1)])
+    return W.arrow_binary(text[text != 0x0A], borders), raw[len(raw) - 8 * rows:].view("<i8")
+
+
+def _merged(lang: str, phrases: list[pa.Array], counts: list[np.ndarray], least: int) -> pa.RecordBatch:
+    table = pa.table({"phrase": pa.chunked_array(phrases), "n": np.concatenate(counts)})
+    table = table.group_by("phrase").aggregate([("n", "sum")])
+    phrase, n = table["phrase"], table["n_sum"]
+    some = pc.or_(pc.greater_equal(n, least), pc.equal(pc.binary_length(phrase), 0))
+    phrase = phrase.filter(some).combine_chunks().cast(pa.string())
+    return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(phrase), pa.string()), "phrase": phrase, "n": n.filter(some).combine_chunks()})
+
+
+def _hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of the values of a binary array without nulls."""
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if at[-1] else np.zeros(0, np.uint8)
+    return W.hashes(W.Words(data[:at[-1]], at, at[:-1], at[1:], np.zeros(0, int), np.zeros(0, int)))
 
 
 def _array(words: list[bytes]) -> pa.Array:
@@ -228,17 +285,31 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", large
     if not 1 <= largest <= 3:
         raise ValueError("phrases have 1 to 3 words")
 
+    spark = docs.sparkSession
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def count(batches):
-        counter = Counter(largest)
+        counter = Counter(largest, parts=PARTS * dealt)
         for batch in W.pieces(batches):
             yield from counter.add(batch.column(0), batch.column(1).to_pylist())
         yield from counter.finish()
 
+    def merge(batches):
+        now, held = None, ([], [])
+        for batch in batches:
+            for part, lang, rows, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (part, lang) and now is not None:
+                    yield _merged(now[1], *held, min_count)
+                    held = ([], [])
+                now = part, lang
+                for store, values in zip(held, _opened(rows, piece)):
+                    store.append(values)
+        if now is not None:
+            yield _merged(now[1], *held, min_count)
+
     rows = docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    runs = rows.mapInArrow(count, "lang string, phrase string, n long")
-    # the runs are distinct per task already: deal them first, so that they are added up once
-    dealt = runs.repartition("lang", "phrase")
-    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= min_count) | (F.col("phrase") == ""))
+    runs = rows.mapInArrow(count, RUN).repartition(dealt, "part").sortWithinPartitions("part", "lang")
+    return runs.mapInArrow(merge, "lang string, phrase string, n long")
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = 10, inside: int = 50, top: int = 2000) -> DataFrame:

@@ -132,9 +132,11 @@ def test_collocations(spark, monkeypatch, entries, burst):
         part = rows[a:a + 10]
         runs += counter.add(pa.array([t for _, t in part], pa.string()), [g or "und" for g, _ in part])
     for run in [*runs, *counter.finish()]:
-        keys = list(zip(run.column(0).to_pylist(), run.column(1).to_pylist()))
-        for k, n in zip(keys, run.column(2).to_pylist()):
-            got[k] += n
+        for lang, size, piece in zip(*(c.to_pylist() for c in run.columns[1:])):
+            names, n = phrases._opened(size, piece)
+            assert len(names) == size == len(n)
+            for k, m in zip(names.to_pylist(), n):
+                got[lang, k.decode()] += int(m)
     assert entries > 1000 or len(runs) > 5
     stored = {(r.lang, r.phrase): r.n for r in phrases.phrase_counts(docs).collect()}
     assert stored == dict(got)
