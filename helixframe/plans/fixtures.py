@@ -55,12 +55,24 @@ def tag_rows(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tag"), F.col("l_partkey").alias("node"))
 
 
+def folded(key: str):
+    """The node of a part key among the linked nodes."""
+    k = F.col(key)
+    return F.floor(F.sqrt(k)).cast("bigint") * 4 + k % 4
+
+
+def folded_sql(key: str) -> str:
+    return f"(cast(floor(sqrt({key})) as bigint) * 4 + {key} % 4)"
+
+
 def links(spark, sf_dir) -> DataFrame:
     """Every two lines of an order whose parts fall to different nodes link
     them; offsets are line numbers, the gap is the difference of quantities.
-    Part keys fold to 40 nodes, so that links repeat; no line is left out."""
+    Part keys fold to about four nodes for each unit of their square root: nodes of
+    larger keys take more lines, so two nodes share from one to dozens of links at
+    any scale factor; no line is left out."""
     li = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("pair"), (F.col("l_partkey") % 40).alias("id"), F.col("l_linenumber").alias("off"),
+        F.col("l_orderkey").alias("pair"), folded("l_partkey").alias("id"), F.col("l_linenumber").alias("off"),
         F.floor("l_quantity").cast("bigint").alias("q"))
     one, two = (li.select("pair", *[F.col(c).alias(f"{c}{i}") for c in ("id", "off", "q")]) for i in (1, 2))
     return one.join(two, "pair").where("id1 < id2").select(
@@ -106,7 +118,7 @@ SQL = {
     "nodes": """nodes AS (SELECT p_partkey AS node, cast(p_size * 100 as bigint) AS len,
         cast(floor(p_retailprice) as int) AS cov, p_partkey % 7 AS cluster FROM part)""",
     "tag_rows": "tag_rows AS (SELECT l_orderkey AS tag, l_partkey AS node FROM lineitem)",
-    "links": """li AS (SELECT l_orderkey AS pair, l_partkey % 40 AS id, l_linenumber AS off, cast(floor(l_quantity) as bigint) AS q FROM lineitem),
+    "links": f"""li AS (SELECT l_orderkey AS pair, {folded_sql('l_partkey')} AS id, l_linenumber AS off, cast(floor(l_quantity) as bigint) AS q FROM lineitem),
       links AS (SELECT a.pair, a.id AS id1, b.id AS id2, a.off AS off1, b.off AS off2, b.q - a.q AS gap, b.q + a.q AS score
         FROM li a JOIN li b ON a.pair = b.pair AND a.id < b.id)""",
     "positions": """positions AS (SELECT user_id AS tag, event_type AS node, cast(floor(epoch(ts)) as bigint) AS pos,

@@ -64,11 +64,11 @@ def tag_counts_by_scaffold(spark, d):
 
 
 @query("tag_common_count", "J27", sql("""
-    , t AS (SELECT tag, node % 40 AS node, count(*) AS n FROM tag_rows GROUP BY 1, 2), p AS (SELECT DISTINCT id1, id2 FROM links),
+    , t AS (SELECT tag, """ + fx.folded_sql("node") + """ AS node, count(*) AS n FROM tag_rows GROUP BY 1, 2), p AS (SELECT DISTINCT id1, id2 FROM links),
     s AS (SELECT id1, id2, sum(least(a.n, b.n)) AS c FROM p JOIN t a ON a.node = id1 JOIN t b ON b.node = id2 AND a.tag = b.tag GROUP BY 1, 2)
     SELECT p.id1, p.id2, cast(coalesce(c, 0) as bigint) AS common FROM p LEFT JOIN s ON s.id1 = p.id1 AND s.id2 = p.id2""", "tag_rows", "links"))
 def tag_common_count(spark, d):
-    t = lk.tag_counts(fx.tag_rows(spark, d).withColumn("node", F.col("node") % 40))
+    t = lk.tag_counts(fx.tag_rows(spark, d).withColumn("node", fx.folded("node")))
     return lk.common_tags(fx.links(spark, d), t)
 
 

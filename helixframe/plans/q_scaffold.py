@@ -104,13 +104,14 @@ def repeat_nodes_by_coverage(spark, d):
     return ed.repeats(signed(spark, d), n, _T, "n_parts", 700.0)
 
 
-@query("edge_tag_rate_filter", "G45 J27", sql(_SE + f""", tc AS (SELECT tag, node % 40 + 1 AS node, count(*) AS n FROM tag_rows GROUP BY 1, 2),
-    tp AS (SELECT id1, id2, coalesce((SELECT sum(least(a.n, b.n)) FROM tc a JOIN tc b ON a.tag = b.tag WHERE a.node = abs(id1) AND b.node = abs(id2)), 0) AS t FROM es),
+@query("edge_tag_rate_filter", "G45 J27", sql(_SE + f""", tc AS (SELECT tag, {fx.folded_sql("node")} + 1 AS node, count(*) AS n FROM tag_rows GROUP BY 1, 2),
+    ct AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS t FROM tc a JOIN tc b ON a.tag = b.tag AND a.node < b.node GROUP BY 1, 2),
+    tp AS (SELECT id1, id2, coalesce(t, 0) AS t FROM es LEFT JOIN ct ON a = least(abs(id1), abs(id2)) AND b = greatest(abs(id1), abs(id2))),
     hl AS (SELECT he.*, t, nd.len AS dlen, row_number() OVER () AS rid FROM he JOIN tp USING (id1, id2) JOIN nd ON nd.node = abs(dst))
     SELECT DISTINCT x.id1, x.id2 FROM hl x JOIN hl y ON x.src = y.src AND x.dir = y.dir AND x.rid <> y.rid
       WHERE x.gap + x.dlen > y.gap AND y.gap + y.dlen > x.gap AND abs(x.gap + x.dlen - y.gap) > {_T} AND abs(y.gap + y.dlen - x.gap) > {_T} AND x.t < 0.25 * y.t""", "links", "nodes", "tag_rows"))
 def edge_tag_rate_filter(spark, d):
-    t = lk.tag_counts(fx.tag_rows(spark, d).withColumn("node", F.col("node") % 40 + 1))
+    t = lk.tag_counts(fx.tag_rows(spark, d).withColumn("node", fx.folded("node") + 1))
     return ed.weak_by_tags(signed(spark, d), nodes(spark, d), t, _T)
 
 
@@ -125,7 +126,7 @@ def edge_expected_rate_filter(spark, d):
 
 @query("edges_thin_for_library", "G39 F10")
 def edges_thin_for_library(spark, d):
-    return _ids(ed.below_expectation(signed(spark, d), nodes(spark, d), 20.0, 900.0, 350, 40, 100))
+    return _ids(ed.below_expectation(signed(spark, d), nodes(spark, d), 2000.0, 900.0, 350, 300, 100))
 
 
 _TAILS = """, lens AS (SELECT p_size * 3 AS l FROM part), lh AS (SELECT l, count(*) AS n FROM lens GROUP BY 1),
@@ -370,10 +371,15 @@ _PT = """, pt AS (SELECT p_partkey // 10 AS node, p_partkey % 10 AS idx, (p_part
     pp AS (SELECT *, lag(s) OVER w AS s0, lag(e) OVER w AS e0, lag(contig) OVER w AS c0, max(idx) OVER (PARTITION BY node) AS last FROM parts WINDOW w AS (PARTITION BY node ORDER BY idx))"""
 
 
-def parts(spark, d):
+# the same scaffolds where three fifths of the contigs are placed once, at any scale factor
+_PT1 = _PT.replace("p_partkey % 400 + 1", "p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END")
+
+
+def parts(spark, d, once=False):
     from pyspark.sql import Window
     k, z = F.col("p_partkey"), F.col("p_size")
-    t = fx.table(spark, d, "part").select(F.floor(k / 10).alias("node"), (k % 10).alias("idx"), ((k % 400 + 1) * F.when(z % 4 == 0, -1).otherwise(1)).alias("contig"),
+    contig = k + F.when(k % 5 == 0, 2).otherwise(1) if once else k % 400 + 1
+    t = fx.table(spark, d, "part").select(F.floor(k / 10).alias("node"), (k % 10).alias("idx"), (contig * F.when(z % 4 == 0, -1).otherwise(1)).alias("contig"),
                                           (z * 10).alias("n"), (z % 7 * 40 - 60).alias("gp"))
     # ten parts a scaffold by construction
     stop = F.sum(F.col("n") + F.col("gp")).over(Window.partitionBy("node").orderBy("idx")).cast("bigint")
@@ -395,14 +401,14 @@ def node_cluster_labels(spark, d):
     return sc.node_clusters(parts(spark, d), c)
 
 
-@query("opposite_nodes", "G68 A37", sql(_PT + """, u AS (SELECT abs(contig) AS c, count(*) AS k, min(sign(contig) * node) AS home FROM parts WHERE node > 0 GROUP BY 1),
-    o AS (SELECT p.node, e - s AS len, sign(contig) * u.home AS partner FROM parts p JOIN u ON u.c = (abs(contig) + 37) % 400 + 1 AND k = 1 WHERE p.node > 0),
+@query("opposite_nodes", "G68 A37", sql(_PT1 + """, u AS (SELECT abs(contig) AS c, count(*) AS k, min(sign(contig) * node) AS home FROM parts WHERE node > 0 GROUP BY 1),
+    o AS (SELECT p.node, e - s AS len, sign(contig) * u.home AS partner FROM parts p JOIN u ON u.c = abs(contig) + 13 AND k = 1 WHERE p.node > 0),
     w AS (SELECT node, partner, sum(len) AS l FROM o WHERE abs(partner) <> node GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY l DESC, abs(partner), partner DESC) AS rn FROM w)
     SELECT node, cast(partner as bigint) AS opposite FROM r WHERE rn = 1""", "nodes"))
 def opposite_nodes(spark, d):
-    p = parts(spark, d).where("node > 0").select("node", "contig", (F.col("end") - F.col("start")).alias("len"))
-    o = p.select(F.abs("contig").alias("contig")).distinct().select("contig", ((F.col("contig") + 37) % 400 + 1).alias("opposite"))
+    p = parts(spark, d, once=True).where("node > 0").select("node", "contig", (F.col("end") - F.col("start")).alias("len"))
+    o = p.select(F.abs("contig").alias("contig")).distinct().select("contig", (F.col("contig") + 13).alias("opposite"))
     return sc.opposite_nodes(p, o)
 
 
@@ -528,12 +534,14 @@ def gap_contradicting_mates(spark, d):
 
 @query("switch_error_pairs", "G73 G74", None)
 def switch_error_pairs(spark, d):
-    p = parts(spark, d).where("node > 0")
-    # contig 2i and 2i + 1 are arms, their scaffolds partners
+    p = parts(spark, d, once=True).where("node > 0")
+    # scaffolds 2i and 2i + 1 are partners, contigs at the same place of both are arms
     c = p.select(F.abs("contig").alias("contig")).distinct()
-    opp = c.select("contig", F.when(F.col("contig") % 2 == 0, F.col("contig") + 1).otherwise(F.col("contig") - 1).alias("opposite"))
+    opp = c.select("contig", F.when(F.floor((F.col("contig") - 1) / 10) % 2 == 0, F.col("contig") + 10).otherwise(F.col("contig") - 10).alias("opposite"))
     home = sc.placed_once(p)
-    pairs = _pairs_on_parts(spark, d).select("pair", (F.col("a") % 400 + 1).alias("c1"), (F.col("b") % 400 + 1).alias("c2"))
+    # an order pairs its first part with a part of the partner scaffold
+    away = F.when(F.floor(F.col("a") / 10) % 2 == 0, F.col("a") + 10).otherwise(F.col("a") - 10)
+    pairs = _pairs_on_parts(spark, d).select("pair", (F.col("a") + 1).alias("c1"), (away - away % 10 + F.col("b") % 10 + 1).alias("c2"))
     partner = home.select("node").distinct().select("node", F.when(F.col("node") % 2 == 0, F.col("node") + 1).otherwise(F.col("node") - 1).alias("opposite"))
     return dv.spanning(dv.switched(pairs, opp, home, partner))
 
@@ -588,13 +596,13 @@ def labels_smoothed(spark, d):
     return dv.smoothed(parts(spark, d).select("node", "idx", (F.col("contig") % 3).alias("label"), (F.col("end") - F.col("start")).alias("len")))
 
 
-@query("contig_to_scaffold_lift", "J22 J23", sql(_PT + _USED + """
+@query("contig_to_scaffold_lift", "J22 J23", sql(_PT1 + _USED + """
     SELECT l_orderkey AS pair, sign(v.c) * CASE WHEN p.contig > 0 THEN p.node ELSE -p.node END AS id, CASE WHEN p.contig > 0 THEN l_linenumber ELSE e - s - l_linenumber - 1 END + s AS "offset", p.idx
-    FROM (SELECT *, (l_partkey % 400 + 1) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS c FROM lineitem) v JOIN parts p ON abs(p.contig) = abs(v.c) WHERE abs(v.c) IN (SELECT c FROM un)""", "nodes"))
+    FROM (SELECT *, (l_partkey + 1) * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS c FROM lineitem) v JOIN parts p ON abs(p.contig) = abs(v.c) WHERE abs(v.c) IN (SELECT c FROM un)""", "nodes"))
 def contig_to_scaffold_lift(spark, d):
-    h = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair"), ((F.col("l_partkey") % 400 + 1) * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("id"),
+    h = fx.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("pair"), ((F.col("l_partkey") + 1) * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).alias("id"),
                                               F.col("l_linenumber").alias("offset"))
-    return lk.lift(h, parts(spark, d)).select("pair", "id", "offset", "idx")
+    return lk.lift(h, parts(spark, d, once=True)).select("pair", "id", "offset", "idx")
 
 
 @query("linked_node_paths", "G30 G31", None)

@@ -53,6 +53,8 @@ def compare(spark, con, q, sf_dir):
     df = q.run(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     t_spark = time.time() - t
+    if not got[1]:
+        return False, "no rows: such a comparison shows nothing", t_spark
     if not q.sql:
         return True, f"{len(got[1])} rows, no SQL", t_spark
     t = time.time()
