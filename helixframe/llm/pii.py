@@ -2,11 +2,16 @@
 
 Base entities (email, ip, card, phone) are found by regular expressions over the
 whole text and checked (parts of an address, Luhn sum, digits). They are the
-seeds: the words to their left are lexical patterns. Identifier-like tokens that
-are no base entity are candidates, under the same patterns. On the graph of
-patterns and distinct instances a few rounds score patterns by the share of
-their instances that are known and candidates by the patterns that hold them;
-patterns with enough support and confidence discover candidates as ``id`` spans.
+seeds, and so are long runs of hexadecimal digits, letters and figures mixed
+(keys and tokens; a seed by itself is no span). What stands to their left is a
+lexical pattern, in two widths: the last two words, and the last three tokens
+where a token is a word, a number or one sign, if a sign is among them.
+Identifier-like tokens that are no base entity are candidates, under the same
+patterns. On the graph of patterns and distinct instances rounds score patterns
+by the share of their instances that are known and candidates by the patterns
+that hold them, until the accepted patterns are the same as after an earlier
+round; patterns with enough support and confidence discover candidates as ``id``
+spans.
 
 Positions are read off the text cut at its matches, so the regular expressions
 run once per kind and the work stays in the row. All expressions are linear in
@@ -41,7 +46,7 @@ PATTERNS = {
 OPEN, SHUT, OTHER = "\u0001", "\u0002", "\u0003"
 BLOCK, PAGE = 64, 1024
 CONTEXT = 64          # characters before an entity that are looked at
-ROUNDS = 3
+SEED = r"^(?=[A-Fa-f]*+[0-9])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+$"
 SUPPORT = 3           # known instances that an accepted pattern has, at least
 CONFIDENCE = 0.7
 
@@ -112,9 +117,17 @@ def _context(before: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_extract(F.lower(before), r"(\S++\s++\S++\s*+)$", 1), r"[0-9]", "0"), r"\s+", " ")
 
 
+def _signs(before: Column) -> Column:
+    """The last three tokens with a sign among them, marked apart from word
+    contexts; empty if there is no sign or fewer tokens."""
+    last = F.regexp_extract(F.lower(before), r"(?:(?:\p{L}++|[0-9]++|[^\s\p{L}0-9])\s*+){3}$", 0)
+    plain = F.regexp_replace(F.regexp_replace(last, r"[0-9]++", "0"), r"\s++", "")
+    return F.when(last.rlike(r"[^\s\p{L}0-9]"), F.concat(F.lit("~"), plain)).otherwise("")
+
+
 def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, key (hash of the text), ``base`` and ``candidates``: arrays of
-    (kind, start, end, value, context)."""
+    (kind, start, end, value, context, signs)."""
     clean = F.translate(F.coalesce(F.col(text), F.lit("")), OPEN + SHUT, OTHER * 2)
     t = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key"), clean.alias("t"))
     digits = F.col("t").rlike("[0-9]")
@@ -127,17 +140,19 @@ def entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     t = t.select("id", "key", *[F.when(if_any[k], _matches(k, rest if k == "id" else F.col("t"))).otherwise(none).alias(f"_{k}") for k in KINDS])
 
     def told(kind: str) -> Column:
-        return F.transform(F.col(f"_{kind}"), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"], x["end"], x["value"], _context(x["before"]).alias("context")))
+        return F.transform(F.col(f"_{kind}"), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"], x["end"], x["value"], _context(x["before"]).alias("context"), _signs(x["before"]).alias("signs")))
 
     return t.select("id", "key", F.concat(*[told(k) for k in KINDS[:-1]]).alias("base"), told("id").alias("candidates"))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Contexts accepted by the pattern-instance graph: ``context``, ``score``."""
-    def edges(column: str, known: bool) -> DataFrame:
-        return found.select(F.explode(column).alias("e")).select(F.col("e.context").alias("context"), F.lower("e.value").alias("value"), F.lit(known).alias("known"))
+def bootstrap(found: DataFrame, rounds: int | None = None, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Contexts accepted by the pattern-instance graph: ``context``, ``score``.
+    Without ``rounds`` until the accepted ones repeat."""
+    def edges(column: str, known: Column) -> DataFrame:
+        held = found.select(F.explode(column).alias("e")).select("e.value", known.alias("known"), F.explode(F.array_distinct(F.array("e.context", "e.signs"))).alias("context"))
+        return held.select("context", F.lower("value").alias("value"), "known")
 
-    pairs = edges("base", True).unionByName(edges("candidates", False)).groupBy("context", "value").agg(F.max("known").alias("known"))
+    pairs = edges("base", F.lit(True)).unionByName(edges("candidates", F.col("e.value").rlike(SEED))).groupBy("context", "value").agg(F.max("known").alias("known"))
     pairs = materialize(pairs, "pairs")
     # a context of fewer instances can never gain support; any other may, by what the rounds discover
     wide = pairs.where("context <> ''").groupBy("context").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).select("context")
@@ -147,11 +162,15 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, co
     graph = materialize(graph.select("context", "value", F.coalesce("known", F.lit(False)).alias("known")), "graph")
     drop_table(pairs)
     belief = graph.select("value", F.when(F.col("known"), 1.0).otherwise(0.0).alias("belief")).groupBy("value").agg(F.max("belief").alias("belief"))
-    accepted = None
-    for _ in range(rounds):
+    accepted, seen = None, set()
+    while rounds is None or len(seen) < rounds:
         held = graph.select("context", "value").join(belief, "value")
         scored = held.groupBy("context").agg((F.sum("belief") / (F.count(F.lit(1)) + 0.5)).alias("score"), F.count_if(F.col("belief") >= 0.5).alias("n"))
         accepted = materialize(scored.where((F.col("n") >= support) & (F.col("score") >= confidence)).select("context", "score"), "patterns")
+        mark = tuple(accepted.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("context"))).first())
+        if rounds is None and mark in seen:
+            break
+        seen.add(mark if rounds is None else len(seen))
         # an instance is doubted by every pattern that holds it
         miss = graph.join(accepted, "context", "left").groupBy("value").agg(
             F.max("known").alias("known"), F.sum(F.log(1 - F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))).alias("miss"))
@@ -166,7 +185,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     found = materialize(entities(docs, doc_id, text), "entities")
     patterns = bootstrap(found)
     new = (found.where(F.size("candidates") > 0).select("id", "key", F.explode("candidates").alias("c"))
-           .select("id", "key", "c.start", "c.kind", "c.end", F.col("c.context").alias("context")).join(patterns, "context", "left_semi"))
+           .select("id", "key", "c.start", "c.kind", "c.end", F.explode(F.array("c.context", "c.signs")).alias("context")).join(patterns, "context", "left_semi"))
     seen = new.groupBy("id", "key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("new")).select(F.col("id").alias("_id"), F.col("key").alias("_key"), "new")
     base = F.transform("base", lambda x: F.struct(x["start"], x["kind"], x["end"]))
     all_ = F.array_sort(F.concat(base, F.coalesce("new", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))
@@ -189,7 +208,9 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     found = found.select(F.col(doc_id).alias("_id"), F.col("key").alias("_key"), F.array_max(ends).alias("_end"), F.filter(
         F.arrays_zip(F.col("spans").alias("s"), _before(ends, lambda x, y: F.greatest(x, y)).alias("after")), lambda z: z["s"]["start"] >= z["after"]).alias("_heads"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    t = docs.withColumn("_text", F.col(text)).join(found, docs[doc_id].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text]) == found["_key"]), "left")
+    # all columns travel in one, so that names of theirs cannot clash with those used here
+    t = docs.select(F.struct(*[docs[c] for c in columns]).alias("_doc"), docs[doc_id].alias("_doc_id"), docs[text].alias("_text"), F.xxhash64(docs[text]).alias("_text_key"))
+    t = t.join(found, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
 
     def between(pages: Column, a: Column, b: Column) -> Column:
         page = F.floor(a / PAGE).cast("int")
@@ -202,7 +223,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
         F.array_join(F.transform("_heads", lambda z: F.concat(between(p, z["after"], z["s"]["start"]), F.get(names, z["s"]["kind"]))), ""),
         between(p, F.col("_end"), F.length("_text"))))
     new = F.when(F.col("_heads").isNull(), F.col("_text")).otherwise(new)
-    out = t.select(*[new.alias(c) if c == text else docs[c] for c in columns])
+    out = t.select(*[new.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in columns])
     if n_chars in columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out

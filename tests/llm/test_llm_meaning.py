@@ -265,3 +265,23 @@ def test_filter_responses_in_chunks(monkeypatch):
             n = max(len(e) - w + 1, 0)
             want = [max([0.0, *y[c * n:(c + 1) * n]]) for c in range(toxic.FILTERS)]
             assert np.allclose(whole[i, f * toxic.FILTERS:(f + 1) * toxic.FILTERS], want, atol=1e-3)
+
+
+def test_tokens_are_discovered_behind_signs(spark):
+    """Keys behind ``token = "`` are found, other values at that place too; numbers
+    in prose are not. The values are counted by a regular expression of the test."""
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    texts = [f'{prose(rng, 8)}. {prose(rng, 3)} {rng.choice(["token", "TOKEN"])} = "{key()}" {prose(rng, 6)}' for _ in range(30)]
+    texts += [f'{prose(rng, 8)} token = "AB-2024-XY-77" {prose(rng, 6)}', f'{prose(rng, 4)} "4111 1111 1111 1112" {prose(rng, 4)}']
+    texts += [f"{prose(rng, 9)} {rng.randrange(10**15, 10**16)} {prose(rng, 9)}" for _ in range(40)] + [key() for _ in range(2)]
+    docs = documents(spark, texts)
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if pii.KINDS[s.kind] == "id"] for r in pii.spans(docs).collect()}
+    want = {i: [m.group(1)] for i, t in enumerate(texts) if (m := re.search('(?i)token = "([^"]+)"', t))}
+    assert {i: v for i, v in got.items() if v} == want and len(want) == 31
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "to a@b.co now", 1, 2, 3, 4, 5)], "doc_id long, text string, _text int, _heads int, _end int, _doc int, id int")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "to [EMAIL] now", 1, 2, 3, 4, 5)]
