@@ -37,7 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize
+from ..session import is_empty, materialize
 from . import words as W
 from .embed_dedup import forest
 from .tables import components, drop_table, with_components
@@ -290,7 +290,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns.
-    Rows without an id stay."""
-    out = near_duplicates(docs, doc_id, text, size, percent).where(~F.col("kept")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(out, F.col(doc_id) == F.col("_gone"), "left_anti")
+    """One row of each group of linked documents, with all its columns: the one
+    with the smallest id. Texts decide, not ids: where an id repeats or lacks, rows
+    are numbered in the order of id (none last) and text first, so exactly one row
+    of a group stays, whatever ids it has."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    odd = docs.groupBy(F.col(doc_id).alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or i is null")
+    if is_empty(odd):
+        numbered = docs.withColumn(row, F.col(doc_id))
+    else:
+        order = [F.col(doc_id).asc_nulls_last(), F.xxhash64(text).asc()]
+        ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+        numbered = materialize(ranged.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = near_duplicates(numbered, row, text, size, percent).where(~F.col("kept")).select(F.col(row).alias("_gone"))
+    return numbered.join(gone.withColumnRenamed("_gone", row), row, "left_anti").select(*docs.columns)

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from llm_cases import documents, groups, prose, texts_with_copies, words
 
 from helixframe.llm import neardup, rules, substring
@@ -144,3 +145,15 @@ def test_repeated_passages_odd_rows(spark):
     got = {r.doc_id: r.n_removed for r in substring.remove_repeats(docs).collect()}
     assert got == {None: 0, 1: 0}
     assert substring.remove_repeats(docs.limit(0)).collect() == []
+
+
+def test_keep_one_goes_by_text_where_ids_repeat(spark):
+    a, b, c = "a b c d e f g", "q r s t u v w x", "one two three four five six"
+    rows = [(7, a, 1), (7, a, 2), (7, b, 3), (3, b, 4), (None, c, 5), (None, c, 6), (None, a, 7), (9, "", 8), (9, "", 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumn("_row", F.lit("x"))
+    out = neardup.keep_one(docs, size=2)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(7, a), (3, b), (None, c), (9, ""), (9, ""), (None, None)], key=str)
+    plain = neardup.keep_one(docs.where("_gone in (1, 4)"), size=2)
+    assert plain.columns == docs.columns and plain.count() == 2
