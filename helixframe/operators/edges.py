@@ -277,20 +277,60 @@ def repeats(edges: DataFrame, nodes: DataFrame, tolerance: int, parts: str | Non
     return c
 
 
-def repeat_edge_links(edges: DataFrame, parts: DataFrame, nodes: DataFrame, tolerance: int, min_link: int) -> DataFrame:
-    """Edges of multi-part nodes that fall below ``min_link`` when the links that
-    colliding edges share on a part are taken off. ``parts``: (id1, id2, side,
-    part, n). Per node part, an edge loses the smaller of its own and the
-    largest colliding count, decided on the state before any edge loses."""
-    view = half_edges(edges)
+def _sides(half: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links of each half edge on the parts of its node: (src, dir, dst, id1, id2, part, n)."""
     side = F.when(F.col("src") == F.abs("id1"), 1).otherwise(2)
-    per = view.withColumn("side", side).join(parts, ["id1", "id2", "side"])
+    return half.withColumn("side", side).join(parts, ["id1", "id2", "side"]).select("src", "dir", "dst", "id1", "id2", "part", "n")
+
+
+def last_collision(half: DataFrame, nodes: DataFrame, tolerance: int, bubbles: DataFrame | None = None) -> DataFrame:
+    """The last colliding pair of edges of each node, pairs in the order of their
+    first and then their second edge: (src, first, second), structs of (dir, dst).
+    Edges to the two arms of a bubble (``bubbles``: node, opposite) collide too.
+    The last partner of an edge is a maximum over its rivals' classes, so pairs are
+    never formed."""
+    key = lambda d, x: F.struct(F.col(d).alias("dir"), F.col(x).alias("dst"))
+    pairs = colliding(half, nodes, tolerance, "dst").where("best > dst").select("src", key("dir", "dst").alias("first"), key("dir", "best").alias("second"))
+    if bubbles is not None:
+        arms = half.withColumn("node", F.abs("dst")).join(bubbles, "node").select("src", F.col("opposite").alias("other"), key("dir", "dst").alias("second"))
+        pairs = pairs.unionByName(half.select("src", F.abs("dst").alias("other"), key("dir", "dst").alias("first")).join(arms, ["src", "other"])
+                                  .where(F.col("first") < F.col("second")).drop("other"))
+    return pairs.groupBy("src").agg(F.max(F.struct("first", "second")).alias("p")).select("src", "p.*")
+
+
+def repeat_edge_links(edges: DataFrame, parts: DataFrame, nodes: DataFrame, tolerance: int, min_link: int, bubbles: DataFrame | None = None) -> DataFrame:
+    """Edges of multi-part nodes that fall below ``min_link`` when colliding edges
+    have taken the links that they share on a part off all edges of the node, pair
+    after pair. ``parts``: (id1, id2, side, part, n).
+
+    A pair subtracts the smaller of its two counts, as they stand by then, from
+    every edge. With s the sum taken off so far, that is min(n1, n2) - s, and the
+    new sum is min(n1, n2): whatever came before, the sum after a pair is the
+    smaller of its two first counts. So the last pair of a node decides, and the
+    scan needs no order of execution."""
+    view = half_edges(edges)
+    last = last_collision(view, nodes, tolerance, bubbles)
+    per = _sides(view, parts)
+    counts = lambda which: last.select("src", f"{which}.dir", f"{which}.dst").join(per, ["src", "dir", "dst"]).select("src", "part", F.col("n").alias(which))
+    loss = counts("first").join(counts("second"), ["src", "part"]).groupBy("src").agg(F.sum(F.least("first", "second")).alias("loss"))
+    left = F.col("n_link") - F.coalesce("loss", F.lit(0))
+    return view.join(loss, "src", "left").where(left < min_link).select("id1", "id2").distinct()
+
+
+def repeat_parts(edges: DataFrame, parts: DataFrame, nodes: DataFrame, tolerance: int, min_link: int) -> tuple[DataFrame, DataFrame]:
+    """Parts (src, part) on which two colliding edges of a node have ``min_link``
+    links each, and the edges (id1, id2) that fall below ``min_link`` when all links
+    on such parts are taken off. A part is cleared for all edges at once, so no
+    pair of it counts again and the order does not matter."""
+    view = half_edges(edges)
+    per = _sides(view, parts)
+    strong = view.join(per.where(F.col("n") >= min_link).select("src", "dir", "dst", "part"), ["src", "dir", "dst"])
     # the part number joins the node side, so rivals are those of that part
-    tagged = per.withColumn("dir", F.col("dir") * (F.col("part") + 1))
-    c = colliding(tagged, nodes, tolerance, "n")
-    loss = c.groupBy("id1", "id2", "src").agg(F.sum(F.least("n", "best")).alias("loss"))
-    left = edges.join(loss, ["id1", "id2"]).where(F.col("n_link") - F.col("loss") < min_link)
-    return left.select("id1", "id2").distinct()
+    hit = colliding(strong.withColumn("dir", F.col("dir") * (F.col("part") + 1)), nodes, tolerance)
+    cleared = materialize(hit.select("src", "part").distinct(), "cleared-parts")
+    loss = per.join(cleared, ["src", "part"]).groupBy("src", "dir", "dst").agg(F.sum("n").alias("loss"))
+    left = F.col("n_link") - F.coalesce("loss", F.lit(0))
+    return cleared, view.join(loss, ["src", "dir", "dst"], "left").where(left < min_link).select("id1", "id2").distinct()
 
 
 def until_stable(edges: DataFrame, rule) -> DataFrame:

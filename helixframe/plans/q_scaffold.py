@@ -216,12 +216,37 @@ def edges_cut_to_fixpoint(spark, d):
     return ed.until_stable(signed(spark, d), lambda e: ed.weak_by_rate(e, n, _T))
 
 
-@query("edges_repeat_links", "G37 G38", None)
+_PARTS = """, pb AS (SELECT id1 + 1 AS a, id2 + 1 AS b, 1 AS side, off1 AS part, count(*) AS n FROM links GROUP BY ALL
+      UNION ALL SELECT id1 + 1, id2 + 1, 2, off2, count(*) FROM links GROUP BY ALL),
+    pt AS (SELECT h.src, h.dir, h.dst, h.id1, h.id2, pb.part, pb.n FROM he h JOIN pb ON a = abs(id1) AND b = abs(id2) AND side = CASE WHEN src = abs(id1) THEN 1 ELSE 2 END),
+    hl AS (SELECT he.*, nd.len FROM he JOIN nd ON nd.node = abs(dst)),
+    pr AS (SELECT a.src, a.dir, a.dst AS x, b.dst AS y FROM hl a JOIN hl b ON a.src = b.src AND a.dir = b.dir AND a.dst < b.dst
+      WHERE a.gap + a.len - b.gap > 20 AND b.gap + b.len - a.gap > 20)"""
+
+
+def _parts(spark, d, e):
+    b = lk.breakdown(fx.links(spark, d)).withColumn("a", F.col("id1") + 1).withColumn("b", F.col("id2") + 1).select("a", "b", "side", "part", "n")
+    return e.select("id1", "id2", F.abs("id1").alias("a"), F.abs("id2").alias("b")).join(b, ["a", "b"]).drop("a", "b")
+
+
+@query("edges_repeat_links", "G37", se(_PARTS + """
+    , lp AS (SELECT src, max({'dir': dir, 'x': x, 'y': y}) AS p FROM pr GROUP BY 1),
+    ls AS (SELECT lp.src, sum(least(f.n, g.n)) AS loss FROM lp JOIN pt f ON f.src = lp.src AND f.dir = p.dir AND f.dst = p.x
+      JOIN pt g ON g.src = lp.src AND g.dir = p.dir AND g.dst = p.y AND g.part = f.part GROUP BY 1)
+    SELECT DISTINCT id1, id2 FROM he LEFT JOIN ls USING (src) WHERE n_link - coalesce(loss, 0) < 6"""))
 def edges_repeat_links(spark, d):
     e = signed(spark, d)
-    b = lk.breakdown(fx.links(spark, d)).withColumn("a", F.col("id1") + 1).withColumn("b", F.col("id2") + 1).select("a", "b", "side", "part", "n")
-    parts = e.select("id1", "id2", F.abs("id1").alias("a"), F.abs("id2").alias("b")).join(b, ["a", "b"]).drop("a", "b")
-    return ed.repeat_edge_links(e, parts, nodes(spark, d), _T, 3)
+    return ed.repeat_edge_links(e, _parts(spark, d, e), nodes(spark, d), _T, 6)
+
+
+@query("edges_repeat_parts", "G38", se(_PARTS + """
+    , cl AS (SELECT DISTINCT f.src, f.part FROM pr JOIN pt f ON f.src = pr.src AND f.dir = pr.dir AND f.dst = x
+      JOIN pt g ON g.src = pr.src AND g.dir = pr.dir AND g.dst = y AND g.part = f.part WHERE f.n >= 3 AND g.n >= 3),
+    ls AS (SELECT src, dir, dst, sum(n) AS loss FROM pt JOIN cl USING (src, part) GROUP BY ALL)
+    SELECT DISTINCT id1, id2 FROM he LEFT JOIN ls USING (src, dir, dst) WHERE n_link - coalesce(loss, 0) < 3"""))
+def edges_repeat_parts(spark, d):
+    e = signed(spark, d)
+    return ed.repeat_parts(e, _parts(spark, d, e), nodes(spark, d), _T, 3)[1]
 
 
 # a sparse overlap graph: each part leads on to one or two later parts
