@@ -31,6 +31,6 @@ def query(name: str, ids: str, sql: str | None = None):
 
 def load() -> dict[str, Query]:
     import importlib
-    for part in ("kmers", "stats", "sequences", "joins", "links", "coverage", "graph", "composition", "scaffold", "layout", "repair"):
+    for part in ("kmers", "stats", "sequences", "joins", "links", "coverage", "graph", "composition", "scaffold", "layout", "repair", "evidence"):
         importlib.import_module(f"{__package__}.q_{part}")
     return REGISTRY

@@ -233,10 +233,10 @@ def _parts(spark, d, e):
     , lp AS (SELECT src, max({'dir': dir, 'x': x, 'y': y}) AS p FROM pr GROUP BY 1),
     ls AS (SELECT lp.src, sum(least(f.n, g.n)) AS loss FROM lp JOIN pt f ON f.src = lp.src AND f.dir = p.dir AND f.dst = p.x
       JOIN pt g ON g.src = lp.src AND g.dir = p.dir AND g.dst = p.y AND g.part = f.part GROUP BY 1)
-    SELECT DISTINCT id1, id2 FROM he LEFT JOIN ls USING (src) WHERE n_link - coalesce(loss, 0) < 6"""))
+    SELECT DISTINCT id1, id2 FROM he LEFT JOIN ls USING (src) WHERE n_link - coalesce(loss, 0) < 3"""))
 def edges_repeat_links(spark, d):
     e = signed(spark, d)
-    return ed.repeat_edge_links(e, _parts(spark, d, e), nodes(spark, d), _T, 6)
+    return ed.repeat_edge_links(e, _parts(spark, d, e), nodes(spark, d), _T, 3)
 
 
 @query("edges_repeat_parts", "G38", se(_PARTS + """
