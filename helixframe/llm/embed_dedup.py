@@ -18,7 +18,9 @@ all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different dimensions link with
-nothing; repeated ids are counted as rows; an empty table gives an empty result.
+nothing; repeated ids are counted as rows, each with the links of its own vector;
+rows without an id link like others but give no component id, so a component of
+such rows alone has none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -111,14 +113,18 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     parsed = materialize(_parsed(vectors, vec_id, embedding), "vectors")
-    classes = materialize(parsed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
-    reps = (parsed.where("digest is not null").join(classes, (parsed["id"] == classes["rep"]) & (parsed["digest"] == classes["digest"]))
-            .select("id", "dim", "data", "size").dropDuplicates(["id"]))
+    # a class has a key of its own: its smallest id may stand for other vectors too
+    groups = parsed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = materialize(groups.withColumn("key", F.monotonically_increasing_id()), "classes")
+    reps = (parsed.join(classes, "digest").where(F.col("id").eqNullSafe(F.col("rep")))
+            .select(F.col("key").alias("id"), "dim", "data", "size").dropDuplicates(["id"]))
     found = _links(reps, threshold)
     counts = found.where("partner is null").groupBy("id").agg(F.sum("n").alias("n"))
     edges = found.where("partner is not null").select(F.col("id").alias("a"), F.col("partner").alias("b"))
-    per_class = with_components(classes.join(counts, F.col("rep") == F.col("id"), "left").drop("id"), "rep", edges)
-    per_class = per_class.select("digest", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    per_class = with_components(classes.join(counts, F.col("key") == F.col("id"), "left").drop("id"), "key", edges)
+    per_class = materialize(per_class.withColumnRenamed("component_id", "root"), "per-class")
+    lowest = materialize(per_class.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
+    per_class = per_class.join(lowest, "root").select("digest", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     return (parsed.select("id", "digest").join(per_class, "digest", "left")
             .select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "id").alias("component_id"))

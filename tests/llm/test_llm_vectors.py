@@ -62,6 +62,29 @@ def test_near_vectors_empty(spark):
     assert [tuple(r) for r in embed_dedup.near_vectors(spark.createDataFrame([(3, None)], "vec_id long, embedding array<float>")).collect()] == [(3, 0, 3, True)]
 
 
+def test_near_vectors_with_repeated_and_missing_ids(spark):
+    """The smallest id of one class may be that of another; rows count by themselves."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(6, 8))
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.01, 1.0]), (None, [1.0, 1.0]), (None, [1.0, 1.0]), (9, [1.0, 1.001])]
+    rows += [(int(rng.integers(20, 35)) if rng.random() < 0.8 else None, [float(x) for x in base[k] + rng.normal(scale=0.1, size=8) * (rng.random() < 0.6)])
+             for k in rng.integers(0, 6, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    numbered = brute(list(enumerate(v for _, v in rows)), 0.95)
+    lowest = {}
+    for i, (_, root, _) in numbered.items():
+        lowest.setdefault(root, []).append(rows[i][0])
+    lowest = {root: min((x for x in ids if x is not None), default=None) for root, ids in lowest.items()}
+    want = []
+    for i, (n, root, _) in numbered.items():
+        own, low = rows[i][0], lowest[root]
+        want.append((own, n, low, True if own is None or low is None else own == low))
+    got = [tuple(r) for r in embed_dedup.near_vectors(df).collect()]
+    order = lambda x: repr(x)
+    assert sorted(got, key=order) == sorted(want, key=order)
+    assert (4, 2, 1, False) in got and (3, 2, 1, False) in got and (9, 2, 9, True) in got
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(9)
     u, v = (embed_dedup.unit(rng.normal(size=(300, 40)) * rng.exponential(size=(1, 40))) for _ in range(2))
