@@ -5,8 +5,9 @@ the same pairs in the templates, a fixed table of a few hundred rows. A match of
 text position p and template position t votes for the diagonal p - t, where the
 template would start. A phrase stands wherever all its pairs vote for one
 diagonal. For longer notices neighbouring diagonals are merged in two staggered
-grids of bands, so inserted or missing words do not break a span; spans with
-enough different pairs are verified on the words by their longest common
+grids of bands, so inserted or missing words do not break a span while they shift
+it by at most half a band; spans with enough different pairs, which is never more
+than verification asks for, are verified on the words by their longest common
 subsequence.
 
 Defined cases: null and empty texts have no words and no labels; rows that
@@ -44,7 +45,6 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 BAND = 8              # words by which merged diagonals may differ, at most
-SHARE = 0.6           # of a notice's pairs that must be met before verification
 VERIFIED = 0.75       # of a notice's words that must stand in order
 
 
@@ -103,9 +103,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
             .select("id", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + lengths).alias("end"), F.lit(1.0).alias("score")))
     grids = F.array(*[F.struct(F.lit(g).alias("grid"), F.floor((F.col("diagonal") + g * BAND // 2) / BAND).alias("band")) for g in (0, 1)])
     banded = votes.where(F.col("template") >= n_phrases).withColumn("g", F.explode(grids)).groupBy("id", "template", "g.grid", "g.band").agg(
-        F.bit_count(bit).alias("n"), F.min("at").alias("start"), (F.max("at") + 2).alias("end"))
-    likely = banded.where(F.col("n") >= SHARE * (lengths - 1)).groupBy("id", "template", "start", "end").agg(F.max("n").alias("n"))
-    per_doc = likely.groupBy("id").agg(F.collect_list(F.struct("template", "start", "end")).alias("spans"))
+        F.bit_count(bit).alias("n"), F.min("at").alias("start"), (F.max("at") + 2).alias("end"),
+        F.greatest(F.min("diagonal"), F.lit(0)).alias("low"), (F.max("diagonal") + F.max(lengths)).alias("high"))
+    # a changed word breaks two pairs, so a span that is verified keeps at least this many
+    needed = F.greatest(lengths - 1 - 2 * F.floor((1 - VERIFIED) * lengths), F.lit(1))
+    likely = banded.where(F.col("n") >= needed).select("id", "template", "start", "end", "low", "high").distinct()
+    per_doc = likely.groupBy("id").agg(F.collect_list(F.struct("template", "start", "end", "low", "high")).alias("spans"))
     texts = slim.join(per_doc, slim["id"].eqNullSafe(per_doc["id"])).select(slim["id"], "text", "spans")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
             for i, spans in enumerate(piece.column(2).to_pylist()):
                 for s in spans:
                     template = templates[s["template"]][2]
-                    a, b = w.first[i] + s["start"], min(w.first[i] + s["end"], w.first[i + 1])
+                    # words at the ends of the notice may stand beyond the pairs that were met
+                    a, b = w.first[i] + s["low"], min(w.first[i] + s["high"], w.first[i + 1])
                     share = common_share([w.word(j) for j in range(a, b)], template)
                     if share >= VERIFIED:
                         rows.append(i)

@@ -120,6 +120,26 @@ def test_license_scan(spark):
     assert [(r.start, r.end) for r in spans.where(F.col("doc_id") == n - 5).collect()] == [(30, 38)]
 
 
+def test_changed_words_do_not_hide_a_notice(spark):
+    """All that verification accepts reaches it, wherever the changed words stand."""
+    rng = random.Random(8)
+    texts, want = [], []
+    for label, notice in license.NOTICES:
+        w = notice.split()
+        allowed = int((1 - license.VERIFIED) * len(w))
+        for at in (list(range(1, len(w), 3))[:allowed], [0, len(w) - 1][:allowed], []):
+            texts.append(prose(rng, 20) + " " + " ".join("zzz" if i in at else x for i, x in enumerate(w)) + " " + prose(rng, 20))
+            want.append(label)
+        at = list(range(0, len(w), 2))      # half of the words: never accepted
+        texts.append(prose(rng, 20) + " " + " ".join("zzz" if i in at else x for i, x in enumerate(w)))
+        want.append(None)
+    texts.append("released under a mit license")
+    want.append("mit")
+    got = {r.doc_id: r.labels.split(",") for r in license.summary(documents(spark, texts)).collect()}
+    for i, label in enumerate(want):
+        assert label in got[i] if label else got[i] == [""], (texts[i], got[i])
+
+
 def luhn(digits):
     total = 0
     for i, d in enumerate(reversed(digits)):
