@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chain, stretches as gs
+from ..operators.consensus import gap_consensus
 from . import fixtures as fx
 from .catalog import query
 from .fixtures import canon_sql, kmers_sql, sql, table
@@ -64,3 +65,18 @@ def bubble_arms_on_results(spark, d):
     turn = lambda x: F.when(F.col("s") % 4 == 0, F.translate(F.reverse(x), "ACGT", "TGCA")).otherwise(x)
     bubbles = b.select((F.col("contig_id") * 100000 + F.col("s")).alias("bubble"), turn(arm).alias("arm"), turn(cut(0, 120)).alias("opposite"))
     return chain.bubbles_on_results(bubbles, fx.contigs(spark, d).select(F.col("contig_id").alias("target"), "seq"), _K)
+
+
+@query("gaps_filled_by_long_reads", "X3", sql("""
+    , t AS (SELECT contig_id, seq, unnest(range(0, length(seq) - 119, 100)) AS s FROM contigs WHERE length(seq) >= 120)
+    SELECT contig_id * 100000 + s AS gap, substring(seq, s + 1, 120) AS seq FROM t""", "contigs"))
+def gaps_filled_by_long_reads(spark, d):
+    """Seven pieces over each stretch of 120 bases, each with a wrong base, a base
+    too many and one too few at places of its own."""
+    c = fx.contigs(spark, d).where(F.length("seq") >= 120)
+    t = c.select("contig_id", F.explode(F.expr("transform(sequence(0, length(seq) - 120, 100), x -> cast(x as bigint))")).alias("s"), "seq").select(
+        (F.col("contig_id") * 100000 + F.col("s")).alias("gap"), F.expr("substring(seq, cast(s as int) + 1, 120)").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("r"))
+    at = lambda a, n=1: F.expr(f"substring(x, {a} + 12 * r + 1, {n})")
+    other = lambda x: F.translate(x, "ACGT", "CGTA")
+    piece = F.concat(F.expr("substring(x, 1, 20 + 12 * r)"), other(at(20)), at(21, 3), other(at(24)), at(24, 4), at(29, 120))
+    return gap_consensus(t.select("gap", piece.alias("piece")), band=8).select("gap", "seq")

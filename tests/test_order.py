@@ -189,3 +189,29 @@ def test_arms_are_found_on_results(spark):
     assert (got[6]["start"], got[6]["end"], got[6]["arm"]) == (300, 400, "")
     empty = chain.bubbles_on_results(spark.createDataFrame([], "bubble long, arm string, opposite string"), spark.createDataFrame(results, "target long, seq string"), 17)
     assert empty.count() == 0
+
+
+def test_noisy_pieces_give_the_gap_back(spark):
+    from helixframe.operators import consensus
+    rng = random.Random(21)
+    truth, pieces = {}, []
+    for gap in range(6):
+        truth[gap] = "".join(rng.choice("ACGT") for _ in range(rng.randrange(150, 400)))
+        for _ in range(15):
+            t = list(truth[gap])
+            for k in sorted(rng.sample(range(12, len(t) - 12), len(t) // 20), reverse=True):
+                op = rng.random()
+                if op < 0.4:
+                    t[k] = rng.choice("ACGT")
+                elif op < 0.7:
+                    t.insert(k, rng.choice("ACGT"))
+                else:
+                    t.pop(k)
+            pieces.append((gap, "".join(t)))
+    pieces += [(90, "ACGT"), (90, None), (90, ""), (91, "ACGTACGTAC"), (91, "ACGTACGTAC"), (91, "ACGTTCGTAC")]
+    df = spark.createDataFrame(pieces, "gap long, piece string").repartition(4)
+    got = {r["gap"]: (r["seq"], r["depth"]) for r in consensus.gap_consensus(df).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5, 91]
+    assert got[91] == ("ACGTACGTAC", 2)
+    assert {k: got[k][0] for k in truth} == truth
+    assert consensus.gap_consensus(df.limit(0)).count() == 0
