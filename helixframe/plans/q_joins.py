@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.bases import unpack
+from ..functions.bases import revcomp, unpack
 from ..operators import dbg, kmers as km, mapping as mp, overlap as ov
 from . import fixtures as fx
 from .catalog import query
@@ -58,12 +58,40 @@ def map_with_seed_fallback(spark, d):
     return mp.map_with_fallback(fx.reads(spark, d), fx.contigs(spark, d), [21, 15, W])
 
 
-@query("map_ungapped", "J9 J16")
+def _tiles(spark, d, size, step):
+    """Every whole contig cut into reads of ``size`` bases, the last one at its end;
+    every second read is turned round and has one base changed in its middle."""
+    c = fx.contigs(spark, d).where(F.length("seq") >= size)
+    last = (F.length("seq") - size).cast("int")
+    i = F.explode(F.array_distinct(F.array_append(F.sequence(F.lit(0), last, F.lit(step)), last)))
+    t = c.select("contig_id", "seq", i.alias("i"))
+    mid = size // 2
+    piece = F.substring(F.col("seq"), F.col("i") + 1, F.lit(size))
+    changed = F.concat(F.left(piece, F.lit(mid)), F.translate(F.substring(piece, mid + 1, 1), "ACGT", "CGTA"), F.substring(piece, mid + 2, size))
+    return t.select((F.col("contig_id") * 100000 + F.col("i")).alias("read_id"),
+                    F.when(F.col("i") % 2 == 1, revcomp(changed)).otherwise(piece).alias("seq"))
+
+
+def _tiles_sql(size, step):
+    mid = size // 2
+    return f""", ti AS (SELECT contig_id, i, substring(seq, cast(i as int) + 1, {size}) AS p FROM
+      (SELECT *, unnest(list_distinct(list_append(range(0, length(seq) - {size} + 1, {step}), length(seq) - {size}))) AS i FROM contigs WHERE length(seq) >= {size})),
+    reads AS (SELECT contig_id * 100000 + i AS read_id, CASE WHEN i % 2 = 1 THEN
+      reverse(translate(left(p, {mid}) || translate(substring(p, {mid + 1}, 1), 'ACGT', 'CGTA') || substring(p, {mid + 2}), 'ACGT', 'TGCA')) ELSE p END AS seq FROM ti)"""
+
+
+@query("map_ungapped", "J9 J16", sql(_tiles_sql(80, 15) + _INDEX + _WORDS + """,
+    pl2 AS (SELECT DISTINCT read_id, len, id, "offset" FROM hp),
+    fu AS (SELECT p.*, r.seq AS r, c.seq AS t, CASE WHEN id > 0 THEN "offset" ELSE "offset" - p.len + 1 END AS s
+      FROM pl2 p JOIN reads r USING (read_id) JOIN contigs c ON c.contig_id + 1 = abs(p.id)),
+    rg AS (SELECT *, substring(t, cast(s as int) + 1, len) AS g FROM fu WHERE s >= 0 AND s + len <= length(t)),
+    mm AS (SELECT read_id, len, id, "offset", hamming(r, CASE WHEN id > 0 THEN g ELSE reverse(translate(g, 'ACGT', 'TGCA')) END) AS mismatch FROM rg),
+    sc AS (SELECT read_id, id, "offset", mismatch, len - 51 * mismatch AS score FROM mm WHERE 10 * mismatch <= len),
+    bs AS (SELECT *, max(score) OVER (PARTITION BY read_id) AS b FROM sc)
+    SELECT read_id, min(id) AS id, min("offset") AS "offset", min(mismatch) AS mismatch, min(score) AS score
+    FROM bs WHERE score = b GROUP BY 1 HAVING count(*) = 1""", "contigs"))
 def map_ungapped(spark, d):
-    # the benchmark passages themselves, as reads, against the table as contigs
-    c = fx.contigs(spark, d)
-    reads = c.select(F.col("contig_id").alias("read_id"), F.substring("seq", 10, 80).alias("seq"))
-    return mp.map_ungapped(reads, c, W, 0.9)
+    return mp.map_ungapped(_tiles(spark, d, 80, 15), fx.contigs(spark, d), W, 0.9)
 
 
 _PAIRS = """, mm AS (SELECT read_id // 2 AS pair_id, read_id % 2 AS mate, id, "offset" AS off, len FROM mf),
@@ -152,7 +180,6 @@ _CONT = """, t AS (SELECT read_id AS id, seq FROM reads WHERE length(seq) >= 25
 
 def _containment_input(spark, d):
     c = fx.contigs(spark, d).where(F.length("seq") >= 140)
-    from ..functions.bases import revcomp
     return (fx.reads(spark, d).where(F.length("seq") >= 25).select(F.col("read_id").alias("id"), "seq")
             .unionByName(c.select((F.col("contig_id") + 10000000).alias("id"), F.substring("seq", 20, 120).alias("seq")))
             .unionByName(c.select((F.col("contig_id") + 20000000).alias("id"), revcomp("seq").alias("seq"))))
@@ -165,11 +192,19 @@ def containment_dedup(spark, d):
     return ov.contained(_containment_input(spark, d), 25)
 
 
-@query("read_on_unitig", "J42")
+def _strand_sql(f):
+    return f"CASE WHEN {f} < reverse(translate({f}, 'ACGT', 'TGCA')) THEN 1 ELSE -1 END"
+
+
+@query("read_on_unitig", "J42", sql(_tiles_sql(90, 15) + ", " + kmers_sql("contigs", "ck", "contig_id", 25) + ", "
+       + kmers_sql("reads", "rk", "read_id, length(seq) AS len", 25) + f""",
+    ix AS (SELECT {canon_sql('f')} AS kmer, min(contig_id) + 1 AS cid, min(pos) AS cpos, min({_strand_sql('f')}) AS cs FROM ck GROUP BY 1 HAVING count(*) = 1),
+    hp AS (SELECT read_id, len, CASE WHEN s = cs THEN cid ELSE -cid END AS id, CASE WHEN s = cs THEN cpos - pos ELSE cpos + pos + 24 END AS "offset"
+      FROM (SELECT read_id, len, pos, {canon_sql('f')} AS kmer, {_strand_sql('f')} AS s FROM rk) JOIN ix USING (kmer))
+    SELECT read_id, min(id) AS id, min("offset") AS "offset" FROM hp GROUP BY read_id, len
+    HAVING count(*) = len - 24 AND min(id) = max(id) AND min("offset") = max("offset")""", "contigs"))
 def read_on_unitig(spark, d):
-    c = fx.contigs(spark, d)
-    piece = c.select(F.col("contig_id").alias("read_id"), F.substring("seq", 5, 90).alias("seq"))
-    return mp.read_on_unitig(piece, c, 25)
+    return mp.read_on_unitig(_tiles(spark, d, 90, 15), fx.contigs(spark, d), 25)
 
 
 @query("dead_end_bridges", "J32", sql(", " + kmers_sql("reads", "rk", "read_id", 13) + f""",
