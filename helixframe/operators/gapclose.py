@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.bases import revcomp
 from ..session import is_empty, materialize
 from . import dbg
+from .align import end_alignments
 from .coverage import unknown_runs
 from .kmers import count_kmers, kmer_rows
 
@@ -175,38 +176,61 @@ def overlap_candidates(reads: DataFrame, k: int) -> DataFrame:
     return rows.select("gap_id", F.col("read_id").alias("a"), "pos", "kmer").join(heads, ["gap_id", "kmer"]).where("a <> b").select("gap_id", "a", "b", "pos")
 
 
-def overlap_chains(gap_rows: DataFrame, reads: DataFrame, k: int, max_miss: float = 0.1) -> DataFrame:
+def read_overlaps(pool: DataFrame, k: int, max_miss: float, band: int) -> DataFrame:
+    """Overlaps of a read's end with another read's start: (gap_id, a, b, n, back, add).
+
+    ``n`` bases of b lie on the last ``back`` bases of a, ``add`` is the rest of b.
+    Candidates that agree without gaps stay in the JVM; only the others are aligned,
+    in a band around the common word, with insertions and deletions.
+    """
+    from ..functions.bases import mismatches
+    c = overlap_candidates(pool, k).where((F.col("a") != -2) & (F.col("b") != -1))
+    t = c.join(pool.select("gap_id", F.col("read_id").alias("a"), F.col("seq").alias("sa")), ["gap_id", "a"]).join(
+        pool.select("gap_id", F.col("read_id").alias("b"), F.col("seq").alias("sb")), ["gap_id", "b"])
+    t = t.withColumn("n", F.length("sa") - F.col("pos"))
+    fits = F.col("n") <= F.length("sb")
+    alike = fits & (mismatches(F.right("sa", F.col("n")), F.left("sb", F.col("n"))) <= F.col("n") * max_miss)
+    t = materialize(t.withColumn("alike", F.coalesce(alike, F.lit(False))), "overlap-candidates")
+    plain = t.where("alike").withColumn("back", F.col("n"))
+    rest = t.where(~F.col("alike") & (F.col("n") <= F.length("sb") + band))
+    got = end_alignments(rest.select(
+        "gap_id", F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.length("sa").alias("a_len"), F.col("sb").alias("text"),
+        F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("pos").alias("diagonal")), band, k, max_miss)
+    bent = got.select("gap_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("b_end").alias("n"),
+                      (F.col("a_len") - F.col("a_start")).alias("back"), F.col("text").alias("sb"))
+    return plain.select("gap_id", "a", "b", "n", "back", "sb").unionByName(bent).select(
+        "gap_id", "a", "b", "n", "back", F.substring(F.col("sb"), F.col("n") + 1, F.length("sb")).alias("add"))
+
+
+def overlap_chains(gap_rows: DataFrame, reads: DataFrame, k: int, max_miss: float = 0.1, band: int = 8) -> DataFrame:
     """Closures by chains of reads from head to tail: (gap_id, length, seq,
     shrink). Head and tail take part as reads; each read goes on to the read it
     overlaps most (then the smaller id), and the chain from the head is followed
-    for all gaps together until it reaches the tail.
+    for all gaps together until it reaches the tail. Overlaps may hold up to
+    ``band`` inserted or deleted bases; the text of the earlier read stands.
     """
-    from ..functions.bases import mismatches
     ends = gap_rows.select("gap_id", F.explode(F.array(F.struct(F.lit(-1).cast("bigint").alias("read_id"), F.col("head").alias("seq")),
                                                        F.struct(F.lit(-2).cast("bigint").alias("read_id"), F.col("tail").alias("seq")))).alias("x")).select("gap_id", "x.*")
     distinct = reads.groupBy("gap_id", "seq").agg(F.min("read_id").alias("read_id")).select("gap_id", "read_id", "seq")
     pool = materialize(distinct.unionByName(ends).where(F.length("seq") >= k), "pool")
-    c = overlap_candidates(pool, k)
-    t = c.join(pool.select("gap_id", F.col("read_id").alias("a"), F.col("seq").alias("sa")), ["gap_id", "a"]).join(
-        pool.select("gap_id", F.col("read_id").alias("b"), F.col("seq").alias("sb")), ["gap_id", "b"])
-    n = F.length("sa") - F.col("pos")
-    t = t.withColumn("n", n).where((F.col("n") <= F.length("sb")) & (F.col("a") != -2) & (F.col("b") != -1))
-    t = t.where(mismatches(F.right("sa", F.col("n")), F.left("sb", F.col("n"))) <= F.col("n") * max_miss)
+    t = read_overlaps(pool, k, max_miss, band)
     # the tail wins as soon as it can be reached, else the longest overlap
-    best = t.groupBy("gap_id", "a").agg(F.max(F.struct((F.col("b") == -2).alias("end"), "n", (-F.col("b")).alias("i"), "b", F.substring(F.col("sb"), F.col("n") + 1, F.length("sb")).alias("add"))).alias("x"))
-    nxt = materialize(best.select("gap_id", "a", "x.b", "x.add"), "overlaps")
-    walk = materialize(nxt.where("a = -1").select("gap_id", F.col("b").alias("at"), F.col("add").alias("text"), F.array("b").alias("seen")), "walk")
-    done = None
+    best = t.groupBy("gap_id", "a").agg(F.max(F.struct((F.col("b") == -2).alias("end"), "n", (-F.col("b")).alias("i"), "b", "back", "add")).alias("x"))
+    nxt = materialize(best.select("gap_id", "a", "x.b", "x.back", "x.add"), "overlaps")
+    # where the tail starts in the text: as many bases before the end of the last read as it covers there
+    def go(walk, text, seen):
+        ends_here = F.col("b") == -2
+        return walk.select("gap_id", F.col("b").alias("at"), F.when(ends_here, F.length(text) - F.col("back")).alias("n"),
+                           F.when(ends_here, text).otherwise(F.concat(text, F.col("add"))).alias("text"), F.concat(seen, F.array("b")).alias("seen"))
+
+    walk = materialize(go(nxt.where("a = -1"), F.lit(""), F.array().cast("array<bigint>")), "walk")
+    done = walk.where("at = -2")
     while not is_empty(walk.where("at <> -2")):
-        step = walk.where("at <> -2").join(nxt.withColumnRenamed("a", "at"), ["gap_id", "at"]).where(~F.array_contains("seen", F.col("b")))
-        end = walk.where("at = -2")
-        done = end if done is None else done.unionByName(end)
-        walk = materialize(step.select("gap_id", F.col("b").alias("at"), F.concat("text", "add").alias("text"), F.concat("seen", F.array("b")).alias("seen")), "walk")
-    done = walk.where("at = -2") if done is None else done.unionByName(walk.where("at = -2"))
-    # the text runs through the tail; what is left of it is the closure
-    m = done.join(gap_rows, "gap_id").withColumn("n", F.length("text") - F.length("tail"))
-    return m.select("gap_id", F.greatest("n", F.lit(0)).alias("length"), F.substring(F.col("text"), F.lit(1), F.greatest("n", F.lit(0))).alias("seq"),
-                    F.greatest(-F.col("n"), F.lit(0)).alias("shrink"))
+        step = walk.where("at <> -2").drop("n").join(nxt.withColumnRenamed("a", "at"), ["gap_id", "at"]).where(~F.array_contains("seen", F.col("b")))
+        walk = materialize(go(step, F.col("text"), F.col("seen")), "walk")
+        done = done.unionByName(walk.where("at = -2"))
+    return done.select("gap_id", F.greatest("n", F.lit(0)).alias("length"), F.substring(F.col("text"), F.lit(1), F.greatest("n", F.lit(0))).alias("seq"),
+                       F.greatest(-F.col("n"), F.lit(0)).alias("shrink"))
 
 
 def close_with_reads(gap_rows: DataFrame, reads: DataFrame, ks=LOCAL_K, min_cov: int = MIN_LOCAL_COVERAGE) -> DataFrame:

@@ -214,6 +214,16 @@ def gaps_closed_by_overlaps(spark, d):
     return gc.apply_closures(s, g, c).select("node", "seq")
 
 
+@query("gaps_closed_by_bent_overlaps", "L12 L13 F5", sql(" SELECT contig_id AS node, seq FROM contigs WHERE length(seq) >= 120", "contigs"))
+def gaps_closed_by_bent_overlaps(spark, d):
+    """Each read lacks a base of its own inside the part an earlier read covers."""
+    s = _gapped(spark, d)
+    g = materialize(gc.gaps(s), "gaps")
+    lacks = F.concat(F.left("seq", F.lit(22)), F.substring(F.col("seq"), F.lit(24), F.length("seq")))
+    c = gc.overlap_chains(g, _pieces(spark, d, step=14).select("gap_id", "read_id", lacks.alias("seq")), 20)
+    return gc.apply_closures(s, g, c).select("node", "seq")
+
+
 @query("gap_overlap_candidates", "L12", sql("""
     , rd AS (SELECT contig_id AS g, contig_id * 100000 + i AS read_id, substring(seq, cast(i as int) + 1, 60) AS seq FROM (SELECT *, unnest(range(0, length(seq) - 59, 7)) AS i FROM contigs WHERE length(seq) >= 120)),
     w AS (SELECT g, read_id, i, substring(seq, cast(i as int) + 1, 20) AS f FROM (SELECT *, unnest(range(1, length(seq) - 19)) AS i FROM rd))

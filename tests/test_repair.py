@@ -155,3 +155,36 @@ def test_merge_arms(spark):
     assert got == {1: [(10, 0, 5.8), (11, 1, 5.8), (12, 0, 5.8), (13, 1, 5.8), (14, 0, 5.8)], 3: [(30, 0, 17 / 3), (41, 2, 17 / 3), (32, 0, 17 / 3)]}
     assert sorted((r.node, r.stretch, r.contig, r.arm) for r in crushed.collect()) == [(1, 1, 21, 2), (1, 1, 22, 2), (3, 1, 31, 1)]
     assert bubble_merge.merge_arms(pairs.limit(0), parts, 20, 20)[0].collect() == []
+
+
+def test_chains_over_bent_overlaps(spark):
+    """Reads whose overlap holds a deletion or an insertion still close the gap,
+    with the text of the earlier read; without a band they do not."""
+    from helixframe.operators import gapclose as gc
+    rng = random.Random(11)
+    gaps, reads, want = [], [], {}
+    for g in range(12):
+        t = "".join(rng.choice("ACGT") for _ in range(160))
+        first, second = t[5:100], t[50:160]
+        if g % 3 == 0:
+            first = t[5:80] + t[81:100]
+        elif g % 3 == 1:
+            first = t[5:80] + "ACGT"["ACGT".index(t[80]) - 1] + t[80:100]
+        gaps.append((str(g), t[:40], t[130:]))
+        reads += [(str(g), 2 * g, first), (str(g), 2 * g + 1, second)]
+        want[str(g)] = first[35:] + t[100:130]
+    gaps = spark.createDataFrame(gaps, "gap_id string, head string, tail string")
+    reads = spark.createDataFrame(reads, "gap_id string, read_id bigint, seq string")
+    got = {r["gap_id"]: (r["seq"], r["shrink"]) for r in gc.overlap_chains(gaps, reads, 15).collect()}
+    assert got == {g: (s, 0) for g, s in want.items()}
+    tight = {r["gap_id"] for r in gc.overlap_chains(gaps, reads, 15, max_miss=0.0).collect()}
+    assert tight == {str(g) for g in range(2, 12, 3)}
+
+
+def test_head_that_overlaps_its_tail(spark):
+    from helixframe.operators import gapclose as gc
+    rng = random.Random(12)
+    t = "".join(rng.choice("ACGT") for _ in range(60))
+    gaps = spark.createDataFrame([("g", t[:40], t[20:])], "gap_id string, head string, tail string")
+    none = spark.createDataFrame([], "gap_id string, read_id bigint, seq string")
+    assert [tuple(r) for r in gc.overlap_chains(gaps, none, 15).select("length", "seq", "shrink").collect()] == [(0, "", 20)]
