@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import division as dv, edges as ed, links as lk, scaffold as sc, stats as st
+from ..operators import division as dv, edges as ed, grow as gr, links as lk, scaffold as sc, stats as st
 from ..session import materialize
 from . import fixtures as fx
 from .catalog import query
@@ -638,6 +638,16 @@ def linked_node_paths(spark, d):
     return sc.bounded_paths(e, n, pairs, 50)
 
 
+@query("scaffold_layouts_in_seed_order", "G22 G23 O11", None)
+def scaffold_layouts_in_seed_order(spark, d):
+    """Edges that leave a block of eight nodes are cut; every node of rank 5 in its block is a repeat."""
+    e = chain_edges(spark, d).where("(abs(id1) - 1) div 8 = (abs(id2) - 1) div 8")
+    k = F.col("node") - 1
+    n = nodes(spark, d).select("node", F.least("len", F.lit(900)).alias("len"), F.when(F.col("cluster") < 4, 0).otherwise(F.col("cluster")).alias("cluster"),
+                               (k % 8 == 5).alias("repeat"))
+    return gr.layouts_in_seed_order(n, e, 30)
+
+
 @query("scaffold_layouts", "G22 G23 G24 O11 L4", None)
 def scaffold_layouts(spark, d):
     e = chain_edges(spark, d).withColumn("gap", F.greatest("gap", F.lit(0)))
