@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.bases import revcomp
-from ..operators import (composition as cp, coverage as cv, dbg, division as dv, edges as ed, gapclose as gc, kmers as km,
+from ..operators import (composition as cp, coverage as cv, dbg, division as dv, edges as ed, gapclose as gc, grow as gr, kmers as km,
                          layout as ly, links as lk, mapping as mp, overlap as ov, scaffold as sc, stats as st)
 from ..session import is_empty, materialize
 from ..sources import writers as wr
@@ -137,12 +137,14 @@ def initial_parts(contigs: DataFrame) -> DataFrame:
 
 def scaffold(contigs: DataFrame, pairs: DataFrame | None = None, hits: DataFrame | None = None, barcodes: DataFrame | None = None,
              seed: int = 31, min_link: int = 3, min_len: int = 500, clusters: DataFrame | None = None, rounds: int = 1,
-             min_overlap: int = 32, read_len: int = 100, max_k: int = 31) -> Scaffolds:
+             min_overlap: int = 32, read_len: int = 100, max_k: int = 31, in_seed_order: bool = False) -> Scaffolds:
     """Contigs (contig_id, seq, cov) to scaffolds. Evidence: read pairs (pair_id,
     mate, seq), long-read hits (read_id, node, q_start, q_end, t_start, score)
     and barcode positions (tag, node, pos). Pairs give links and the insert
     size; thin, conflicting and cross-cluster edges go, repeats stay alone,
-    layouts grow, sparse and repeated ends are cut off again."""
+    layouts grow, sparse and repeated ends are cut off again. With ``in_seed_order``
+    they grow one seed after the other inside each component and may pass repeats."""
+    grown = gr.layouts_in_seed_order if in_seed_order else sc.grow_layouts
     overlaps = materialize(ov.exact_overlaps(contigs, min_overlap), "overlaps")
     parts = materialize(initial_parts(contigs), "parts")
     text = contigs.select((F.col("contig_id") + 1).alias("contig"), "seq", "cov")
@@ -178,7 +180,7 @@ def scaffold(contigs: DataFrame, pairs: DataFrame | None = None, hits: DataFrame
         edges = materialize(ed.without(edges, ed.across_clusters(edges, nodes)), "edges")
         repeat = ed.repeats(edges, nodes, tolerance).withColumn("repeat", F.lit(True))
         nodes = nodes.join(repeat, "node", "left").withColumn("repeat", F.coalesce("repeat", F.lit(False)))
-        lay = materialize(sc.grow_layouts(materialize(nodes.select("node", "len", "cluster", "repeat"), "nodes"), edges, tolerance), "layouts")
+        lay = materialize(grown(materialize(nodes.select("node", "len", "cluster", "repeat"), "nodes"), edges, tolerance), "layouts")
         parts = materialize(_expanded(lay, parts), "parts")
         cut = dv.sparse_end_breaks(parts).unionByName(dv.repeat_end_breaks(parts)).unionByName(dv.cluster_breaks(parts, label)).distinct()
         parts = materialize(dv.renumbered_nodes(dv.split_at(parts, cut)).drop("parent"), "parts")

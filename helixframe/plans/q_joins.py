@@ -53,7 +53,21 @@ def map_by_first_word(spark, d):
     return mp.map_by_first_word(fx.reads(spark, d), fx.contigs(spark, d), W)
 
 
-@query("map_with_seed_fallback", "J7 J14")
+def _first_sql(k, left, out):
+    """The place of the first uniquely placed word of ``k`` bases, for reads of ``left``."""
+    c = lambda f: f"CASE WHEN {f} < reverse(translate({f}, 'ACGT', 'TGCA')) THEN 1 WHEN {f} = reverse(translate({f}, 'ACGT', 'TGCA')) THEN 0 ELSE -1 END"
+    return ", " + kmers_sql("contigs", f"ck{k}", "contig_id", k) + f""",
+    ix{k} AS (SELECT {canon_sql('f')} AS kmer, min(contig_id) + 1 AS cid, min(pos) AS cpos, min({c('f')}) AS cs FROM ck{k} GROUP BY 1 HAVING count(*) = 1),
+    ws{k} AS (SELECT read_id, i AS pos, substring(seq, cast(i as int) + 1, {k}) AS f FROM
+      (SELECT *, unnest(list_distinct(list_append(range(length(seq) - {k}, -1, -{k}), 0))) AS i FROM {left} WHERE length(seq) >= {k})),
+    hp{k} AS (SELECT read_id, pos, CASE WHEN s = cs THEN cid ELSE -cid END AS id, CASE WHEN s = cs THEN cpos - pos ELSE cpos + pos + {k} - 1 END AS "offset"
+      FROM (SELECT read_id, pos, {canon_sql('f')} AS kmer, {c('f')} AS s FROM ws{k}) JOIN ix{k} USING (kmer) WHERE s <> 0 AND cs <> 0),
+    {out} AS (SELECT read_id, id, "offset", {k} AS score FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY pos, id, "offset") AS rn FROM hp{k}) WHERE rn = 1)"""
+
+
+@query("map_with_seed_fallback", "J7 J14", sql(_first_sql(21, "reads", "m1") + ", r2 AS (SELECT * FROM reads WHERE read_id NOT IN (SELECT read_id FROM m1))"
+       + _first_sql(15, "r2", "m2") + ", r3 AS (SELECT * FROM r2 WHERE read_id NOT IN (SELECT read_id FROM m2))" + _first_sql(W, "r3", "m3")
+       + " SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3", "contigs", "reads"))
 def map_with_seed_fallback(spark, d):
     return mp.map_with_fallback(fx.reads(spark, d), fx.contigs(spark, d), [21, 15, W])
 

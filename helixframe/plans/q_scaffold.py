@@ -374,7 +374,18 @@ def bubbles_crushed_by_text(spark, d):
     return sc.crush_alike(pairs, n, 0.02)
 
 
-@query("overlaps_of_alike_ends", "G66 J24")
+@query("overlaps_of_alike_ends", "G66 J24", sql("""
+    , c AS (SELECT contig_id + 1 AS id, seq, length(seq) AS len FROM contigs WHERE length(seq) >= 5),
+    o AS (SELECT id, 1 AS s, seq, len FROM c UNION ALL SELECT id, -1, reverse(translate(seq, 'ACGT', 'TGCA')), len FROM c),
+    p AS (SELECT a.id * a.s AS x, b.id * b.s AS y, a.seq AS sa, b.seq AS sb, unnest(range(5, least(a.len, b.len) + 1)) AS n
+      FROM o a JOIN o b ON abs(b.id) > abs(a.id) AND a.s = 1),
+    q AS (SELECT x, y, n FROM p WHERE right(sa, n) = left(sb, n) UNION ALL SELECT -x, -y, n FROM p WHERE left(sa, n) = right(sb, n)),
+    ov AS (SELECT x, y, max(n) AS n FROM q GROUP BY ALL),
+    dd AS (SELECT x AS u, y AS v, n FROM ov UNION ALL SELECT -y, -x, n FROM ov),
+    rk AS (SELECT *, first_value(v) OVER (PARTITION BY u ORDER BY n DESC, abs(v), v DESC) AS bv FROM dd),
+    tx AS (SELECT rk.u, rk.v, a.seq AS s1, b.seq AS s2, least(a.len, b.len) AS n FROM rk JOIN o a ON a.id * a.s = v JOIN o b ON b.id * b.s = bv WHERE v <> bv)
+    SELECT DISTINCT CASE WHEN abs(u) < abs(v) THEN u ELSE -v END AS id1, CASE WHEN abs(u) < abs(v) THEN v ELSE -u END AS id2
+    FROM tx WHERE levenshtein(left(s1, n), left(s2, n)) <= floor(n * 0.6)""", "contigs"))
 def overlaps_of_alike_ends(spark, d):
     from ..operators import overlap as ov
     c = fx.contigs(spark, d)
@@ -586,18 +597,23 @@ def division_erroneous(spark, d):
     return dv.erroneous_breaks(p, _pro(spark, d), dv.inside_links(_mates(spark, d), p, 400), "switch", 4)
 
 
-@query("division_applied", "G78 G79 G71 G90", sql(_PT + """, br AS (SELECT node, idx FROM pp WHERE e0 IS NOT NULL AND s - e0 > 100),
+_CUT = _PT + """, br AS (SELECT node, idx FROM pp WHERE e0 IS NOT NULL AND s - e0 > 100),
     sg AS (SELECT parts.*, sum(CASE WHEN br.idx IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY parts.node ORDER BY parts.idx) AS seg FROM parts LEFT JOIN br ON br.node = parts.node AND br.idx = parts.idx),
     fs AS (SELECT abs(contig) AS c, min(row(node, seg)) AS f FROM sg GROUP BY 1),
     kp AS (SELECT DISTINCT sg.node, sg.seg FROM sg JOIN fs ON fs.c = abs(contig) AND f = row(node, seg)),
-    zs AS (SELECT node, seg, min(idx) AS z, min_by(s, idx) AS zs FROM sg GROUP BY 1, 2)
+    zs AS (SELECT node, seg, min(idx) AS z, min_by(s, idx) AS zs FROM sg GROUP BY 1, 2)"""
+
+
+@query("division_applied", "G78 G79 G71 G90", sql(_CUT + """
     SELECT sg.node AS parent, cast(sg.seg as bigint) AS seg, sg.idx - z AS idx, contig, s - zs AS "start", e - zs AS "end" FROM sg JOIN kp ON kp.node = sg.node AND kp.seg = sg.seg JOIN zs ON zs.node = sg.node AND zs.seg = sg.seg""", "nodes"))
 def division_applied(spark, d):
     p = parts(spark, d)
     return dv.split_at(p, dv.gap_breaks(p, 100), unique=True)
 
 
-@query("division_renumbered", "G71 G78", None)
+@query("division_renumbered", "G71 G78", sql(_CUT + """
+    SELECT cast(dense_rank() OVER (ORDER BY sg.node, sg.seg) as bigint) AS node, sg.idx - z AS idx, contig, s - zs AS "start", e - zs AS "end", sg.node AS parent
+    FROM sg JOIN kp ON kp.node = sg.node AND kp.seg = sg.seg JOIN zs ON zs.node = sg.node AND zs.seg = sg.seg""", "nodes"))
 def division_renumbered(spark, d):
     p = parts(spark, d)
     return dv.renumbered_nodes(dv.split_at(p, dv.gap_breaks(p, 100), unique=True))

@@ -331,7 +331,8 @@ def test_split_drops_segments_without_own_contig(spark):
     assert rows(out, "parent", "seg", "contig", "start") == [(1, 0, -6, 20), (1, 0, 5, 0), (2, 1, 7, 0)]
 
 
-def test_scaffold_from_pairs(spark):
+@pytest.mark.parametrize("in_seed_order", [False, True])
+def test_scaffold_from_pairs(spark, in_seed_order):
     g = rand_seq(3000, 41)
     cuts = [(0, 900), (960, 1900), (1960, 3000)]
     seqs = [g[a:c] for a, c in cuts]
@@ -341,7 +342,7 @@ def test_scaffold_from_pairs(spark):
     for n, i in enumerate(range(0, len(g) - 400, 7)):
         pairs += [(n, 0, g[i:i + 60]), (n, 1, rc(g[i + 340:i + 400]))]
     p = spark.createDataFrame(pairs, "pair_id long, mate int, seq string")
-    out = cmd.scaffold(contigs, p, seed=21, min_link=3, min_len=1)
+    out = cmd.scaffold(contigs, p, seed=21, min_link=3, min_len=1, in_seed_order=in_seed_order)
     got = out.results.collect()
     assert len(got) == 1
     s = got[0]["seq"]
