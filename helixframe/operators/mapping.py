@@ -172,15 +172,21 @@ def map_with_bubbles(reads: DataFrame, contigs: DataFrame, bubbles: DataFrame, k
     return top_unless_tied(votes, keep, "votes")
 
 
-def gap_spanning_reads(reads: DataFrame, flanks: DataFrame, k: int) -> DataFrame:
+def gap_spanning_reads(reads: DataFrame, flanks: DataFrame, k: int, max_mismatch: float = 0.1) -> DataFrame:
     """Reads that hold the left and the right flank word of one gap in order;
     the text between is a candidate for the gap (negative length = overlap).
 
-    ``flanks`` is (gap_id, left, right) with k-base words; words that belong to
-    more than one gap are not used.
+    ``flanks`` is (gap_id, left, right): the words are the last k bases of the
+    left flank and the first k of the right one; words that belong to more than
+    one gap are not used. Where the flanks go on beyond their words, the read
+    must agree with them as far as both reach (up to ``max_mismatch``): a word
+    that comes back inside the gap is not its edge. Of several places the one
+    with the fewest mismatches counts, then the one next to the gap.
     """
-    from ..functions.bases import pack
-    both = flanks.select("gap_id", F.explode(F.array(
+    from ..functions.bases import mismatches, pack
+    flanks = flanks.where((F.length("left") >= k) & (F.length("right") >= k)).select("gap_id", "left", "right")
+    ends = flanks.select("gap_id", F.right("left", F.lit(k)).alias("left"), F.left("right", F.lit(k)).alias("right"))
+    both = ends.select("gap_id", F.explode(F.array(
         F.struct(F.lit("l").alias("side"), F.lit(1).alias("strand"), pack("left").alias("kmer")),
         F.struct(F.lit("r").alias("side"), F.lit(1).alias("strand"), pack("right").alias("kmer")),
         F.struct(F.lit("l").alias("side"), F.lit(-1).alias("strand"), pack(revcomp("left")).alias("kmer")),
@@ -189,13 +195,26 @@ def gap_spanning_reads(reads: DataFrame, flanks: DataFrame, k: int) -> DataFrame
         "n = 1").select("kmer", "q.*")
     hit = join_unique(kmer_rows(reads, k, keep=["read_id"], mode="forward", positions=True), one, ["kmer"])
     g = hit.groupBy("read_id", "gap_id", "strand").agg(
-        F.max(F.when(F.col("side") == "l", F.col("pos"))).alias("l"), F.min(F.when(F.col("side") == "r", F.col("pos"))).alias("r"))
+        F.collect_list(F.when(F.col("side") == "l", F.col("pos"))).alias("l"), F.collect_list(F.when(F.col("side") == "r", F.col("pos"))).alias("r"))
+    t = g.where("size(l) > 0 and size(r) > 0").join(reads.select("read_id", "seq"), "read_id").join(flanks, "gap_id")
+    # everything on the strand of the gap
     fwd = F.col("strand") > 0
-    g = g.where("l is not null and r is not null").withColumn("length", F.when(fwd, F.col("r") - F.col("l") - k).otherwise(F.col("l") - F.col("r") - k))
-    g = g.where(F.col("length") > -k)
-    body = F.substring(F.col("seq"), F.when(fwd, F.col("l")).otherwise(F.col("r")) + k + 1, F.greatest("length", F.lit(0)))
-    return g.join(reads.select("read_id", "seq"), "read_id").select(
-        "gap_id", "read_id", "length", F.when(fwd, body).otherwise(revcomp(body)).alias("seq"))
+    turned = lambda x: F.transform(x, lambda p: F.when(fwd, p).otherwise(F.length("seq") - p - k))
+    t = t.withColumn("l", turned("l")).withColumn("r", turned("r")).withColumn("seq", F.when(fwd, F.col("seq")).otherwise(revcomp("seq")))
+
+    def place(p, side):
+        if side == "l":
+            n = F.least(F.length("left") - k, p)
+            miss = mismatches(F.substring(F.col("seq"), p - n + 1, n), F.substring(F.col("left"), F.length("left") - k - n + 1, n))
+        else:
+            n = F.least(F.length("right") - k, F.length("seq") - p - k)
+            miss = mismatches(F.substring(F.col("seq"), p + k + 1, n), F.substring(F.col("right"), F.lit(k + 1), n))
+        return F.struct((miss <= n * max_mismatch).alias("ok"), (-miss).alias("m"), (p if side == "l" else -p).alias("near"), p.alias("p"))
+
+    best = lambda side: F.array_max(F.filter(F.transform(side, lambda p: place(p, side)), lambda x: x["ok"]))["p"]
+    t = t.select("gap_id", "read_id", "seq", best("l").alias("l"), best("r").alias("r")).where("l is not null and r is not null")
+    t = t.withColumn("length", F.col("r") - F.col("l") - k).where(F.col("length") > -k)
+    return t.select("gap_id", "read_id", "length", F.substring(F.col("seq"), F.col("l") + k + 1, F.greatest("length", F.lit(0))).alias("seq"))
 
 
 def read_on_unitig(reads: DataFrame, unitigs: DataFrame, k: int) -> DataFrame:

@@ -230,8 +230,7 @@ def close_gaps(scaffolds: DataFrame, reads: DataFrame, mates: DataFrame | None =
     (reads: read_id, seq), then by gathered reads (mates: node, strand, pos,
     read_id, seq on the scaffold strand)."""
     g = materialize(gc.gaps(scaffolds), "gaps")
-    flank = g.where((F.length("head") >= word) & (F.length("tail") >= word)).select(
-        "gap_id", F.right("head", F.lit(word)).alias("left"), F.left("tail", F.lit(word)).alias("right"))
+    flank = g.select("gap_id", F.col("head").alias("left"), F.col("tail").alias("right"))
     small = materialize(gc.close_small(g, mp.gap_spanning_reads(reads, flank, word)).select(
         "gap_id", "seq", "shrink", F.lit(0).cast("bigint").alias("remain")), "small")
     closed = small

@@ -184,7 +184,7 @@ def gap_spanning_reads(spark, d):
     from ..operators.mapping import gap_spanning_reads as spanning
     g = gc.gaps(_gapped(spark, d))
     r = _pieces(spark, d).select("read_id", "seq")
-    out = spanning(r, g.select("gap_id", F.right("head", F.lit(15)).alias("left"), F.left("tail", F.lit(15)).alias("right")), 15)
+    out = spanning(r, g.select("gap_id", F.col("head").alias("left"), F.col("tail").alias("right")), 15)
     return out.select("gap_id", "read_id", F.col("length").cast("bigint").alias("length"), "seq")
 
 
@@ -193,7 +193,7 @@ def small_gaps_closed(spark, d):
     s = _gapped(spark, d)
     g = materialize(gc.gaps(s), "gaps")
     from ..operators.mapping import gap_spanning_reads as spanning
-    c = spanning(_pieces(spark, d).select("read_id", "seq"), g.select("gap_id", F.right("head", F.lit(15)).alias("left"), F.left("tail", F.lit(15)).alias("right")), 15)
+    c = spanning(_pieces(spark, d).select("read_id", "seq"), g.select("gap_id", F.col("head").alias("left"), F.col("tail").alias("right")), 15)
     return gc.apply_closures(s, g, gc.close_small(g, c)).select("node", "seq")
 
 
