@@ -180,8 +180,10 @@ def read_overlaps(pool: DataFrame, k: int, max_miss: float, band: int) -> DataFr
     """Overlaps of a read's end with another read's start: (gap_id, a, b, n, back, add).
 
     ``n`` bases of b lie on the last ``back`` bases of a, ``add`` is the rest of b.
-    Candidates that agree without gaps stay in the JVM; only the others are aligned,
-    in a band around the common word, with insertions and deletions.
+    Candidates that agree base by base stay in the JVM; the others are aligned, in a
+    band around the common word, with insertions and deletions: in a run of one base
+    a lacking base looks like few mismatches, but moves the end of the overlap. What
+    the alignment refuses stands without gaps, if its mismatches are few.
     """
     from ..functions.bases import mismatches
     c = overlap_candidates(pool, k).where((F.col("a") != -2) & (F.col("b") != -1))
@@ -189,15 +191,17 @@ def read_overlaps(pool: DataFrame, k: int, max_miss: float, band: int) -> DataFr
         pool.select("gap_id", F.col("read_id").alias("b"), F.col("seq").alias("sb")), ["gap_id", "b"])
     t = t.withColumn("n", F.length("sa") - F.col("pos"))
     fits = F.col("n") <= F.length("sb")
+    same = fits & (F.right("sa", F.col("n")) == F.left("sb", F.col("n")))
     alike = fits & (mismatches(F.right("sa", F.col("n")), F.left("sb", F.col("n"))) <= F.col("n") * max_miss)
-    t = materialize(t.withColumn("alike", F.coalesce(alike, F.lit(False))), "overlap-candidates")
-    plain = t.where("alike").withColumn("back", F.col("n"))
-    rest = t.where(~F.col("alike") & (F.col("n") <= F.length("sb") + band))
-    got = end_alignments(rest.select(
-        "gap_id", F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.length("sa").alias("a_len"), F.col("sb").alias("text"),
-        F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("pos").alias("diagonal")), band, k, max_miss)
+    t = materialize(t.withColumn("same", F.coalesce(same, F.lit(False))).withColumn("alike", F.coalesce(alike, F.lit(False))), "overlap-candidates")
+    rest = t.where(~F.col("same") & (F.col("n") <= F.length("sb") + band))
+    got = materialize(end_alignments(rest.select(
+        "gap_id", F.col("a").alias("from_id"), F.col("b").alias("to_id"), "pos", F.length("sa").alias("a_len"), F.col("sb").alias("text"),
+        F.col("sa").alias("a"), F.col("sb").alias("b"), F.col("pos").alias("diagonal")), band, k, max_miss), "bent-overlaps")
     bent = got.select("gap_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("b_end").alias("n"),
                       (F.col("a_len") - F.col("a_start")).alias("back"), F.col("text").alias("sb"))
+    tried = got.select("gap_id", F.col("from_id").alias("a"), F.col("to_id").alias("b"), "pos")
+    plain = t.where("same").unionByName(t.where("alike and not same").join(tried, ["gap_id", "a", "b", "pos"], "left_anti")).withColumn("back", F.col("n"))
     return plain.select("gap_id", "a", "b", "n", "back", "sb").unionByName(bent).select(
         "gap_id", "a", "b", "n", "back", F.substring(F.col("sb"), F.col("n") + 1, F.length("sb")).alias("add"))
 
