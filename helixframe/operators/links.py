@@ -1,9 +1,10 @@
 """Evidence for edges: links from pairs, long reads and barcodes.
 
 Links are reduced to distinct (pair, gap) rows before anything is ordered, so
-a pair of nodes with any number of links stays a short group. Pairs that need
-support from several reads or barcodes are found by prefix filtering: with
-support c, two nodes must also meet outside the c-1 most populous groups of
+a pair of nodes with any number of links stays a short group. Reads and barcodes
+of few nodes are opened into their pairs, a bounded number of rows for each row
+given. Pairs that need support from larger ones are found by prefix filtering:
+with support c, two nodes must also meet outside the c-1 most populous groups of
 each, so the largest groups never have to be expanded into all their pairs.
 """
 
@@ -13,13 +14,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import is_empty, materialize
 from .overlap import canonical_pair
 from .skew import lagged, ordered_blocks, running_sum
 
 SESSION_GAP = 10_000        # fixed values: barcode sessions and molecules
 DEFAULT_MOLECULE = 50_000
 MIN_MOLECULES = 20
+SMALL_GROUP = 32            # nodes of a group that is opened into its pairs
 
 
 def lift(hits: DataFrame, parts: DataFrame) -> DataFrame:
@@ -89,46 +91,78 @@ def tag_counts_by_scaffold(counts: DataFrame, parts: DataFrame, min_reads: int)
             .where(F.col("n") >= min_reads))
 
 
-def common_tags(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Sum over tags of min(n1, n2) for given node pairs (0 when none).
+def _by_size(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts of groups of up to ``SMALL_GROUP`` nodes and those of the larger ones."""
+    size = counts.groupBy("tag").agg(F.count(F.lit(1)).alias("size"))
+    sized = materialize(counts.select("tag", "node", "n").join(size, "tag"), "sized-groups")
+    return sized.where(F.col("size") <= SMALL_GROUP), sized.where(F.col("size") > SMALL_GROUP)
+
+
+def _in_small_groups(small: DataFrame) -> DataFrame:
+    """Sum of min(n1, n2) for all pairs that meet in a small group: (lo, hi, c), lo < hi."""
+    a = small.select("tag", F.col("node").alias("lo"), F.col("n").alias("na"))
+    b = small.select("tag", F.col("node").alias("hi"), F.col("n").alias("nb"))
+    return a.join(b, "tag").where("lo < hi").groupBy("lo", "hi").agg(F.sum(F.least("na", "nb")).cast("bigint").alias("c"))
 
-    Each pair is opened from the node with fewer tags and meets the other node
+
+def _in_large_groups(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """The same sum over large groups, for given pairs (lo, hi) that meet in one.
+
+    Each pair is opened from the node with fewer groups and meets the other node
     by (node, tag), which is unique there: the work is bounded by the smaller
     side of every pair, and a tag that covers all nodes makes no pairs.
     """
-    deg = counts.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    p = pairs.select("id1", "id2").distinct()
-    d = (p.join(deg.select(F.col("node").alias("id1"), F.col("d").alias("d1")), "id1", "left")
-         .join(deg.select(F.col("node").alias("id2"), F.col("d").alias("d2")), "id2", "left").na.fill(0, ["d1", "d2"]))
+    deg = large.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    d = (pairs.select("lo", "hi").join(deg.select(F.col("node").alias("lo"), F.col("d").alias("d1")), "lo")
+         .join(deg.select(F.col("node").alias("hi"), F.col("d").alias("d2")), "hi"))
     first = F.col("d1") <= F.col("d2")
-    d = d.select("id1", "id2", F.when(first, F.col("id1")).otherwise(F.col("id2")).alias("few"),
-                 F.when(first, F.col("id2")).otherwise(F.col("id1")).alias("many"))
-    a = d.join(counts.select(F.col("node").alias("few"), "tag", F.col("n").alias("na")), "few")
-    b = a.join(counts.select(F.col("node").alias("many"), "tag", F.col("n").alias("nb")), ["many", "tag"])
-    s = b.groupBy("id1", "id2").agg(F.sum(F.least("na", "nb")).cast("bigint").alias("common"))
-    return p.join(s, ["id1", "id2"], "left").na.fill(0, ["common"])
+    d = d.select("lo", "hi", F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("few"),
+                 F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("many"))
+    a = d.join(large.select(F.col("node").alias("few"), "tag", F.col("n").alias("na")), "few")
+    b = a.join(large.select(F.col("node").alias("many"), "tag", F.col("n").alias("nb")), ["many", "tag"])
+    return b.groupBy("lo", "hi").agg(F.sum(F.least("na", "nb")).cast("bigint").alias("c"))
+
+
+def common_tags(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """Sum over tags of min(n1, n2) for given pairs of different nodes (0 when none).
+
+    Tags of few nodes are opened into their pairs, whatever the number of pairs
+    asked for; only for the tags of more nodes are the pairs opened.
+    """
+    p = pairs.select("id1", "id2").distinct()
+    keyed = p.withColumn("lo", F.least("id1", "id2")).withColumn("hi", F.greatest("id1", "id2"))
+    small, large = _by_size(counts)
+    s = _in_small_groups(small)
+    if not is_empty(large):
+        keyed = materialize(keyed, "asked-pairs")
+        s = s.unionByName(_in_large_groups(keyed.select("lo", "hi").distinct(), large)).groupBy("lo", "hi").agg(F.sum("c").alias("c"))
+    return keyed.join(s, ["lo", "hi"], "left").select("id1", "id2", F.coalesce("c", F.lit(0)).cast("bigint").alias("common"))
 
 
 def co_occurring(incidence: DataFrame, group: str, item: str, support: int) -> DataFrame:
     """Pairs (id1 < id2) of items that share at least ``support`` groups, with
     the number of shared groups. With a support of 1 the result itself is all
     pairs of every group: only for groups of bounded size, such as a read."""
-    inc = incidence.select(F.col(group).alias("g"), F.col(item).alias("x")).distinct()
-    size = inc.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    sized = materialize(inc.join(size, "g"), "incidence")
-    # rank of a group among those of the item, most populous first; an item
-    # keeps the (support - 1) best rows to leave out by repeated maximum
-    skip = sized
-    drop = None
-    for _ in range(max(support, 1) - 1):
-        top = skip.groupBy("x").agg(F.max(F.struct("size", "g")).alias("t")).select("x", F.col("t.g").alias("g"))
-        drop = top if drop is None else drop.unionByName(top)
-        skip = sized.join(drop, ["x", "g"], "left_anti")
-    prefix = materialize(skip.select("g", "x"), "prefix")
-    cand = (prefix.withColumnRenamed("x", "id1").join(prefix.withColumnRenamed("x", "id2"), "g")
-            .where("id1 < id2").select("id1", "id2").distinct())
-    ones = sized.select(F.col("g").alias("tag"), F.col("x").alias("node"), F.lit(1).alias("n"))
-    return common_tags(cand, ones).where(F.col("common") >= support)
+    ones = incidence.select(F.col(group).alias("tag"), F.col(item).alias("node")).distinct().withColumn("n", F.lit(1))
+    small, large = _by_size(ones)
+    met = _in_small_groups(small)
+    if not is_empty(large):
+        met = materialize(met, "small-groups")
+        # rank of a group among the large ones of the item, most populous first; an
+        # item keeps the (support - 1) best rows to leave out by repeated maximum
+        skip = large
+        drop = None
+        for _ in range(max(support, 1) - 1):
+            top = skip.groupBy("node").agg(F.max(F.struct("size", "tag")).alias("t")).select("node", F.col("t.tag").alias("tag"))
+            drop = top if drop is None else drop.unionByName(top)
+            skip = large.join(drop, ["node", "tag"], "left_anti")
+        prefix = materialize(skip.select("tag", "node"), "prefix")
+        cand = (prefix.withColumnRenamed("node", "lo").join(prefix.withColumnRenamed("node", "hi"), "tag")
+                .where("lo < hi").select("lo", "hi").distinct())
+        # pairs that also meet in small groups may need fewer large ones
+        asked = materialize(cand.unionByName(met.select("lo", "hi")).distinct(), "asked-pairs")
+        met = met.unionByName(_in_large_groups(asked, large)).groupBy("lo", "hi").agg(F.sum("c").alias("c"))
+    return met.where(F.col("c") >= support).select(F.col("lo").alias("id1"), F.col("hi").alias("id2"), F.col("c").alias("common"))
 
 
 def merged_hits(hits: DataFrame) -> DataFrame:
@@ -148,7 +182,7 @@ def long_read_links(hits: DataFrame, lengths: DataFrame, min_link: int, toleranc
     gaps below -tolerance are refused.
     """
     m = materialize(merged_hits(hits).withColumn("_n", F.abs("node")), "merged-hits")
-    pairs = co_occurring(m, "read_id", "_n", min_link).select("id1", "id2")
+    pairs = materialize(co_occurring(m, "read_id", "_n", min_link).select("id1", "id2"), "read-pairs")
     turned = F.col("len") - F.col("t_start") - (F.col("q_end") - F.col("q_start"))
     left = F.col("q_start") - F.when(F.col("node") >= 0, F.col("t_start")).otherwise(turned)
     ext = m.join(lengths.withColumnRenamed("node", "_n"), "_n").select("read_id", "_n", "node", left.alias("l"), (left + F.col("len") - 1).alias("r"), "score")
@@ -295,7 +329,6 @@ def suppress_greedy(hits: DataFrame, tolerance: int) -> DataFrame:
     """Best-first choice per read: keep the best alignment, drop what overlaps a
     kept one, go on. In rounds over all reads at once: an alignment without a
     better undecided rival is kept, its rivals are dropped."""
-    from ..session import is_empty
     rivals = materialize(_overlapping(hits, tolerance).select("hit_a", "hit_b"), "rivals")
     kept = hits.select("hit").join(rivals.select(F.col("hit_b").alias("hit")).distinct(), "hit", "left_anti")
     while True:
