@@ -17,10 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.bases import MAX_OCCURRENCE, c, revcomp
+from ..session import materialize
 
 PACKED_MAX = 31
 PIECE = 1 << 16      # longer sequences are cut into overlapping pieces first
 SLICE = 1 << 20      # bases handled at once inside a task
+DENSE_MAX = 12       # counts of all keys up to this length are one array (4 ** 12 numbers)
+WORD_STEPS = 10      # a minimizer is that many bases shorter than its key
+PART = 1 << 22       # windows counted in one part
+TRAVEL = 1 << 20     # keys that may be sent to all tasks
 
 
 def cut_long(df: DataFrame, k: int, seq: str = "seq", piece: int = PIECE) -> DataFrame:
@@ -43,40 +48,59 @@ for _i, _b in enumerate(b"ACGT"):
     _CODE[_b + 32] = _i
 
 
+def _packed(codes: np.ndarray, k: int) -> np.ndarray:
+    """All windows of k bases, two bits a base, the first base highest. Windows of
+    twice the length are two windows side by side, so a few steps do for any k."""
+    have, width, out, done = (codes & 3).astype(np.int64), 1, None, 0
+    n = len(codes) - k + 1
+    while True:
+        if k & width:
+            # the windows so far stand before this one
+            out = have if out is None else out[:len(have) - done] << 2 * width | have[done:]
+            done += width
+        if done == k:
+            return out[:n]
+        have = have[:-width] << 2 * width | have[width:]
+        width *= 2
+
+
 def _packed_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward keys, reverse-complement keys and validity of all windows."""
-    n = len(codes) - k + 1
-    fwd = np.zeros(n, np.int64)
-    rev = np.zeros(n, np.int64)
-    wide = (codes & 3).astype(np.int64)
-    for j in range(k):
-        x = wide[j:j + n]
-        fwd <<= 2
-        fwd |= x
-        rev |= (3 - x) << (2 * j)
+    fwd = _packed(codes, k)
+    rev = _packed(3 - (codes[::-1] & 3), k)[::-1]
     unknown = np.concatenate(([0], np.cumsum(codes == 4)))
     return fwd, rev, unknown[k:] == unknown[:-k]
 
 
+def _slices(batch: pa.RecordBatch, seq: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows first to last of about ``SLICE`` bases, their borders and base codes."""
+    text = batch.column(batch.schema.get_field_index(seq)).cast(pa.large_binary())
+    offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2], np.uint8) if offs[-1] > offs[0] else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(text):
+        last = int(np.searchsorted(offs, offs[first] + SLICE, side="right")) - 1
+        last = min(max(last, first + 1), len(text))
+        yield first, last, offs[first:last + 1] - offs[first], _CODE[data[offs[first]:offs[last]]]
+        first = last
+
+
+def _within_rows(ok: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
+    """Windows of ``k`` bases must not run over the end of their own row."""
+    for end in bounds[1:-1]:
+        ok[max(0, end - k + 1):end] = False
+    return ok
+
+
 def _emit(k: int, mode: str, positions: bool, seq: str, names: Sequence[str], words: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            text = batch.column(batch.schema.get_field_index(seq)).cast(pa.large_binary())
-            offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-            data = np.frombuffer(text.buffers()[2], np.uint8) if offs[-1] > offs[0] else np.zeros(0, np.uint8)
-            first = 0
-            while first < len(text):
-                last = int(np.searchsorted(offs, offs[first] + SLICE, side="right")) - 1
-                last = min(max(last, first + 1), len(text))
-                bounds = offs[first:last + 1] - offs[first]
-                codes = _CODE[data[offs[first]:offs[last]]]
+            for first, last, bounds, codes in _slices(batch, seq):
                 if len(codes) >= k:
                     fwd, rev, ok = _packed_windows(codes, k)
-                    # windows must not run over the end of their own row
-                    for end in bounds[1:-1]:
-                        ok[max(0, end - k + 1):end] = False
+                    ok = _within_rows(ok, bounds, k)
                     at = np.flatnonzero(ok)
                     row = np.searchsorted(bounds, at, side="right") - 1
                     if words:
@@ -104,7 +128,6 @@ def _emit(k: int, mode: str, positions: bool, seq: str, names: Sequence[str], wo
                     whole = pa.RecordBatch.from_arrays(cols, names=out)
                     for q in range(0, whole.num_rows, 1 << 17):
                         yield whole.slice(q, 1 << 17)
-                first = last
     return run
 
 
@@ -158,6 +181,137 @@ def count_kmers(rows: DataFrame, min_occ: int = 1) -> DataFrame:
     return t.where(F.col("occ") >= min_occ) if min_occ > 1 else t
 
 
+def _dense_counts(k: int, seq: str):
+    """Counts of all canonical keys of a task: one array of 4 ** k numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(4 ** k, np.int64)
+        for batch in batches:
+            for _, _, bounds, codes in _slices(batch, seq):
+                if len(codes) >= k:
+                    fwd, rev, ok = _packed_windows(codes, k)
+                    np.add.at(n, np.minimum(fwd, rev)[_within_rows(ok, bounds, k)], 1)
+        seen = np.flatnonzero(n)
+        for q in range(0, len(seen), 1 << 17):
+            part = seen[q:q + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], names=["kmer", "n"])
+    return run
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    return x * np.uint64(0x94D049BB133111EB)
+
+
+def _stretches(k: int, parts: int, seq: str):
+    """Runs of windows that share their minimizer (the word of ``k - WORD_STEPS``
+    bases, on either strand, with the smallest hash): part, number of windows and
+    the run's bases in two numbers, 31 in ``lo`` and those before in ``hi``. Equal
+    runs of a slice are one row with a count, so a word that makes up a third of
+    the input costs a few rows a slice."""
+    m = max(k - WORD_STEPS, 1)
+    most = min(31, 63 - k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, bounds, codes in _slices(batch, seq):
+                if len(codes) < k:
+                    continue
+                unknown = np.concatenate(([0], np.cumsum(codes == 4)))
+                at = np.flatnonzero(_within_rows(unknown[k:] == unknown[:-k], bounds, k))
+                if not len(at):
+                    continue
+                small = _mixed(np.minimum(_packed(codes, m), _packed(3 - (codes[::-1] & 3), m)[::-1]))
+                reach, width = k - m + 1, 1
+                while width < reach:          # smallest hash of ``width`` words in a row
+                    step = min(width, reach - width)
+                    small = np.minimum(small[:-step], small[step:])
+                    width += step
+                small = small[at]
+                fresh = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (small[1:] != small[:-1])))
+                place = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                heads = np.flatnonzero(place % most == 0)
+                n = np.diff(np.append(heads, len(at)))
+                start, size = at[heads], n + k - 1
+                wide = _packed(np.concatenate((codes, np.zeros(31, np.uint8))), 31)
+                lo = np.where(size >= 31, wide[np.maximum(start + size - 31, 0)], wide[start] >> 2 * np.maximum(31 - size, 0))
+                hi = np.where(size > 31, wide[start] >> 2 * np.clip(62 - size, 0, 31), 0)
+                part = (_mixed(small[heads]) >> np.uint64(20)) % np.uint64(parts)
+                order = np.lexsort((lo, hi, n))
+                n, hi, lo, part = n[order], hi[order], lo[order], part[order]
+                one = np.flatnonzero(np.concatenate(([True], (n[1:] != n[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
+                copies = np.diff(np.append(one, len(n)))
+                yield pa.RecordBatch.from_arrays([pa.array(part[one].astype(np.int32)), pa.array(n[one].astype(np.int32)), pa.array(
+                    copies.astype(np.int32)), pa.array(hi[one]), pa.array(lo[one])], names=["part", "n", "copies", "hi", "lo"])
+    return run
+
+
+def _turned(df: DataFrame, key: str, k: int, name: str) -> DataFrame:
+    """Add the reverse complement of a packed key: all bits flipped, pairs of
+    bits in turned order by swaps of growing width."""
+    df = df.withColumn(name, F.bitwise_not(key))
+    for shift, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = F.col(name)
+        df = df.withColumn(name, F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), shift)))
+    return df.withColumn(name, F.shiftrightunsigned(name, 64 - 2 * k))
+
+
+def count_sequences(df: DataFrame, k: int, min_occ: int = 1, seq: str = "seq") -> DataFrame:
+    """Occurrence table of all windows of whole sequences, as ``count_kmers`` of
+    their ``kmer_rows``, without a shuffled row for each window.
+
+    Up to ``DENSE_MAX`` bases every task counts into one array. Longer keys travel
+    as runs of windows with one minimizer, which name the part where all equal
+    keys meet (a run of six windows is two numbers); they are opened there. Parts
+    hold about ``PART`` windows, so their counts fit in memory and do not spill.
+    """
+    if k > PACKED_MAX:
+        return count_kmers(kmer_rows(df, k, seq=seq), min_occ)
+    src = cut_long(df.select(seq), k, seq).select(seq)
+    if k <= DENSE_MAX:
+        t = src.mapInArrow(_dense_counts(k, seq), "kmer bigint, n bigint").groupBy("kmer").agg(saturate(F.sum("n")).alias("occ"))
+    else:
+        bases = df.agg(F.sum(F.length(seq).cast("bigint"))).first()[0] or 0
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-bases // PART))
+        runs = src.mapInArrow(_stretches(k, parts, seq), "part int, n int, copies int, hi bigint, lo bigint").repartition(parts, "part")
+        at = runs.select("part", "copies", "hi", "lo", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+        key = F.expr("shiftleft(hi, 62 - 2 * i) | shiftrightunsigned(lo, 2 * i)").bitwiseAND(F.lit((1 << 2 * k) - 1))
+        rows = _turned(at.select("part", "copies", key.alias("f")), "f", k, "r")
+        # equal keys have equal parts: no second exchange
+        t = rows.groupBy("part", F.least("f", "r").alias("kmer")).agg(saturate(F.sum("copies")).alias("occ")).select("kmer", "occ")
+    return t.where(F.col("occ") >= min_occ) if min_occ > 1 else t
+
+
+def count_among(df: DataFrame, wanted: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """Occurrence table of the ``wanted`` k-mers only. Up to ``TRAVEL`` of them go
+    to all tasks, and other windows are dropped where they are made."""
+    keys = materialize(wanted.select("kmer").distinct(), "wanted-kmers")
+    if keys.count() <= TRAVEL:
+        return count_kmers(kmer_rows(df, k, seq=seq).join(F.broadcast(keys), "kmer", "left_semi"))
+    return count_sequences(df, k, seq=seq).join(keys, "kmer", "left_semi")
+
+
+def dense_table(df: DataFrame, k: int, seq: str = "seq") -> np.ndarray:
+    """Occurrences of all k-mers of up to ``DENSE_MAX`` bases as one array by
+    canonical key: at most 32 MB, whatever the input."""
+    if k > DENSE_MAX:
+        raise ValueError(f"an array for {k} bases is too large")
+    t = count_sequences(df, k, seq=seq).select(F.col("kmer").cast("int"), "occ").toArrow()
+    out = np.zeros(4 ** k, np.uint16)
+    out[t["kmer"].to_numpy()] = t["occ"].to_numpy()
+    return out
+
+
+def looked_up(codes: np.ndarray, k: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value of every window in a ``dense_table``, and whether all its bases are known."""
+    value, known = [np.zeros(0, table.dtype)], [np.zeros(0, bool)]
+    for a in range(0, len(codes) - k + 1, SLICE):
+        fwd, rev, ok = _packed_windows(codes[a:a + SLICE + k - 1], k)
+        value.append(table[np.minimum(fwd, rev)])
+        known.append(ok)
+    return np.concatenate(value), np.concatenate(known)
+
+
 def occurrence_histogram(table: DataFrame) -> DataFrame:
     return table.groupBy("occ").agg(F.count(F.lit(1)).alias("n"))
 

@@ -151,10 +151,9 @@ _OCC = ", " + kmers_sql("reads", "rk", "read_id", 12) + f""",
     cov AS (SELECT read_id, pos, occ FROM rk JOIN tb ON tb.kmer = {canon_sql('rk.f')})"""
 
 
-def _cover(spark, d):
+def _reads_and_table(spark, d):
     reads = fx.reads(spark, d).withColumnRenamed("read_id", "contig_id")
-    t = km.count_kmers(km.kmer_rows(reads, 12))
-    return reads, km.position_coverage(reads, t, 12)
+    return reads, km.dense_table(reads, 12)
 
 
 @query("window_breaks", "W1 W10", sql(_OCC + """,
@@ -164,7 +163,8 @@ def _cover(spark, d):
     l AS (SELECT *, lead(m, 72) OVER (PARTITION BY read_id ORDER BY pos) AS m2, lead(sd, 72) OVER (PARTITION BY read_id ORDER BY pos) AS sd2 FROM s)
     SELECT read_id AS contig_id, pos FROM l WHERE m2 IS NOT NULL AND NOT (m * 2 >= m2 AND m2 * 2 >= m) AND abs(m - m2) > 2 * greatest(sd, sd2)""", "reads"))
 def window_breaks(spark, d):
-    return cv.window_breaks(_cover(spark, d)[1], 60, 12, 2.0)
+    reads, table = _reads_and_table(spark, d)
+    return cv.breaks_in_sequences(reads, table, 12, 60, 12, 2.0)
 
 
 @query("trim_points", "W1 L20", sql(_OCC + """,
@@ -173,7 +173,8 @@ def window_breaks(spark, d):
     SELECT read_id AS contig_id, min(pos) AS first, max(pos) + 12 AS last FROM cov JOIN md USING (read_id)
     WHERE occ * 2 >= med AND med * 2 >= occ GROUP BY 1""", "reads"))
 def trim_points(spark, d):
-    return cv.trim_points(_cover(spark, d)[1], 12, 2.0)
+    reads, table = _reads_and_table(spark, d)
+    return cv.trims_in_sequences(reads, table, 12, 2.0)
 
 
 _PIECES = """, cut AS (SELECT contig_id, 0 AS pos FROM contigs UNION SELECT contig_id, length(seq) FROM contigs
