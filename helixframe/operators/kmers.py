@@ -24,7 +24,7 @@ PIECE = 1 << 16      # longer sequences are cut into overlapping pieces first
 SLICE = 1 << 20      # bases handled at once inside a task
 DENSE_MAX = 12       # counts of all keys up to this length are one array (4 ** 12 numbers)
 WORD_STEPS = 10      # a minimizer is that many bases shorter than its key
-PART = 1 << 22       # windows counted in one part
+PART = 1 << 22       # windows counted in one task
 TRAVEL = 1 << 20     # keys that may be sent to all tasks
 
 
@@ -262,8 +262,8 @@ def count_sequences(df: DataFrame, k: int, min_occ: int = 1, seq: str = "seq") -
 
     Up to ``DENSE_MAX`` bases every task counts into one array. Longer keys travel
     as runs of windows with one minimizer, which name the part where all equal
-    keys meet (a run of six windows is two numbers); they are opened there. Parts
-    hold about ``PART`` windows, so their counts fit in memory and do not spill.
+    keys meet (a run of six windows is two numbers); they are opened there. A task
+    gets many small parts, about ``PART`` windows, so counts fit in memory.
     """
     if k > PACKED_MAX:
         return count_kmers(kmer_rows(df, k, seq=seq), min_occ)
@@ -273,7 +273,7 @@ def count_sequences(df: DataFrame, k: int, min_occ: int = 1, seq: str = "seq") -
     else:
         bases = df.agg(F.sum(F.length(seq).cast("bigint"))).first()[0] or 0
         parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-bases // PART))
-        runs = src.mapInArrow(_stretches(k, parts, seq), "part int, n int, copies int, hi bigint, lo bigint").repartition(parts, "part")
+        runs = src.mapInArrow(_stretches(k, 64 * parts, seq), "part int, n int, copies int, hi bigint, lo bigint").repartition(parts, "part")
         at = runs.select("part", "copies", "hi", "lo", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
         key = F.expr("shiftleft(hi, 62 - 2 * i) | shiftrightunsigned(lo, 2 * i)").bitwiseAND(F.lit((1 << 2 * k) - 1))
         rows = _turned(at.select("part", "copies", key.alias("f")), "f", k, "r")
@@ -322,20 +322,17 @@ def max_coverage_kmers(contigs: DataFrame, k: int, min_occ: int = 1, cov: str =
     return rows.groupBy("kmer").agg(saturate(F.greatest(F.max(cov), F.lit(min_occ))).alias("occ"))
 
 
-def add_new_counts(previous: DataFrame, rows: DataFrame) -> DataFrame:
-    """Counts of an earlier graph stay as they are; only unseen k-mers are counted.
+def add_new_counts(previous: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
+    """Counts of an earlier graph stay as they are; only unseen k-mers of the
+    sequences are counted.
 
     Counting goes first: the anti join then sees one row per distinct k-mer, so
     a k-mer repeated billions of times cannot overload a join task.
     """
-    fresh = count_kmers(rows).join(previous.select("kmer"), "kmer", "left_anti")
+    fresh = count_sequences(seqs, k).join(previous.select("kmer"), "kmer", "left_anti")
     return previous.select("kmer", "occ").unionByName(fresh)
 
 
-def _distinct_first(rows: DataFrame) -> DataFrame:
-    return rows.select("kmer").distinct()
-
-
 def flag_known(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Add ``known`` (boolean) to k-mer rows. The key set of the other side is
     unique; hot keys on the row side are split by salting (``skew``)."""
@@ -362,12 +359,13 @@ def trim_to_region(reads: DataFrame, region: DataFrame, key: str = "read_id") ->
 def reads_with(rows: DataFrame, keys: DataFrame, key: str = "read_id") -> DataFrame:
     """Ids of reads that contain at least one of the k-mers."""
     from .skew import join_unique
-    return join_unique(rows.select(key, "kmer").distinct(), keys.select("kmer").distinct(), ["kmer"]).select(key).distinct()
+    # the keys are unique, so a row meets one of them at most: only hits are made distinct
+    return join_unique(rows.select(key, "kmer"), keys.select("kmer").distinct(), ["kmer"]).select(key).distinct()
 
 
-def new_kmers(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Distinct k-mers of the rows that the known set lacks."""
-    return _distinct_first(rows).join(known.select("kmer"), "kmer", "left_anti")
+def new_kmers(seqs: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """Distinct k-mers of the sequences that the known set lacks."""
+    return count_sequences(seqs, k).select("kmer").join(known.select("kmer"), "kmer", "left_anti")
 
 
 def sorted_keys(table: DataFrame, min_occ: int) -> DataFrame:

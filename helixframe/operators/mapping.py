@@ -232,6 +232,7 @@ def read_on_unitig(reads: DataFrame, unitigs: DataFrame, k: int) -> DataFrame:
 def dead_end_bridges(reads: DataFrame, ends: DataFrame, k: int) -> DataFrame:
     """Reads that touch open ends of at least two unitigs. ``ends`` is
     (unitig, kmer) of ends whose outward side has no neighbour."""
-    hit = kmer_rows(reads, k, keep=["read_id"]).distinct().join(ends.select("kmer", "unitig").distinct(), "kmer")
+    # few windows touch an end: the others are dropped before anything is grouped
+    hit = kmer_rows(reads, k, keep=["read_id"]).join(ends.select("kmer", "unitig").distinct(), "kmer")
     per = hit.groupBy("read_id").agg(F.min("unitig").alias("a"), F.max("unitig").alias("b"))
     return per.where("a <> b").select("read_id")

@@ -48,16 +48,14 @@ def assemble(reads: DataFrame, ks: Sequence[int] | None = None, min_cov: int = 2
         ks = k_ladder(mean)
     segs, first_table = None, None
     for i, k in enumerate(ks):
-        rows = km.kmer_rows(reads, k)
         if segs is None:
-            table = materialize(km.count_kmers(rows, min_cov), "kmers")
+            table = materialize(km.count_sequences(reads, k, min_cov), "kmers")
             first_table = table
         else:
             seeds = dbg.export_kmers(segs, k)
             known = km.kmer_rows(segs.select("seq"), ks[i - 1]).select("kmer").distinct()
             spans = km.matched_region(km.kmer_rows(reads, ks[i - 1], keep=["read_id"], positions=True), known, ks[i - 1])
-            rows = km.kmer_rows(km.trim_to_region(reads, spans), k)
-            table = materialize(km.add_new_counts(seeds, rows).where(F.col("occ") >= max(min_cov // 2, 1)), "kmers")
+            table = materialize(km.add_new_counts(seeds, km.trim_to_region(reads, spans), k).where(F.col("occ") >= max(min_cov // 2, 1)), "kmers")
         segs = dbg.compact(dbg.as_segments(table, k), k)
         segs = dbg.cut_tips(segs, k, tip_ratio)
         segs = dbg.crush_bubbles(segs, k, bubble_rate)
@@ -78,7 +76,7 @@ def cov_trim(contigs: DataFrame, reads: DataFrame, k: int, ratio: float = 2.0, m
              window: int = 1000) -> DataFrame:
     """Contigs cut where k-mer coverage changes and trimmed to normal coverage:
     (contig_id, start, end, seq, cov)."""
-    table = km.count_kmers(km.kmer_rows(reads, k))
+    table = km.count_among(reads, km.kmer_rows(contigs, k), k)
     cover = materialize(km.position_coverage(contigs, table, k), "cover")
     width = max(window - k + 1, 2)
     points = cv.window_breaks(cover, width, k, ratio).select("contig_id", (F.col("pos") + width + k - 1).alias("pos"))

@@ -21,14 +21,14 @@ _CONTIG_KMERS = ", " + kmers_sql("contigs", "ck", "contig_id, cov, length(seq) A
     t AS (SELECT least(count(*), 65534) AS occ FROM rk GROUP BY {canon_sql('f')})
     SELECT cast(occ as int) AS occ, count(*) AS n FROM t GROUP BY 1""", "reads"))
 def kmer_histogram(spark, d):
-    return km.occurrence_histogram(km.count_kmers(km.kmer_rows(fx.reads(spark, d), K)))
+    return km.occurrence_histogram(km.count_sequences(fx.reads(spark, d), K))
 
 
 @query("kmer_histogram_unknown_bases", "P7 P8 A3", sql(", " + kmers_sql("reads_n", "rk", "read_id", SHORT) + f""",
     t AS (SELECT least(count(*), 65534) AS occ FROM rk GROUP BY {canon_sql('f')})
     SELECT cast(occ as int) AS occ, count(*) AS n FROM t GROUP BY 1""", "reads_n"))
 def kmer_histogram_unknown_bases(spark, d):
-    return km.occurrence_histogram(km.count_kmers(km.kmer_rows(fx.reads_n(spark, d), SHORT)))
+    return km.occurrence_histogram(km.count_sequences(fx.reads_n(spark, d), SHORT))
 
 
 @query("kmer_histogram_wide_key", "P7 P8 A1 S20", sql(", " + kmers_sql("contigs", "rk", "contig_id", 41) + f""",
@@ -41,7 +41,7 @@ def kmer_histogram_wide_key(spark, d):
 @query("kmer_occurrence_table", "A1 P9 A18 T3 S21", sql(_READ_KMERS + f""" SELECT {canon_sql('f')} AS kmer,
     cast(least(count(*), 65534) as int) AS occ FROM rk GROUP BY 1 HAVING count(*) >= 4""", "reads"))
 def kmer_occurrence_table(spark, d):
-    t = km.count_kmers(km.kmer_rows(fx.reads(spark, d), K), min_occ=4)
+    t = km.count_sequences(fx.reads(spark, d), K, min_occ=4)
     return t.select(unpack("kmer", K).alias("kmer"), "occ")
 
 
@@ -59,7 +59,7 @@ def contig_kmer_max_coverage(spark, d):
     SELECT cast(least(occ, 65534) as int) AS occ, count(*) AS n FROM alltab GROUP BY 1""", "reads", "contigs"))
 def kmer_incremental_count(spark, d):
     prev = km.max_coverage_kmers(fx.contigs(spark, d), K)
-    return km.occurrence_histogram(km.add_new_counts(prev, km.kmer_rows(fx.reads(spark, d), K)))
+    return km.occurrence_histogram(km.add_new_counts(prev, fx.reads(spark, d), K))
 
 
 @query("kmer_new_per_length", "J33", sql(_READ_KMERS + _CONTIG_KMERS + f"""
@@ -69,8 +69,9 @@ def kmer_incremental_count(spark, d):
     GROUP BY 1""", "reads", "contigs"))
 def kmer_new_per_length(spark, d):
     known = km.kmer_rows(fx.contigs(spark, d), K).distinct()
-    new = km.new_kmers(km.kmer_rows(fx.reads(spark, d), K), known)
-    return new.groupBy(F.substring(unpack("kmer", K), 1, 4).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    new = km.new_kmers(fx.reads(spark, d), known, K)
+    per = new.groupBy(F.shiftright("kmer", 2 * (K - 4)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return per.select(unpack("prefix", 4).alias("prefix"), "n")
 
 
 @query("read_matched_region", "J29 J31", sql(_READ_KMERS + _CONTIG_KMERS + f""" SELECT read_id,
@@ -106,8 +107,9 @@ def read_with_end_kmer(spark, d):
     SELECT contig_id, cast(least(floor(sum(greatest(coalesce(occ, 0), 1)) / count(*) + 0.5), 65534) as bigint) AS cov
     FROM ck LEFT JOIN t ON t.kmer = {canon_sql('ck.f')} GROUP BY 1""", "reads", "contigs"))
 def contig_coverage(spark, d):
-    t = km.count_kmers(km.kmer_rows(fx.reads(spark, d), K))
-    return km.contig_coverage(fx.contigs(spark, d), t, K)
+    contigs = fx.contigs(spark, d)
+    t = km.count_among(fx.reads(spark, d), km.kmer_rows(contigs, K), K)
+    return km.contig_coverage(contigs, t, K)
 
 
 @query("contig_half_coverage_ratio", "W19", sql(_READ_KMERS + _CONTIG_KMERS + f""",
@@ -119,7 +121,7 @@ def contig_coverage(spark, d):
     SELECT contig_id, round(greatest(a, b) / least(a, b), 6) AS ratio FROM h WHERE a IS NOT NULL AND b IS NOT NULL""", "reads", "contigs"))
 def contig_half_coverage_ratio(spark, d):
     contigs = fx.contigs(spark, d)
-    t = km.count_kmers(km.kmer_rows(fx.reads(spark, d), K))
+    t = km.count_among(fx.reads(spark, d), km.kmer_rows(contigs, K), K)
     cover = km.position_coverage(contigs, t, K)
     r = km.half_coverage_ratio(cover, contigs.select("contig_id", F.length("seq").alias("len")), K)
     return r.select("contig_id", F.round("ratio", 6).alias("ratio"))
@@ -133,6 +135,7 @@ def contig_half_coverage_ratio(spark, d):
     SELECT contig_id, cast(occ as int) AS med FROM p WHERE rn = n // 2 + 1""", "reads", "contigs"))
 def contig_kmer_median(spark, d):
     from ..operators.stats import median_by
-    t = km.count_kmers(km.kmer_rows(fx.reads(spark, d), K))
-    cover = km.position_coverage(fx.contigs(spark, d), t, K)
+    contigs = fx.contigs(spark, d)
+    t = km.count_among(fx.reads(spark, d), km.kmer_rows(contigs, K), K)
+    cover = km.position_coverage(contigs, t, K)
     return median_by(cover, ["contig_id"], "occ", "med")

@@ -65,3 +65,43 @@ def test_breaks_and_ends_without_a_row_for_each_window(spark, monkeypatch, capsy
     assert sorted(map(tuple, ends.collect())) == trims
     for x in (got, ends):
         assert "hashpartitioning" not in plan_of(x, capsys)
+
+
+@pytest.mark.parametrize("k", [9, 13, 25, 31, 33])
+@pytest.mark.parametrize("piece", [700, 1 << 20])
+def test_counts_of_whole_sequences(spark, monkeypatch, capsys, k, piece):
+    monkeypatch.setattr(km, "SLICE", piece)
+    monkeypatch.setattr(km, "PART", 3000)
+    texts, df = sequences(spark)
+    want = counted(texts, k)
+    unpacked = lambda t: dict(map(tuple, t.select(b.unpack("kmer", k) if k < 32 else "kmer", "occ").collect()))
+    t = km.count_sequences(df, k)
+    assert unpacked(t) == want
+    assert unpacked(km.count_sequences(df, k, min_occ=3)) == {w: n for w, n in want.items() if n >= 3}
+    keys = km.kmer_rows(df.where("contig_id > 28"), k)
+    asked = {w: want[w] for w in counted(texts[29:], k)}
+    for travel in (1 << 20, 10):
+        monkeypatch.setattr(km, "TRAVEL", travel)
+        assert unpacked(km.count_among(df, keys, k)) == asked
+    if 12 < k < 32:
+        # runs of windows are exchanged once, and their keys not again
+        assert plan_of(t, capsys).count("hashpartitioning") == 1
+
+
+def test_a_common_word_and_copies_are_few_runs(spark):
+    texts = ["A" * 20000, *["ACGTTGCATGCCATTGACCATGATACCATGA" * 30] * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "seq string").coalesce(1)
+    runs = df.mapInArrow(km._stretches(25, 4, "seq"), "part int, n int, copies int, hi bigint, lo bigint")
+    windows = sum(len(t) - 24 for t in texts)
+    assert runs.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] == windows and runs.count() < 200
+
+
+def test_reads_with_a_key_are_found_before_they_are_grouped(spark, capsys):
+    texts, df = sequences(spark)
+    reads = df.withColumnRenamed("contig_id", "read_id")
+    keys = km.kmer_rows(df.where("contig_id = 30"), 15).limit(5)
+    held = {r[0] for r in keys.select(b.unpack("kmer", 15)).collect()}
+    got = km.reads_with(km.kmer_rows(reads, 15, keep=["read_id"]), F.broadcast(keys.localCheckpoint()))
+    want = [i for i, t in enumerate(texts) if held & set(counted([t], 15))]
+    assert sorted(r[0] for r in got.collect()) == want
+    assert "hashpartitioning(read_id#" in plan_of(got, capsys) and ", kmer#" not in "".join(x for x in plan_of(got, capsys).splitlines() if "hashpartitioning" in x)
