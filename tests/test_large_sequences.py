@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import bases as b
-from helixframe.operators import coverage as cv, kmers as km
+from helixframe.operators import composition as cp, coverage as cv, kmers as km
 
 
 def rc(s):
@@ -105,3 +105,33 @@ def test_reads_with_a_key_are_found_before_they_are_grouped(spark, capsys):
     want = [i for i, t in enumerate(texts) if held & set(counted([t], 15))]
     assert sorted(r[0] for r in got.collect()) == want
     assert "hashpartitioning(read_id#" in plan_of(got, capsys) and ", kmer#" not in "".join(x for x in plan_of(got, capsys).splitlines() if "hashpartitioning" in x)
+
+
+@pytest.mark.parametrize("tile", [7, 512])
+def test_distances_of_tiles(spark, capsys, tile):
+    r = random.Random(4)
+    vectors = [(i * 3, [r.uniform(-1, 1) for _ in range(9)]) for i in range(60)]
+    vectors += [(7, None), (8, [0.5] * 4), (10, [0.25] * 4), (11, [0.5, None, 1.0, 2.0]), (13, []), (14, vectors[3][1])]
+    df = spark.createDataFrame(vectors, "id long, vec array<float>")
+    known = {i: v for i, v in df.collect()}
+
+    def distance(v, w):
+        if v is None or w is None or len(v) != len(w) or None in v or None in w:
+            return None
+        s = 0.0
+        for x, y in zip(v, w):
+            s += (x - y) * (x - y)
+        return math.sqrt(s)
+
+    want = {(a, b): distance(known[a], known[b]) for a in known for b in known if a < b}
+    m = cp.distance_matrix(df, "vec", tile=tile)
+    got = m.collect()
+    assert {(a, b): d for a, b, d in got} == want and len(got) == len(want)
+    if tile == 7:
+        # the tiles keep tasks of their own, however small they are
+        assert m.rdd.getNumPartitions() > 8
+
+
+def test_distances_of_named_sequences(spark):
+    df = spark.createDataFrame([("b", [0.0, 3.0]), ("a", [4.0, 0.0]), ("c", [0.0, 0.0])], "id string, vec array<double>")
+    assert sorted(map(tuple, cp.distance_matrix(df, "vec").collect())) == [("a", "b", 5.0), ("a", "c", 4.0), ("b", "c", 3.0)]
