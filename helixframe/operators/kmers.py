@@ -26,6 +26,7 @@ DENSE_MAX = 12       # counts of all keys up to this length are one array (4 **
 WORD_STEPS = 10      # a minimizer is that many bases shorter than its key
 PART = 1 << 22       # windows counted in one task
 TRAVEL = 1 << 20     # keys that may be sent to all tasks
+FILTER_BITS = 28     # a filter of keys is that many binary digits of address: 32 MB
 
 
 def cut_long(df: DataFrame, k: int, seq: str = "seq", piece: int = PIECE) -> DataFrame:
@@ -291,6 +292,47 @@ def count_among(df: DataFrame, wanted: DataFrame, k: int, seq: str = "seq") -> D
     return count_sequences(df, k, seq=seq).join(keys, "kmer", "left_semi")
 
 
+def _marks(x: np.ndarray, bits: int) -> np.ndarray:
+    return (_mixed(x) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def rows_among(df: DataFrame, wanted: DataFrame, k: int, keep: Sequence[str] = (), seq: str = "seq") -> DataFrame:
+    """Windows whose canonical key is among ``wanted`` (packed keys): ``keep``,
+    ``pos``, ``kmer`` and ``s``, the strand that gave the key.
+
+    Tasks know the keys by a bit array of fixed size, whatever their number, put
+    together by Spark; other windows are dropped where they are made and the few
+    that share a bit with a key go in an exact join."""
+    size = FILTER_BITS
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _marks(batch.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
+
+    keys = wanted.select("kmer").distinct()
+    words = keys.mapInArrow(marked, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).select(F.col("word").cast("int"), "bits").toArrow()
+    table = np.zeros(1 << size - 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(table)
+    src = cut_long(df.select(*keep, seq), k, seq)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for rows in _emit(k, "both", True, seq, list(keep), None)(batches):
+            f, r = (rows.column(rows.schema.get_field_index(c)).to_numpy() for c in ("kmer", "rkmer"))
+            key = np.minimum(f, r)
+            at = _marks(key, size)
+            hit = np.flatnonzero(bits[at >> 6] >> (at & 63) & 1)
+            if len(hit):
+                some = rows.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-2], pa.array(key[hit]), pa.array(np.where(f[hit] <= r[hit], 1, -1).astype(np.int32))],
+                                                 names=[*keep, "pos", "kmer", "s"])
+
+    fields = [*[src.schema[x] for x in keep], T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.LongType()), T.StructField("s", T.IntegerType())]
+    return src.mapInArrow(run, T.StructType(fields)).join(keys, "kmer", "left_semi")
+
+
 def dense_table(df: DataFrame, k: int, seq: str = "seq") -> np.ndarray:
     """Occurrences of all k-mers of up to ``DENSE_MAX`` bases as one array by
     canonical key: at most 32 MB, whatever the input."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bases import c, revcomp
 from ..session import materialize
-from .kmers import kmer_rows
+from .kmers import kmer_rows, rows_among
 
 # fixed values: masks that give candidate words their different orders
 ANCHOR_MASKS = (0x15A3C96E2F4B87D1, 0x2C7E91B5D3A8640F, 0x39D4076AEB512C8E, 0x064FB83C7192DEA5)
@@ -145,8 +145,8 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
         first = base.groupBy("_d").agg(F.min("id").alias("f"))
         copies = base.join(first, "_d").where("id > f").select("id")
         kept = base.join(copies, "id", "left_anti")
-    rows = kmer_rows(kept, prefix, keep=["id"], mode="both", positions=True)
-    rows = rows.select("id", "pos", F.least("kmer", "rkmer").alias("kmer"), F.when(F.col("kmer") <= F.col("rkmer"), 1).otherwise(-1).alias("s"))
+    kept = materialize(kept.select("id", "seq", "cl", "len"), "kept-texts")
+    rows = kmer_rows(kept, prefix, keep=["id"])
     # a few candidate words a text, the smallest under different masks; masks
     # only permute letters, so the word comes back by the same mask
     width = (1 << (2 * prefix)) - 1
@@ -154,8 +154,8 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
     few = rows.groupBy("id").agg(*[F.min(F.col("kmer").bitwiseXOR(m)).alias(f"m{i}") for i, m in enumerate(masks)])
     own = few.select("id", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}").bitwiseXOR(m) for i, m in enumerate(masks)]))).alias("kmer"))
     own = materialize(own, "anchor-words")
-    near = rows.join(own.select("kmer").distinct(), "kmer").join(kept.select("id", "len", "cl"), "id")
-    near = materialize(near, "anchor-places")
+    # windows of other words are dropped where they are made
+    near = materialize(rows_among(kept, own, prefix, keep=["id", "len", "cl"]), "anchor-places")
     seen = near.groupBy("kmer").agg(F.count(F.lit(1)).alias("seen"))
     # the rarest candidate is the anchor: common words never open groups
     best = own.join(seen, "kmer").groupBy("id").agg(F.min(F.struct("seen", "kmer")).alias("a")).where("a.seen > 1").select(
@@ -179,9 +179,10 @@ def contained(seqs: DataFrame, prefix: int, key: str = "id", cluster: str | None
     hit = hit.select("id", "strand", "pos", "in_id", "in_len")
     texts = kept.select("id", F.col("seq").alias("outer"))
     inner = kept.select(F.col("id").alias("in_id"), F.col("seq").alias("inner"))
-    full = hit.join(texts, "id").join(inner, "in_id")
+    # only the piece of the outer text meets the inner one
     outer = F.when(F.col("strand") > 0, F.col("outer")).otherwise(revcomp("outer"))
-    inside = full.where(F.substring(outer, F.col("pos") + 1, F.col("in_len")) == F.col("inner")).select(F.col("in_id").alias("id"))
+    piece = hit.join(texts, "id").select("in_id", F.substring(outer, F.col("pos") + 1, F.col("in_len")).alias("piece"))
+    inside = piece.join(inner, "in_id").where(F.col("piece") == F.col("inner")).select(F.col("in_id").alias("id"))
     return copies.unionByName(inside).distinct().withColumnRenamed("id", key)
 
 

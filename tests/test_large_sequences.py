@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import bases as b
-from helixframe.operators import composition as cp, coverage as cv, kmers as km
+from helixframe.operators import composition as cp, coverage as cv, kmers as km, overlap as ov
 
 
 def rc(s):
@@ -25,7 +25,7 @@ def sequences(spark, seed=3):
     r = random.Random(seed)
     base = "".join(r.choices("ACGT", k=2000))
     texts = ["".join(r.choices("ACGT", weights=(9, 3, 2, 2), k=r.randrange(0, 900))) for _ in range(30)]
-    texts += [base, base, rc(base), "A" * 3000, "", "ACGTN" * 40, base[:700] + "N" + base[700:], "AC" * 400]
+    texts += [base, base, rc(base), "A" * 3000, "", "ACGTN" * 40, base[:700] + "N" + base[700:], "AC" * 400, "".join(r.choices("ACGT", k=70000))]
     texts += [base[:200]] * 30 + ["".join(r.choices("ACGT", k=150)) + base[:200] + "".join(r.choices("ACGT", k=150)) for _ in range(4)]
     return texts, spark.createDataFrame(list(enumerate(texts)), "contig_id long, seq string").repartition(3)
 
@@ -37,9 +37,7 @@ def counted(texts, k):
     return n
 
 
-@pytest.mark.parametrize("piece", [500, 1 << 20])
-def test_breaks_and_ends_without_a_row_for_each_window(spark, monkeypatch, capsys, piece):
-    monkeypatch.setattr(km, "SLICE", piece)
+def test_breaks_and_ends_without_a_row_for_each_window(spark, capsys):
     texts, df = sequences(spark)
     k, width, step = 10, 20, 6
     table = counted(texts, k)
@@ -68,9 +66,7 @@ def test_breaks_and_ends_without_a_row_for_each_window(spark, monkeypatch, capsy
 
 
 @pytest.mark.parametrize("k", [9, 13, 25, 31, 33])
-@pytest.mark.parametrize("piece", [700, 1 << 20])
-def test_counts_of_whole_sequences(spark, monkeypatch, capsys, k, piece):
-    monkeypatch.setattr(km, "SLICE", piece)
+def test_counts_of_whole_sequences(spark, monkeypatch, capsys, k):
     monkeypatch.setattr(km, "PART", 3000)
     texts, df = sequences(spark)
     want = counted(texts, k)
@@ -135,3 +131,30 @@ def test_distances_of_tiles(spark, capsys, tile):
 def test_distances_of_named_sequences(spark):
     df = spark.createDataFrame([("b", [0.0, 3.0]), ("a", [4.0, 0.0]), ("c", [0.0, 0.0])], "id string, vec array<double>")
     assert sorted(map(tuple, cp.distance_matrix(df, "vec").collect())) == [("a", "b", 5.0), ("a", "c", 4.0), ("b", "c", 3.0)]
+
+
+def test_windows_of_wanted_keys_only_are_shuffled(spark, monkeypatch, capsys):
+    texts, df = sequences(spark)
+    keys = km.kmer_rows(df.where("contig_id in (3, 30)"), 15)
+    held = {r[0] for r in keys.select(b.unpack("kmer", 15)).collect()}
+    want = sorted((c, i, min(w, rc(w)), 1 if w <= rc(w) else -1) for c, t in enumerate(texts) for i, w in ((i, t[i:i + 15]) for i in range(len(t) - 14)) if min(w, rc(w)) in held)
+    for bits in (28, 8):
+        # few bits let other windows through to the exact join, and no more
+        monkeypatch.setattr(km, "FILTER_BITS", bits)
+        got = km.rows_among(df, keys, 15, keep=["contig_id"])
+        assert sorted(map(tuple, got.select("contig_id", "pos", b.unpack("kmer", 15), "s").collect())) == want
+
+
+def test_contained_texts_of_all_lengths(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ov, "rows_among", lambda df, wanted, *a, **k: made.append(wanted.count()) or km.rows_among(df, wanted, *a, **k))
+    r = random.Random(6)
+    base = ["".join(r.choices("ACGT", k=600)) for _ in range(20)]
+    texts = [*base]
+    for t in base:
+        a, n = r.randrange(0, 300), r.randrange(25, 300)
+        texts += [t[a:a + n], rc(t[a:a + n]), t[a:a + n][:-1] + ("A" if t[a + n - 1] != "A" else "C")]
+    texts += [base[0], rc(base[1])]
+    got = {x[0] for x in ov.contained(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), 15).collect()}
+    want = {i for i, t in enumerate(texts) if any((len(u) > len(t) and (t in u or t in rc(u))) or (j < i and u in (t, rc(t))) for j, u in enumerate(texts))}
+    assert got == want and len(made) == 1
