@@ -12,7 +12,9 @@ coordinate bins they share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import discard, is_empty, materialize
 
@@ -107,24 +109,46 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
 
 
+def _best_rivals(tolerance: int):
+    """The best rival of each class of one bin. Rivals come in blocks from the
+    largest value down, and a class that has met one is done."""
+    reach = max(tolerance, 0)
+
+    def run(group: pa.Table) -> pa.Table:
+        gap, size, n, v = (group[c].to_numpy() for c in ("gap", "dlen", "n", "v"))
+        end = gap + size
+        rank = np.argsort(v, kind="stable")[::-1]
+        best, left = np.full(len(v), -1), np.arange(len(v))
+        for a in range(0, len(rank), 64):
+            r = rank[a:a + 64]
+            hit = (end[left][:, None] - gap[r] > reach) & (end[r] - gap[left][:, None] > reach)
+            hit &= (left[:, None] != r) | (n[left] > 1)[:, None]
+            met = hit.any(axis=1)
+            best[left[met]] = r[hit[met].argmax(axis=1)]
+            left = left[~met]
+            if not len(left):
+                break
+        found = np.flatnonzero(best >= 0)
+        out = {c: group[c].take(pa.array(found)) for c in ("src", "dir", "gap", "dlen")}
+        return pa.table(out | {"best": group["v"].take(pa.array(best[found]))})
+    return run
+
+
 def rival_best(half: DataFrame, nodes: DataFrame, tolerance: int, value: str, width: int = 2048) -> DataFrame:
     """For each node side and interval class: the largest ``value`` among the
     classes that collide with it (src, dir, gap, dlen, best).
 
     Two edges collide when their target intervals [gap, gap + len) overlap by
     more than the tolerance at both ends. Edges of a class collide with each
-    other when the target is longer than the tolerance.
+    other when the target is longer than the tolerance. Pairs of classes are
+    never rows: in each bin the classes meet their rivals from the best one down.
     """
     t = half.withColumn("node", F.abs("dst")).join(nodes.select("node", F.col("len").alias("dlen")), "node")
     cls = t.groupBy("src", "dir", "gap", "dlen").agg(F.max(value).alias("v"), F.count(F.lit(1)).alias("n"))
     b = cls.select("src", "dir", "gap", "dlen", "v", "n", _bins(F.col("gap"), F.col("gap") + F.greatest("dlen", F.lit(1)), width).alias("_b"))
-    x = b.select("src", "dir", "_b", F.col("gap").alias("g1"), F.col("dlen").alias("l1"), F.col("n").alias("n1"))
-    y = b.select("src", "dir", "_b", F.col("gap").alias("g2"), F.col("dlen").alias("l2"), F.col("v").alias("v2"))
-    e1, e2 = F.col("g1") + F.col("l1"), F.col("g2") + F.col("l2")
-    over = (e1 > F.col("g2")) & (e2 > F.col("g1")) & (F.abs(e1 - F.col("g2")) > tolerance) & (F.abs(e2 - F.col("g1")) > tolerance)
-    own = (F.col("g1") == F.col("g2")) & (F.col("l1") == F.col("l2"))
-    hit = x.join(y, ["src", "dir", "_b"]).where(over & (~own | (F.col("n1") > 1)))
-    return hit.groupBy("src", "dir", F.col("g1").alias("gap"), F.col("l1").alias("dlen")).agg(F.max("v2").alias("best"))
+    best = b.groupBy("src", "dir", "_b").applyInArrow(_best_rivals(tolerance), T.StructType([
+        *[T.StructField(c, cls.schema[c].dataType) for c in ("src", "dir", "gap", "dlen")], T.StructField("best", cls.schema["v"].dataType)]))
+    return best.groupBy("src", "dir", "gap", "dlen").agg(F.max("best").alias("best"))
 
 
 def colliding(half: DataFrame, nodes: DataFrame, tolerance: int, value: str = "n_link") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import bases as b
-from helixframe.operators import composition as cp, coverage as cv, kmers as km, overlap as ov
+from helixframe.operators import composition as cp, coverage as cv, edges as ed, kmers as km, overlap as ov
 
 
 def rc(s):
@@ -158,3 +158,24 @@ def test_contained_texts_of_all_lengths(spark, monkeypatch):
     got = {x[0] for x in ov.contained(spark.createDataFrame(list(enumerate(texts)), "id long, seq string"), 15).collect()}
     want = {i for i, t in enumerate(texts) if any((len(u) > len(t) and (t in u or t in rc(u))) or (j < i and u in (t, rc(t))) for j, u in enumerate(texts))}
     assert got == want and len(made) == 1
+
+
+@pytest.mark.parametrize("tolerance", [0, 20, 150])
+def test_best_rivals_without_rows_of_pairs(spark, capsys, tolerance):
+    r = random.Random(9)
+    edges = [(1, r.choice((1, -1)) * (2 + i), r.randrange(-50, 3000), r.randrange(3, 40)) for i in range(150)]
+    edges += [(1, 200 + i, 7, 5 + i % 2) for i in range(4)] + [(400, 401, 10, 9)]
+    nodes = [(i, r.choice((0, 10, 100, 700, 5000))) for i in range(1, 402)]
+    length = dict(nodes)
+    half = ed.half_edges(spark.createDataFrame(edges, "id1 long, id2 long, gap long, n_link long"))
+    best = ed.rival_best(half, spark.createDataFrame(nodes, "node long, len long"), tolerance, "n_link")
+    seen = [(h["src"], h["dir"], h["gap"], length[abs(h["dst"])], h["n_link"], i) for i, h in enumerate(half.collect())]
+    want = {}
+    for s, d, g, n, _, i in seen:
+        rivals = [w for s2, d2, g2, n2, w, j in seen if (s2, d2) == (s, d) and j != i and g + n - g2 > tolerance and g2 + n2 - g > tolerance]
+        if rivals:
+            want.setdefault((s, d, g, n), []).append(max(rivals))
+    got = {tuple(x)[:4]: x["best"] for x in best.collect()}
+    # a class of several edges also meets its own best
+    assert got == {k: max(v) for k, v in want.items()} and got
+    assert "Join" not in plan_of(best, capsys).split("FlatMapGroupsInArrow")[0]
