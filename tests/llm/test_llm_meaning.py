@@ -10,7 +10,7 @@ import pyarrow as pa
 from llm_cases import DOC, documents, prose, words
 
 from helixframe.llm import chat, license, pii, toxic
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 
 def test_quotation_links(spark):
@@ -305,3 +305,26 @@ def test_redaction_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "to a@b.co now", 1, 2, 3, 4, 5)], "doc_id long, text string, _text int, _heads int, _end int, _doc int, id int")
     out = pii.redact(docs)
     assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "to [EMAIL] now", 1, 2, 3, 4, 5)]
+
+
+def test_toxicity_learns_from_every_labelled_document(spark):
+    """A word that only stands in toxic documents late in the order of hashes."""
+    ids = spark.range(4400).select("id", F.row_number().over(Window.partitionBy(F.col("id") % 2).orderBy(F.xxhash64("id"))).alias("r"))
+    late = F.when(F.col("r") > 1500, "zorkmid").otherwise("grumblor")
+    text = F.concat_ws(" ", F.lit("it was a"), F.concat(F.lit("w"), F.col("id") % 97), F.when(F.col("id") % 2 == 1, late).otherwise("plain"), F.concat(F.lit("x"), F.col("id") % 89))
+    docs = ids.select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    labels = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    model = toxic.fit(docs, labels)
+    new = spark.createDataFrame([(1, "it was a zorkmid x3", "en"), (2, "it was a plain x3", "en"), (3, "it was a grumblor x3", "en")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.toxicity.score for r in toxic.score(new, model, ["doc_id"]).collect()}
+    assert got[1] >= 0.5 and got[3] >= 0.5 and got[2] < 0.5
+
+
+def test_toxicity_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxic, "SHARD_WORDS", 5000)
+    docs, labels = toxic_case(spark)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    got = [{r.doc_id: r.toxicity.score for r in toxic.score(docs, toxic.fit(d, labels.where(~held)), ["doc_id"]).collect()} for d in (docs, docs.repartition(5))]
+    out = {r.doc_id for r in docs.where(held & (F.col("doc_id") < 500)).collect()}
+    assert np.mean([(got[0][i] >= 0.5) == (i % 4 == 0) for i in out]) >= 0.95
+    assert got[0] == got[1]
