@@ -11,9 +11,10 @@ stays, and the arms become one layout.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 
@@ -41,34 +42,43 @@ def common_parts(i: list[int], j: list[int]) -> list[tuple[int, int]]:
 
 
 def arms(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Parts of both arms, the second one turned when its sign says so:
-    node, opposite, arm (1, 2), idx, contig, len, cov."""
-    own = parts.select("node", "idx", "contig", "len", "cov")
-    last = own.groupBy("node").agg(F.max("idx").alias("last"))
-    one = pairs.select("node", "opposite").join(own, "node").withColumn("arm", F.lit(1))
-    two = pairs.select("node", "opposite").withColumn("_o", F.abs("opposite")).join(
-        own.join(last, "node").withColumnRenamed("node", "_o"), "_o")
-    turned = F.col("opposite") < 0
-    two = two.withColumn("idx", F.when(turned, F.col("last") - F.col("idx")).otherwise(F.col("idx"))).withColumn(
-        "contig", F.when(turned, -F.col("contig")).otherwise(F.col("contig"))).withColumn("arm", F.lit(2))
-    columns = ["node", "opposite", "arm", "idx", "contig", "len", "cov"]
-    return one.select(*columns).unionByName(two.select(*columns))
-
-
-def _chained(matches: DataFrame) -> DataFrame:
-    """node, opposite, i, j of the shared parts."""
-    def chain(batches):
-        for batch in batches:
-            out = {"node": [], "opposite": [], "i": [], "j": []}
-            for node, opposite, i, j in zip(*(c.to_pylist() for c in batch.columns)):
-                for a, b in common_parts(i, j):
-                    for c, v in zip(out.values(), (node, opposite, a, b)):
-                        c.append(v)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
-
-    lists = matches.groupBy("node", "opposite").agg(F.collect_list(F.struct("i", "j")).alias("m"))
-    flat = lists.select(F.col("node").cast("long").alias("node"), F.col("opposite").cast("long").alias("opposite"), F.col("m.i").alias("i"), F.col("m.j").alias("j"))
-    return flat.mapInArrow(chain, "node long, opposite long, i long, j long")
+    """One row for each pair with the parts of both arms in order, the second one
+    turned when its sign says so: node, opposite, one, two (arrays of idx, contig,
+    len, cov). Parts are collected to arms before they travel to their pair."""
+    own = parts.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("idx", "contig", "len", "cov"))).alias("one"))
+    other = F.abs("opposite").alias("_o")
+    two = pairs.select("node", "opposite", other).join(own.select(F.col("node").alias("_o"), F.col("one").alias("two")), "_o").drop("_o")
+    # an arm turned round counts from its last part
+    turned = lambda x: F.struct((F.element_at("two", -1)["idx"] - x["idx"]).alias("idx"), (-x["contig"]).alias("contig"), x["len"].alias("len"), x["cov"].alias("cov"))
+    two = two.withColumn("two", F.when(F.col("opposite") < 0, F.transform(F.reverse("two"), turned)).otherwise(F.col("two")))
+    return own.join(two, "node").select("node", "opposite", "one", "two")
+
+
+def matches(one: list[int], two: list[int]) -> tuple[list[int], list[int]]:
+    """Places (i, j) where the arms have the same signed contig."""
+    places: dict[int, list[int]] = {}
+    for j, c in enumerate(two):
+        if c is not None:
+            places.setdefault(c, []).append(j)
+    found = [(i, j) for i, c in enumerate(one) for j in places.get(c, ())]
+    return [i for i, _ in found], [j for _, j in found]
+
+
+def _chained(one: Column, two: Column) -> Column:
+    """The shared parts as places (i, j) in both arms."""
+    def lists(column: pa.Array) -> Iterator[list[int]]:
+        values, cuts = column.values.to_pylist() if column.values.null_count else column.values.to_numpy().tolist(), column.offsets.to_numpy().tolist()
+        return (values[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def chain(one: pa.Array, two: pa.Array) -> pa.Array:
+        found, cuts = [], [0]
+        for a, b in zip(lists(one), lists(two)):
+            found += common_parts(*matches(a, b))
+            cuts.append(len(found))
+        places = pa.StructArray.from_arrays([pa.array([p[k] for p in found], pa.int32()) for k in (0, 1)], ["i", "j"])
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), places)
+
+    return F.arrow_udf(chain, "array<struct<i:int,j:int>>")(one, two)
 
 
 def merge_arms(pairs: DataFrame, parts: DataFrame, homo_max: float, hetero_max: float) -> tuple[DataFrame, DataFrame]:
@@ -83,38 +93,35 @@ def merge_arms(pairs: DataFrame, parts: DataFrame, homo_max: float, hetero_max:
 
     Result: layouts (node, opposite, idx, contig, len, cov, arm: 0 for shared parts,
     node_cov: length-weighted coverage of the merged layout) and crushed (node,
-    opposite, stretch, idx, contig, len, cov, arm). Other pairs are left as they are."""
-    both = materialize(arms(pairs, parts), "arms")
-    side = lambda arm, name: both.where(F.col("arm") == arm).select("node", "opposite", "contig", F.col("idx").cast("long").alias(name))
-    shared = materialize(_chained(side(1, "i").join(side(2, "j"), ["node", "opposite", "contig"])), "shared-parts")
-    at = F.explode(F.array(F.struct(F.lit(1).alias("arm"), F.col("i").alias("idx")), F.struct(F.lit(2).alias("arm"), F.col("j").alias("idx"))))
-    marks = shared.select("node", "opposite", at.alias("m")).select("node", "opposite", "m.arm", "m.idx", F.lit(1).alias("common"))
-    arm = Window.partitionBy("node", "opposite", "arm").orderBy("idx")
-    t = both.join(marks, ["node", "opposite", "arm", "idx"], "left").na.fill(0, ["common"]).withColumn("stretch", F.sum("common").over(arm))
-    t = materialize(t, "stretches")
-    # one row for each stretch: the shared part before it, and both alternatives
-    mean = lambda a: F.sum(F.when((F.col("arm") == a) & (F.col("common") == 0), F.col("len") * F.col("cov"))) / F.sum(F.when((F.col("arm") == a) & (F.col("common") == 0), F.col("len")))
-    size = lambda a: F.count_if((F.col("arm") == a) & (F.col("common") == 0))
-    anchor = lambda c: F.max(F.when((F.col("arm") == 1) & (F.col("common") == 1), F.col(c)))
-    s = t.groupBy("node", "opposite", "stretch").agg(size(1).alias("n1"), size(2).alias("n2"), mean(1).alias("c1"), mean(2).alias("c2"),
-                                                     anchor("cov").alias("left_cov"), anchor("contig").alias("anchor"))
-    pair = Window.partitionBy("node", "opposite").orderBy("stretch")
-    s = s.withColumn("right_cov", F.lead("left_cov").over(pair)).withColumn("ends", F.max("stretch").over(Window.partitionBy("node", "opposite")))
-    outside = (F.col("stretch") == 0) | (F.col("stretch") == F.col("ends"))
-    forked = ~outside & (F.col("n1") > 0) & (F.col("n2") > 0)
-    fine = (F.col("left_cov") < homo_max) & (F.col("right_cov") < homo_max) & (F.col("c1") <= hetero_max) & (F.col("c2") <= hetero_max)
-    first = F.max(F.when(F.col("stretch") == 1, F.abs("anchor")))
-    last = F.max(F.when(F.col("stretch") == F.col("ends"), F.abs("anchor")))
-    good = s.groupBy("node", "opposite").agg(F.count_if(forked).alias("forks"), F.count_if(forked & ~fine).alias("bad"), F.sum(F.when(outside, F.col("n1") + F.col("n2")).otherwise(0)).alias("over"),
-                                             (first != last).alias("apart")).where("forks > 0 and bad = 0 and over = 0 and apart").select("node", "opposite")
-    lower = F.when(F.col("c1") < F.col("c2"), 1).otherwise(2)
-    crush = s.where(forked).select("node", "opposite", "stretch", lower.alias("lower"))
-    t = t.join(good, ["node", "opposite"], "left_semi").join(crush, ["node", "opposite", "stretch"], "left")
-    gone = (F.col("common") == 0) & F.coalesce(F.col("lower") == F.col("arm"), F.lit(False))
-    layout = t.where(~gone & ~((F.col("common") == 1) & (F.col("arm") == 2)))
+    opposite, stretch, idx, contig, len, cov, arm). Other pairs are left as they are.
+
+    A pair is one row from the aggregation that builds its arms on: only pairs that
+    merge are written, as the stretches between their shared parts."""
+    ends = lambda k: F.element_at("one", k)["contig"] == F.element_at("two", k)["contig"]
+    t = arms(pairs, parts).where(ends(1) & ends(-1) & (F.abs(F.element_at("one", 1)["contig"]) != F.abs(F.element_at("one", -1)["contig"]))
+                                 & ((F.col("one.contig") != F.col("two.contig")) | F.exists("one.contig", F.isnull)))
+    t = t.withColumn("m", _chained(F.col("one.contig"), F.col("two.contig"))).where(F.size("m") > 1)
+    at = lambda k: F.element_at("m", k)
+    t = t.where((at(1)["i"] == 0) & (at(1)["j"] == 0) & (at(-1)["i"] == F.size("one") - 1) & (at(-1)["j"] == F.size("two") - 1))
+    # the k-th stretch: the shared part before it and what each arm has up to the next one
+    between = lambda arm, c, k: F.slice(arm, F.col("m")[k - 1][c] + 2, F.col("m")[k][c] - F.col("m")[k - 1][c] - 1)
+    stretch = lambda k: F.struct(k.alias("stretch"), F.col("one")[F.col("m")[k - 1]["i"]].alias("left"), F.col("one")[F.col("m")[k]["i"]].alias("right"),
+                                 between("one", "i", k).alias("p1"), between("two", "j", k).alias("p2"))
+    total = lambda x, f: F.aggregate(F.filter(x, lambda p: f(p).isNotNull()), F.lit(None).cast("double"), lambda a, p: F.coalesce(a, F.lit(0.0)) + f(p))
+    mean = lambda x: total(x, lambda p: p["len"] * p["cov"]) / total(x, lambda p: p["len"])
+    t = t.select("node", "opposite", F.element_at("one", -1).alias("last"), F.transform(F.sequence(F.lit(1), F.size("m") - 1), stretch).alias("s"))
+    t = t.withColumn("s", F.transform("s", lambda x: x.withField("c1", mean(x["p1"])).withField("c2", mean(x["p2"])).withField("forked", (F.size(x["p1"]) > 0) & (F.size(x["p2"]) > 0))))
+    fine = lambda x: (x["left"]["cov"] < homo_max) & (x["right"]["cov"] < homo_max) & (x["c1"] <= hetero_max) & (x["c2"] <= hetero_max)
+    good = F.exists("s", lambda x: x["forked"]) & ~F.exists("s", lambda x: F.coalesce(x["forked"] & ~fine(x), F.lit(False)))
+    t = materialize(t.where(good), "merged-arms")
+    gone = lambda x: F.when(x["forked"], F.when(F.coalesce(x["c1"] < x["c2"], F.lit(False)), 1).otherwise(2)).otherwise(0)
+    as_arm = lambda parts, n: F.transform(parts, lambda p: F.struct(*[p[c].alias(c) for c in ("contig", "len", "cov")], F.lit(n).alias("arm")))
+    none = lambda x, n: F.when(gone(x) == n, F.slice(x[f"p{n}"], 1, 0)).otherwise(x[f"p{n}"])
     # a shared part comes before its stretch; a stretch of one arm has that arm's order
-    order = Window.partitionBy("node", "opposite").orderBy("stretch", F.desc("common"), "arm", "idx")
-    whole = Window.partitionBy("node", "opposite")
-    layout = layout.select("node", "opposite", (F.row_number().over(order) - 1).alias("new"), "contig", "len", "cov", F.when(F.col("common") == 1, 0).otherwise(F.col("arm")).alias("arm"),
-                           (F.sum(F.col("len") * F.col("cov")).over(whole) / F.sum("len").over(whole)).alias("node_cov")).withColumnRenamed("new", "idx")
-    return layout, t.where(gone).select("node", "opposite", "stretch", "idx", "contig", "len", "cov", "arm")
+    whole = F.flatten(F.transform("s", lambda x: F.concat(as_arm(F.array(x["left"]), 0), as_arm(none(x, 1), 1), as_arm(none(x, 2), 2))))
+    layout = t.select("node", "opposite", F.concat(whole, as_arm(F.array("last"), 0)).alias("p"))
+    layout = layout.select("node", "opposite", mean(F.col("p")).alias("node_cov"), F.posexplode("p").alias("idx", "p")).select("node", "opposite", "idx", "p.*", "node_cov")
+    x = F.col("x")
+    crushed = t.select("node", "opposite", F.explode("s").alias("x")).where("x.forked").select(
+        "node", "opposite", x["stretch"].cast("long").alias("stretch"), gone(x).alias("arm"), F.explode(F.when(gone(x) == 1, x["p1"]).otherwise(x["p2"])).alias("p"))
+    return layout, crushed.select("node", "opposite", "stretch", "p.*", "arm")

@@ -157,6 +157,33 @@ def test_merge_arms(spark):
     assert bubble_merge.merge_arms(pairs.limit(0), parts, 20, 20)[0].collect() == []
 
 
+def test_merge_arms_deals_parts_once(spark):
+    """Only arms travel and only pairs that merge are written: two exchanges of
+    arms and one of pairs, whatever the steps behind them."""
+    import glob
+    from helixframe import session
+    n = 400
+    parts = [(node, i, 100 * (node // 2) + (c if node % 2 else d), 10, v) for node in range(2, 2 * n + 2) for i, (c, d, v) in enumerate([(1, 1, 5), (2, 3, 5 + node % 2), (4, 4, 5 if node < 12 else 50)])]
+    pairs = [(node, node + 1) for node in range(2, 2 * n + 2, 2)]
+    before = set(glob.glob(f"{session.work_dir(spark)}/*/*.parquet"))
+    merged, crushed = bubble_merge.merge_arms(spark.createDataFrame(pairs, "node long, opposite long"), spark.createDataFrame(parts, "node long, idx int, contig long, len int, cov int"), 20, 20)
+    assert {r.node for r in merged.collect()} == {r.node for r in crushed.collect()} == {2, 4, 6, 8, 10}
+    assert sorted(r.contig for r in merged.where("node = 2").collect()) == [101, 102, 104]
+    made = set(glob.glob(f"{session.work_dir(spark)}/*/*.parquet")) - before
+    assert len({f.rsplit("/", 1)[0] for f in made}) == 1 and spark.read.parquet(*made).count() == 5
+    for t in (merged, crushed):
+        assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_arms_with_parts_that_repeat(spark):
+    layouts = {1: [(1, 5), (2, 5), (1, 5), (3, 9), (4, 5)], 2: [(1, 5), (2, 5), (5, 3), (4, 5)],        # a shared part comes twice in one arm
+               3: [(1, 5), (4, 5), (2, 3), (4, 5)], 4: [(1, 5), (4, 5), (3, 4)]}                          # no chain ends at both last parts
+    parts = spark.createDataFrame([(n, i, c, 10, v) for n, p in layouts.items() for i, (c, v) in enumerate(p)], "node long, idx int, contig long, len int, cov int")
+    merged, crushed = bubble_merge.merge_arms(spark.createDataFrame([(1, 2), (3, 4)], "node long, opposite long"), parts, 20, 20)
+    assert [(r.contig, r.arm) for r in sorted(merged.collect(), key=lambda r: r.idx)] == [(1, 0), (2, 0), (1, 1), (3, 1), (4, 0)]
+    assert [(r.node, r.stretch, r.contig, r.arm) for r in crushed.collect()] == [(1, 2, 5, 2)]
+
+
 def test_chains_over_bent_overlaps(spark):
     """Reads whose overlap holds a deletion or an insertion still close the gap,
     with the text of the earlier read; without a band they do not."""
