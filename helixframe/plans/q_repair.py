@@ -82,19 +82,23 @@ def _arms(spark, d):
     in odd orders it is turned round."""
     from pyspark.sql import Window
     w = Window.partitionBy("l_orderkey")
+    lines = w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     l = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("o"), F.row_number().over(w.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("r"),
+        F.col("l_orderkey").alias("o"), F.row_number().over(lines).alias("r"),
         F.count(F.lit(1)).over(w).alias("n"), F.floor("l_quantity").cast("long").alias("q"), (F.floor("l_extendedprice") % 60).cast("long").alias("c"))
     fork = (F.col("r") > 1) & (F.col("r") < F.col("n")) & (F.col("r") % 3 == 0)
-    own = l.select((F.col("o") * 2 + 1).alias("node"), (F.col("r") - 1).alias("idx"), (F.col("o") * 64 + F.col("r")).alias("contig"), (F.col("r") + 10).alias("len"), F.col("q").alias("cov"))
-    two = l.where(~fork | (F.col("q") % 2 == 0)).select(
-        "o", F.row_number().over(Window.partitionBy("o").orderBy("r")).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("o")).alias("m"),
-        F.when(fork, F.col("o") * 64 + 32 + F.col("r")).otherwise(F.col("o") * 64 + F.col("r")).alias("contig"), (F.col("r") + 10).alias("len"), F.when(fork, F.col("c")).otherwise(F.col("q")).alias("cov"))
+    l = l.withColumn("fork", fork).withColumn("kept", ~F.col("fork") | (F.col("q") % 2 == 0))
+    order = Window.partitionBy("o")
+    l = l.withColumn("i", F.count_if("kept").over(order.orderBy("r"))).withColumn("m", F.count_if("kept").over(order))
     turned = F.col("o") % 2 == 1
-    two = two.select((F.col("o") * 2 + 2).alias("node"), F.when(turned, F.col("m") - F.col("i")).otherwise(F.col("i") - 1).alias("idx"),
-                     F.when(turned, -F.col("contig")).otherwise(F.col("contig")).alias("contig"), "len", "cov")
-    pairs = l.select("o").distinct().select((F.col("o") * 2 + 1).alias("node"), F.when(turned, -(F.col("o") * 2 + 2)).otherwise(F.col("o") * 2 + 2).alias("opposite"))
-    return pairs, own.unionByName(two)
+    part = lambda node, idx, contig, cov: F.struct(node.alias("node"), idx.cast("long").alias("idx"), contig.alias("contig"), (F.col("r") + 10).alias("len"), cov.alias("cov"))
+    own = part(F.col("o") * 2 + 1, F.col("r") - 1, F.col("o") * 64 + F.col("r"), F.col("q"))
+    contig = F.col("o") * 64 + F.when(F.col("fork"), 32).otherwise(0) + F.col("r")
+    two = part(F.col("o") * 2 + 2, F.when(turned, F.col("m") - F.col("i")).otherwise(F.col("i") - 1), F.when(turned, -contig).otherwise(contig), F.when(F.col("fork"), F.col("c")).otherwise(F.col("q")))
+    parts = l.select(F.explode(F.array_compact(F.array(own, F.when(F.col("kept"), two)))).alias("p")).select("p.*")
+    pairs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o")).distinct().select(
+        (F.col("o") * 2 + 1).alias("node"), F.when(turned, -(F.col("o") * 2 + 2)).otherwise(F.col("o") * 2 + 2).alias("opposite"))
+    return pairs, parts
 
 
 @query("bubble_arms_merged", "G63 G64 G65", _MERGED_SQL)
