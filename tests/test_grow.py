@@ -115,3 +115,17 @@ def test_components(spark):
     got = dict(tuple(r) for r in grow.components(nodes, spark.createDataFrame(pairs, "a bigint, b bigint")).collect())
     want = {i: 1 if i <= 20 else 30 if i in (30, 33, 35, 40) else i for i in range(1, 41)}
     assert got == want
+
+
+def test_no_step_passes_through_the_driver(spark, monkeypatch):
+    """Every step table comes from joins that deal both sides by key."""
+    plans, write = [], grow.materialize
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, label)
+
+    monkeypatch.setattr(grow, "materialize", seen)
+    nodes, links = [(i, 50, i % 2, i == 4) for i in range(1, 6)], [(1, 2, 10), (2, 3, 10), (3, 4, 5)]
+    assert grown(spark, nodes, links, 10) == serial(nodes, links, 10)
+    assert any("Join" in p for _, p in plans) and [label for label, p in plans if "Broadcast" in p] == []
