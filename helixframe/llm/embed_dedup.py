@@ -11,10 +11,11 @@ float64 beyond.
 Vectors are put to the nearest of a few pivots (a bounded sample); by the
 triangle inequality of angles, two cells whose pivots are further apart than
 both radii plus the threshold's angle hold no link. Cells are cut into tiles of
-about ``TILE`` vectors, whatever their size, and each pair of tiles of pairs of
-cells that remain is one task-sized product. Equal vectors are one class. A pair
-of tiles returns link counts per class and a spanning forest of its links, never
-all pairs.
+about ``TILE`` vectors, whatever their size. The tiles are one step table, with 4
+bytes a number where single precision loses nothing; its partitions meet in pairs,
+read where they are needed, so the pairs of tiles of cells that remain are
+multiplied without a shuffle. Equal vectors are one class. A pair of tiles returns
+a spanning forest of its links and a task link counts per class, never all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different dimensions link with
@@ -29,16 +30,15 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
-from .tables import with_components
+from .tables import drop_table, stored, with_components
 
 TILE = 2048
 PIVOTS = 32       # bound of the sample that places the cells
-BLOCK = 512       # rows of a tile that are multiplied at once
+BLOCK = 128       # rows of a tile that are multiplied at once
+HELD = 64 << 20   # bytes of prepared tiles that a task keeps
 SLACK = 1e-9      # above every rounding error of the bounds
 
 
@@ -62,19 +62,30 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", unit(x), unit(y))
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of linked rows, in blocks of rows of ``x``."""
-    cx, sx, lx, ex = quantise(unit(x))
-    cy, sy, ly, ey = quantise(unit(y))
-    kind = np.float32 if 127 * 127 * x.shape[1] < 1 << 24 else np.float64
-    right = np.ascontiguousarray(cy.T.astype(kind))
-    # no pair of row i has a larger bound than this, nor a larger step
-    most = lx * ey.max() + ex * ly.max() + ex * ey.max()
-    least = (threshold - SLACK - most) / (sx * sy.max())
+def prepared(x: np.ndarray) -> tuple:
+    """What a tile brings to its products: the numbers, codes, step, length, loss."""
+    code, step, length, lost = quantise(unit(x))
+    return x, code.astype(np.float32 if exact_in_float(x.shape[1]) else np.float64), step, length, lost
+
+
+def exact_in_float(dim: int) -> bool:
+    return 127 * 127 * dim < 1 << 24
+
+
+def tile_links(left: tuple, right: tuple, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of linked rows of two prepared tiles, in blocks of rows of ``left``."""
+    (x, cx, sx, lx, ex), (y, cy, sy, ly, ey) = left, right
+    # no pair of row i has a larger bound than this, nor a step beyond these
+    rest = threshold - SLACK - (lx * ey.max() + ex * ly.max() + ex * ey.max())
+    least = rest / (sx * np.where(rest > 0, sy.max(), sy.min()))
+    least = np.nextafter(least.astype(cx.dtype), cx.dtype.type(-np.inf))
     for a in range(0, len(x), BLOCK):
-        product = cx[a:a + BLOCK].astype(kind) @ right
-        i, j = np.nonzero(product >= least[a:a + BLOCK, None])
-        value = product[i, j]
+        product = cx[a:a + BLOCK] @ cy.T
+        at = np.flatnonzero(product >= least[a:a + BLOCK, None])
+        if not len(at):
+            continue
+        i, j = np.divmod(at, len(y))
+        value = product.ravel()[at].astype(np.float64)
         i += a
         if same:
             value, i, j = value[i < j], i[i < j], j[i < j]
@@ -112,18 +123,18 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     ``component_id`` (smallest id reachable by links), ``kept``."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    parsed = materialize(_parsed(vectors, vec_id, embedding), "vectors")
+    given = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x"))
+    parsed = stored(given.mapInArrow(_digests, "id long, digest binary"), "vectors")
+    tiles = _tiles(given, parsed, threshold)
     # a class has a key of its own: its smallest id may stand for other vectors too
-    groups = parsed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
-    classes = materialize(groups.withColumn("key", F.monotonically_increasing_id()), "classes")
-    reps = (parsed.join(classes, "digest").where(F.col("id").eqNullSafe(F.col("rep")))
-            .select(F.col("key").alias("id"), "dim", "data", "size").dropDuplicates(["id"]))
-    found = _links(reps, threshold)
+    classes = stored(tiles.select("tile", "digests", "ids", "sizes").mapInArrow(_members, "key long, digest binary, rep long, size long"), "classes")
+    found = _links(tiles, threshold)
+    drop_table(tiles)
     counts = found.where("partner is null").groupBy("id").agg(F.sum("n").alias("n"))
     edges = found.where("partner is not null").select(F.col("id").alias("a"), F.col("partner").alias("b"))
     per_class = with_components(classes.join(counts, F.col("key") == F.col("id"), "left").drop("id"), "key", edges)
-    per_class = materialize(per_class.withColumnRenamed("component_id", "root"), "per-class")
-    lowest = materialize(per_class.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
+    per_class = stored(per_class.withColumnRenamed("component_id", "root"), "per-class")
+    lowest = stored(per_class.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
     per_class = per_class.join(lowest, "root").select("digest", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     return (parsed.select("id", "digest").join(per_class, "digest", "left")
             .select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -131,107 +142,169 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
             .withColumn("kept", F.coalesce(F.col(vec_id) == F.col("component_id"), F.lit(True))))
 
 
-def _parsed(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """id, dim, data (the numbers as double bytes), digest; null ones do not link."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(1)
-            data, digest, dim = [], [], []
-            at = column.offsets.to_numpy()
-            value = column.values.to_numpy(zero_copy_only=False).astype(np.float64)     # nulls become nan
-            there = column.is_valid().to_numpy(zero_copy_only=False)
-            for i in range(len(batch)):
-                x = value[at[i]:at[i + 1]]
-                good = bool(there[i]) and len(x) > 0 and bool(np.isfinite(x).all()) and bool(x.any())
-                raw = (x + 0.0).tobytes() if good else None      # -0.0 becomes 0.0
-                data.append(raw)
-                digest.append(hashlib.blake2b(raw, digest_size=16).digest() if good else None)
-                dim.append(len(x) if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dim, pa.int32()), pa.array(data, pa.binary()), pa.array(digest, pa.binary())],
-                                             ["id", "dim", "data", "digest"])
-
-    return vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("x")).mapInArrow(
-        run, "id long, dim int, data binary, digest binary")
-
-
-def _links(reps: DataFrame, threshold: float) -> DataFrame:
-    """Rows (id, n, null): linked vectors of a class met in one pair of tiles;
-    rows (id, null, partner): forest edges."""
-    reps = materialize(reps, "reps")
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("dim", "data").collect()
+def _read(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a batch that can link, borders of all rows, the numbers, and which
+    rows hold nothing that single precision would lose."""
+    at = column.offsets.to_numpy()
+    value = column.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0     # nulls become nan, -0.0 becomes 0.0
+    count = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[at])
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    good = there & (count(~np.isfinite(value)) == 0) & (count(value != 0) > 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        wide = count(value.astype(np.float32).astype(np.float64) != value) > 0
+    return good, at, value, ~wide
+
+
+def _digest(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, digest of the numbers; null where a row links with nothing."""
+    for batch in batches:
+        good, at, value, _ = _read(batch.column(1))
+        digest = [_digest(value[at[i]:at[i + 1]]) if good[i] else None for i in range(len(batch))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary())], ["id", "digest"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Different vectors of each batch (digest, smallest id, number of rows, dim,
+    data, cell, angle to its pivot); data has 4 bytes a number where they suffice.
+    The cell follows from whole numbers, so equal vectors never differ in it."""
+    codes = {d: np.rint(p / np.abs(p).max(axis=1, keepdims=True) * 127) for d, p in pivots.items()}
+    for batch in batches:
+        good, at, value, narrow = _read(batch.column(1))
+        ids = batch.column(0).to_pylist()
+        rows: dict[bytes, list] = {}
+        for i in np.flatnonzero(good):
+            x = value[at[i]:at[i + 1]]
+            row = rows.setdefault(digest := _digest(x), [digest, ids[i], 0, len(x), i])
+            row[2] += 1
+            if ids[i] is not None and (row[1] is None or ids[i] < row[1]):
+                row[1] = ids[i]
+        digest, rep, size, dim, first = map(list, zip(*rows.values())) if rows else ([], [], [], [], [])
+        dims, cell, angle = np.array(dim, dtype=np.int64), np.zeros(len(rows), dtype=np.int32), np.full(len(rows), np.pi)
+        for d in np.unique(dims):
+            if d in pivots:
+                k = np.flatnonzero(dims == d)
+                x = np.vstack([value[at[first[i]]:at[first[i] + 1]] for i in k])
+                code = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127)
+                c = (code @ codes[d].T / np.sqrt((codes[d] * codes[d]).sum(axis=1))).argmax(axis=1)
+                cell[k], angle[k] = c, np.arccos(np.clip(np.einsum("ij,ij->i", unit(x), pivots[d][c]), -1, 1))
+        data = [(x.astype(np.float32) if narrow[i] else x).tobytes() for i in first for x in (value[at[i]:at[i + 1]],)]
+        yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(dim, pa.int32()),
+                                          pa.array(data, pa.binary()), pa.array(cell), pa.array(angle)],
+                                         ["digest", "rep", "size", "dim", "data", "cell", "angle"])
+
+
+def _numbers(data: bytes, dim: int, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float32 if len(data) == 4 * dim * rows else np.float64).reshape(rows, dim).astype(np.float64)
+
+
+def _pack(t: pa.Table) -> pa.Table:
+    """One tile: its classes in the order of their digests, equal rows put together."""
+    rows: dict[bytes, list] = {}
+    for digest, rep, size, data in zip(*(t[c].to_pylist() for c in ("digest", "rep", "size", "data"))):
+        row = rows.setdefault(digest, [rep, 0, data])
+        row[1] += size
+        if rep is not None and (row[0] is None or rep < row[0]):
+            row[0] = rep
+    order, dim = sorted(rows), t["dim"][0].as_py()
+    data = [rows[k][2] for k in order]
+    if len({len(x) for x in data}) > 1:
+        data = [_numbers(x, dim, 1).tobytes() for x in data]
+    return pa.table({"tile": t["tile"][:1], "number": t["number"][:1], "near": t["near"][:1], "dim": t["dim"][:1],
+                     "digests": pa.array([b"".join(order)], pa.binary()), "ids": pa.array([[rows[k][0] for k in order]], pa.list_(pa.int64())),
+                     "sizes": pa.array([np.array([rows[k][1] for k in order], np.int64).tobytes()], pa.binary()), "data": pa.array([b"".join(data)], pa.binary())})
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes of the tiles: key (tile and place in it), digest, smallest id, size."""
+    for batch in batches:
+        for tile, digests, ids, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            yield pa.RecordBatch.from_arrays([pa.array((tile << 32) + np.arange(len(ids))), pa.array([digests[i:i + 16] for i in range(0, len(digests), 16)], pa.binary()),
+                                              pa.array(ids, pa.int64()), pa.array(np.frombuffer(sizes, np.int64))], ["key", "digest", "rep", "size"])
+
+
+def _tiles(given: DataFrame, parsed: DataFrame, threshold: float) -> DataFrame:
+    """Tiles of about ``TILE`` different vectors of one cell: tile, number of the
+    cell, numbers of the cells that may hold links with it, dim, and packed classes.
+    Vectors are read from the table whenever they are needed and travel once."""
+    spark, kind = given.sparkSession, "digest binary, rep long, size long, dim int, data binary, cell int, angle double"
+    chosen = parsed.where("digest is not null").select("digest").distinct().orderBy(F.xxhash64("digest"), "digest").limit(PIVOTS).collect()
+    known = given.mapInArrow(lambda batches: _vectors(batches, {}), kind).where(F.col("digest").isin([bytes(r["digest"]) for r in chosen]))
     pivots: dict[int, np.ndarray] = {}
-    for r in sample:
-        u = unit(np.frombuffer(r["data"], dtype=np.float64)[None, :])
-        pivots[r["dim"]] = np.vstack([pivots[r["dim"]], u]) if r["dim"] in pivots else u
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            cell, angle = np.zeros(len(t), dtype=np.int32), np.full(len(t), np.pi)
-            for dim, rows in t.groupby("dim").indices.items():
-                if dim in pivots:
-                    cos = unit(np.vstack([np.frombuffer(b, dtype=np.float64) for b in t["data"].iloc[rows]])) @ pivots[dim].T
-                    cell[rows] = cos.argmax(axis=1)
-                    angle[rows] = np.arccos(np.clip(cos.max(axis=1), -1, 1))
-            yield t.assign(cell=cell, angle=angle)
-
-    placed = materialize(reps.mapInPandas(place, "id long, dim int, data binary, size long, cell int, angle double"), "placed")
-    cells = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
-    cells = materialize(cells.withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")), "cells")
-
-    def pack(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("id")
-        return pd.DataFrame({"dim": t["dim"].iloc[:1], "cell": t["cell"].iloc[:1], "tile": t["tile"].iloc[:1],
-                             "ids": [t["id"].to_numpy(np.int64).tobytes()], "sizes": [t["size"].to_numpy(np.int64).tobytes()],
-                             "data": [b"".join(t["data"])]})
-
-    tiled = placed.join(cells.select("dim", "cell", "tiles"), ["dim", "cell"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiles = materialize(tiled.select("dim", "cell", "tile", "id", "size", "data").groupBy("dim", "cell", "tile")
-                        .applyInPandas(pack, "dim int, cell int, tile int, ids binary, sizes binary, data binary"), "tiles")
-    # cells of one dimension are at most PIVOTS, so their pairs are few
-    angle_of = [(int(d), i, j, float(np.arccos(np.clip(p[i] @ p[j], -1, 1)))) for d, p in pivots.items() for i in range(len(p)) for j in range(i, len(p))]
-    between = reps.sparkSession.createDataFrame(angle_of, "dim int, cell int, cell2 int, between double")
-    other = cells.select("dim", F.col("cell").alias("cell2"), F.col("radius").alias("radius2"), F.col("tiles").alias("tiles2"))
-    unplaced = cells.select("dim", "cell", F.col("cell").alias("cell2"), F.lit(0.0).alias("between")).where(~F.col("dim").isin(list(pivots)))
+    for r in known.groupBy("digest").agg(F.min(F.struct("dim", "data")).alias("v")).orderBy(F.xxhash64("digest"), "digest").collect():
+        u = unit(_numbers(bytes(r["v"]["data"]), r["v"]["dim"], 1))
+        pivots[r["v"]["dim"]] = np.vstack([pivots[r["v"]["dim"]], u]) if r["v"]["dim"] in pivots else u
+
+    placed = given.mapInArrow(lambda batches: _vectors(batches, pivots), kind)
+    # at most PIVOTS cells, and one for each dimension without a pivot
+    cells = placed.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).orderBy("dim", "cell").collect()
     limit = float(np.arccos(min(threshold, 1.0))) + 1e-6
-    # pairs of cells, then pairs of their tiles by number: i of one, j of the other
-    todo = (cells.join(between.unionByName(unplaced), ["dim", "cell"]).join(other, ["dim", "cell2"])
-            .where(F.col("between") <= F.col("radius") + F.col("radius2") + limit)
-            .withColumn("tile", F.explode(F.expr("sequence(0, tiles - 1)")))
-            .withColumn("tile2", F.explode(F.expr("sequence(if(cell = cell2, tile, 0), tiles2 - 1)")))
-            .select("dim", "cell", "tile", "cell2", "tile2"))
-    second = tiles.select("dim", F.col("cell").alias("cell2"), F.col("tile").alias("tile2"), F.col("ids").alias("ids2"),
-                          F.col("sizes").alias("sizes2"), F.col("data").alias("data2"))
-    pairs = todo.join(tiles, ["dim", "cell", "tile"]).join(second, ["dim", "cell2", "tile2"])
-    pairs = pairs.select("dim", ((F.col("cell") == F.col("cell2")) & (F.col("tile") == F.col("tile2"))).alias("same"),
-                         "ids", "sizes", "data", "ids2", "sizes2", "data2")
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    of_dim: dict[int, list[int]] = {}
+    for k, c in enumerate(cells):
+        of_dim.setdefault(c["dim"], []).append(k)
+
+    def meet(a, b) -> bool:
+        p = pivots.get(a["dim"])
+        between = 0.0 if p is None else float(np.arccos(np.clip(p[a["cell"]] @ p[b["cell"]], -1, 1)))
+        return between <= a["radius"] + b["radius"] + limit
+
+    rows, base = [], 0
+    for k, c in enumerate(cells):
+        n = -(-c["n"] // TILE)
+        rows.append((c["dim"], c["cell"], k, base, n, [m for m in of_dim[c["dim"]] if m == k or meet(c, cells[m])]))
+        base += n
+    cells = F.broadcast(spark.createDataFrame(rows, "dim int, cell int, number int, base long, tiles long, near array<int>"))
+    dealt = placed.join(cells, ["dim", "cell"]).withColumn("tile", F.col("base") + F.pmod(F.xxhash64("digest"), F.col("tiles")))
+    return stored(dealt.select("tile", "number", "near", "dim", "digest", "rep", "size", "data").groupBy("tile").applyInArrow(
+        _pack, "tile long, number int, near array<int>, dim int, digests binary, ids array<long>, sizes binary, data binary"), "tiles")
+
+
+def _links(tiles: DataFrame, threshold: float) -> DataFrame:
+    """Rows (id, n, null): linked vectors of a class met in pairs of tiles;
+    rows (id, null, partner): forest edges. Tiles meet as partitions of their
+    table, each read where it is needed: pairs of tiles are never shuffled."""
+    first = tiles.select("tile", "number", "near", "dim", "sizes", "data")
+    second = tiles.select(F.col("tile").alias("tile2"), F.col("number").alias("number2"), F.col("sizes").alias("sizes2"), F.col("data").alias("data2"))
+    # each pair once; by turns the lower or the higher tile comes first, so partitions get equal shares
+    once = (F.col("tile") == F.col("tile2")) | ((F.col("tile") < F.col("tile2")) == ((F.col("tile") + F.col("tile2")) % 2 == 0))
+    pairs = first.join(second.hint("shuffle_replicate_nl"), F.array_contains("near", F.col("number2")) & once)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}      # the second sides come again for every first one
+        count: dict[int, np.ndarray] = {}
+
+        def tile(key: int, dim: int, sizes: pa.Scalar, data: pa.Scalar) -> tuple:
+            if key not in held:
+                size = np.frombuffer(sizes.as_py(), np.int64)
+                if held and 16 * dim * len(size) * (len(held) + 1) > HELD:
+                    held.pop(next(iter(held)))
+                held[key] = prepared(_numbers(data.as_py(), dim, len(size))), size
+            count.setdefault(key, np.zeros(len(held[key][1]), dtype=np.int64))
+            return held[key]
+
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                ids, ids2 = np.frombuffer(r.ids, np.int64), np.frombuffer(r.ids2, np.int64)
-                size, size2 = np.frombuffer(r.sizes, np.int64), np.frombuffer(r.sizes2, np.int64)
-                x = np.frombuffer(r.data, np.float64).reshape(-1, r.dim)
-                y = np.frombuffer(r.data2, np.float64).reshape(-1, r.dim)
-                n = len(ids)
-                count, count2 = np.zeros(n, dtype=np.int64), np.zeros(len(ids2), dtype=np.int64)
-                shift = 0 if r.same else n
-                nodes = n + (0 if r.same else len(ids2))
+            for r, (t, t2, dim) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("tile", "tile2", "dim")))):
+                x, size = tile(t, dim, batch.column("sizes")[r], batch.column("data")[r])
+                y, size2 = tile(t2, dim, batch.column("sizes2")[r], batch.column("data2")[r])
+                n, shift = len(size), 0 if t == t2 else len(size)
+                nodes = n + (0 if t == t2 else len(size2))
                 root = np.arange(nodes)
-                for i, j in tile_links(x, y, threshold, r.same):
-                    np.add.at(count, i, size2[j])
-                    np.add.at(count2, j, size[i])
+                for i, j in tile_links(x, y, threshold, t == t2):
+                    np.add.at(count[t], i, size2[j])
+                    np.add.at(count[t2], j, size[i])
                     new = root[i] != root[j + shift]
                     if new.any():
                         joined = forest(nodes, root[i[new]], root[j[new] + shift])
                         root = joined[root]
-                if r.same:
-                    count, all_ids = count + count2, ids
-                else:
-                    count, all_ids = np.concatenate([count, count2]), np.concatenate([ids, ids2])
-                met = np.flatnonzero(count)
                 hung = np.flatnonzero(root != np.arange(nodes))
-                yield pd.DataFrame({"id": all_ids[met], "n": pd.array(count[met], dtype="Int64"), "partner": pd.array([None] * len(met), dtype="Int64")})
-                yield pd.DataFrame({"id": all_ids[hung], "n": pd.array([None] * len(hung), dtype="Int64"), "partner": pd.array(all_ids[root[hung]], dtype="Int64")})
+                if len(hung):
+                    key = np.concatenate([(t << 32) + np.arange(n), (t2 << 32) + np.arange(nodes - n)])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[hung]), pa.nulls(len(hung), pa.int64()), pa.array(key[root[hung]])], ["id", "n", "partner"])
+        for t, n in count.items():
+            met = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array((t << 32) + met), pa.array(n[met]), pa.nulls(len(met), pa.int64())], ["id", "n", "partner"])
 
-    work = pairs.repartition(F.xxhash64("ids", "ids2"))
-    return materialize(work.mapInPandas(multiply, "id long, n long, partner long"), "links")
+    return stored(pairs.select("tile", "tile2", "dim", "sizes", "data", "sizes2", "data2").mapInArrow(multiply, "id long, n long, partner long"), "links")

@@ -12,6 +12,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, label: str = "step") -> DataFrame:
+    """A step table, without the shuffle files of its job: nothing reads them again,
+    but Spark keeps them until the driver happens to collect its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b: long).
 
@@ -23,12 +35,12 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     an empty table for no edges.
     """
     both = edges.where("a is not null and b is not null and a <> b")
-    now = materialize(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    now = stored(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     signature = None
     while True:
         large = _star(now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), small=False)
         small = _star(large, small=True)
-        after = materialize(small, label)
+        after = stored(small, label)
         drop_table(now)
         now = after
         row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.pmod(F.hash("u", "v"), F.lit(1 << 20))).alias("s")).first()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from llm_cases import DOC, groups, prose
 
-from helixframe.llm import embed_dedup, mix, packing
+from helixframe.llm import embed_dedup, mix, packing, tables
 from pyspark.sql import functions as F
 import random
 
@@ -85,6 +85,34 @@ def test_near_vectors_with_repeated_and_missing_ids(spark):
     assert (4, 2, 1, False) in got and (3, 2, 1, False) in got and (9, 2, 9, True) in got
 
 
+def test_pairs_of_tiles_are_not_shuffled(spark, monkeypatch):
+    """Vectors travel once, with 4 bytes a number where that loses nothing."""
+    monkeypatch.setattr(embed_dedup, "TILE", 15)
+    plans, keep = {}, embed_dedup.stored
+    monkeypatch.setattr(embed_dedup, "stored", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), keep(df, label))[1])
+    sizes, pack = [], embed_dedup._tiles
+    monkeypatch.setattr(embed_dedup, "_tiles", lambda *a: (t := pack(*a), sizes.extend((r.dim, len(r.sizes) // 8, len(r.data)) for r in t.collect()))[0])
+    rng = np.random.default_rng(3)
+    x = np.float32(rng.normal(size=(9, 6))[rng.integers(0, 9, 120)] + rng.normal(scale=0.2, size=(120, 6))).astype(float)
+    y = rng.normal(size=(3, 5))[rng.integers(0, 3, 40)] + rng.normal(scale=0.1, size=(40, 5))
+    rows = list(enumerate([list(map(float, r)) for r in [*x, *x[:30], *y, *y[:5], *(np.float32(y[:5]).astype(float))]]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embed_dedup.near_vectors(df, threshold=0.9).collect()}
+    assert got == brute(rows, 0.9)
+    assert "CartesianProduct" in plans["links"] and "Exchange" not in plans["links"]
+    assert plans["tiles"].count("Exchange hashpartitioning") == 1
+    assert {n for d, n, b in sizes} != {1} and all(b == 4 * d * n for d, n, b in sizes if d == 6) and any(b == 8 * d * n for d, n, b in sizes if d == 5)
+
+
+def test_step_tables_leave_no_shuffle_files(spark):
+    made = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = lambda: {f for f in (str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(made())) if "shuffle_" in f}
+    before = files()
+    kept = tables.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    assert not files() - before and kept.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(9)
     u, v = (embed_dedup.unit(rng.normal(size=(300, 40)) * rng.exponential(size=(1, 40))) for _ in range(2))
