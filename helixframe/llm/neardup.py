@@ -17,9 +17,13 @@ the sketches leave possible join documents to crowds, links join them to
 components. Inside a crowd only documents outside its largest component are
 compared further, in tiles of packed sets: shared shingles of a pair of tiles are
 counted by one matrix product, and a tile returns a spanning forest of its
-links. A document that shares a list with a larger crowd is compared with it as a
-guest, in the same tiles; pairs of a list between small crowds are compared one
-by one. No group of copies is ever written out as pairs.
+links. A document that shares a list with a document of a larger crowd is compared
+with that crowd as a guest, in the same tiles; pairs of a list between small crowds
+are compared one by one. For both, 256 bits that the retained values set travel with
+the lists: a bit that only one document has stands for a value of its own, which
+bounds what two have in common. Pairs that cannot reach ``least`` are dropped in the
+join of the lists, before they are rows. No group of copies is ever written out as
+pairs. Texts that are not asked for are dropped where they are read.
 
 Defined cases: null and empty texts have an empty set and link with nothing;
 rows without an id stand alone (component null, kept); rows that repeat an id
@@ -37,10 +41,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import is_empty, materialize
+from ..session import is_empty
 from . import words as W
 from .embed_dedup import forest
-from .tables import components, drop_table, with_components
+from .tables import components, drop_table, may_hold, stored, with_components
 
 K = 48
 LEAST = 21
@@ -49,6 +53,7 @@ TILE = 500_000         # shingles of a tile of a crowd, about
 TILE_ROWS = 1000       # documents of a tile, about
 COLUMNS = 4096         # shingles that are counted at once
 LARGE = 16             # documents from which a crowd takes guests
+MARKS = ["m0", "m1", "m2", "m3"]      # 256 bits that the retained values set
 
 
 def loss(k: int, similarity: float, least: int) -> float:
@@ -84,7 +89,7 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, size: int, k: int) -> DataFrame:
-    """id, n (set size), digest (of the whole set), sketch (k smallest hashes)."""
+    """id, n (set size), digest (of the whole set), sketch (k smallest hashes), marks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in W.pieces(batches, "text"):
             value, at = shingles(piece.column(1), size)
@@ -92,13 +97,16 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, k: int) -> Data
             taken = np.minimum(count, k)
             first = np.concatenate([[0], np.cumsum(taken)])
             idx = np.repeat(at[:-1], taken) + np.arange(first[-1]) - np.repeat(first[:-1], taken)
+            bit, word = np.left_shift(np.uint64(1), value[idx].view(np.uint64) & np.uint64(63)), value[idx] >> 6 & 3
+            marks = [np.where(taken > 0, np.bitwise_or.reduceat(np.append(np.where(word == w, bit, np.uint64(0)), np.uint64(0)), first[:-1]), np.uint64(0)) for w in range(len(MARKS))]
             digest = [hashlib.blake2b(value[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(count.astype(np.int64)), pa.array(digest, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value[idx]))], ["id", "n", "digest", "sketch"])
+                 pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(value[idx])), *[pa.array(m.view(np.int64)) for m in marks]],
+                ["id", "n", "digest", "sketch", *MARKS])
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        run, "id long, n long, digest binary, sketch array<long>")
+        run, "id long, n long, digest binary, sketch array<long>, " + ", ".join(f"{m} long" for m in MARKS))
 
 
 def _rare(reps: DataFrame, least: int, percent: int) -> DataFrame:
@@ -129,11 +137,20 @@ def _likely(pairs: DataFrame, reps: DataFrame, k: int, least: int, percent: int)
     return both.where(near).select("a", "b", F.when(whole, inter * 100 >= all_ * percent).otherwise(common >= least).alias("possible"))
 
 
+def _may_link(k: int, least: int, percent: int) -> Column:
+    """Whether the marks of documents x and y leave it possible that ``_likely``
+    finds them possible. Each bit that only one has stands for a value of its own."""
+    alone = lambda one, other: sum(F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{m}")))) for m in MARKS)
+    common = F.least(F.least("x.n", F.lit(k)) - alone("x", "y"), F.least("y.n", F.lit(k)) - alone("y", "x"))
+    whole = (F.col("x.n") < k) & (F.col("y.n") < k)
+    return F.when(whole, common * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))).otherwise(common >= least)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs with 100 * |A and B| >= percent * |A or B| on their full sets."""
-    # the ids grow with the documents, so they are never broadcast
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = materialize(docs.join(ids.hint("merge"), "id", "left_semi"), "texts")
+    # the ids grow with the documents, so they are never broadcast, only bits of them
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    texts = stored(may_hold(docs, ids, "id").join(ids.hint("merge"), "id"), "texts")     # a semi join would move below the filter
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -149,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     ok.append(inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter))
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    edges = materialize(both.mapInArrow(run, "a long, b long"), "links")
+    edges = stored(both.mapInArrow(run, "a long, b long"), "links")
     drop_table(texts)
     drop_table(ids)
     return edges
@@ -200,7 +217,7 @@ def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int
     # documents outside the largest component and guests, and those in it
     own = nodes.join(main, "crowd").withColumn("out", F.col("component_id") != F.col("main"))
     told = nodes.select("id", "n", "component_id").join(guests, "id").withColumn("out", F.lit(True))
-    sides = materialize(own.drop("main").unionByName(told), "sides")
+    sides = stored(own.drop("main").unionByName(told), "sides")
     tiles = sides.groupBy("crowd", "out").agg(F.greatest(F.ceil(F.sum("n") / TILE), F.ceil(F.count(F.lit(1)) / TILE_ROWS)).cast("int").alias("tiles"))
     sides = sides.join(tiles, ["crowd", "out"]).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     sides = sides.select("id", "crowd", "out", "tile", "component_id")
@@ -211,7 +228,7 @@ def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int
             raw = W.arrow_binary(v.view(np.uint8), at * 8)
             yield pa.RecordBatch.from_arrays([*[piece.column(i) for i in (0, 2, 3, 4, 5)], raw], ["id", "crowd", "out", "tile", "component_id", "set"])
 
-    rows = docs.join(sides.hint("merge"), "id").select("id", "text", "crowd", "out", "tile", "component_id").mapInArrow(
+    rows = may_hold(docs, sides, "id").join(sides.hint("merge"), "id").select("id", "text", "crowd", "out", "tile", "component_id").mapInArrow(
         packed, "id long, crowd long, out boolean, tile int, component_id long, set binary")
 
     def pack(t: pd.DataFrame) -> pd.DataFrame:
@@ -220,7 +237,7 @@ def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int
         return pd.DataFrame({"crowd": t["crowd"].iloc[:1], "out": t["out"].iloc[:1], "tile": t["tile"].iloc[:1], "ids": [t["id"].to_numpy(np.int64).tobytes()],
                              "parts": [t["component_id"].to_numpy(np.int64).tobytes()], "sizes": [size_.tobytes()], "sets": [b"".join(t["set"])]})
 
-    packs = materialize(rows.groupBy("crowd", "out", "tile").applyInPandas(pack, "crowd long, out boolean, tile int, ids binary, parts binary, sizes binary, sets binary"), "tiles")
+    packs = stored(rows.groupBy("crowd", "out", "tile").applyInPandas(pack, "crowd long, out boolean, tile int, ids binary, parts binary, sizes binary, sets binary"), "tiles")
     first = tiles.where("out").select("crowd", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     other = tiles.select("crowd", F.col("out").alias("out2"), F.col("tiles").alias("tiles2"))
     todo = first.join(other, "crowd").withColumn("tile2", F.explode(F.sequence(F.lit(0), F.col("tiles2") - 1))).where("not out2 or tile2 >= tile")
@@ -242,7 +259,7 @@ def _crowd_links(nodes: DataFrame, guests: DataFrame, docs: DataFrame, size: int
                 hung = np.flatnonzero(root != np.arange(len(root)))
                 yield pd.DataFrame({"a": all_ids[hung], "b": all_ids[root[hung]]})
 
-    return materialize(work.repartition(F.xxhash64("ids1", "ids2")).mapInPandas(multiply, "a long, b long"), "links")
+    return stored(work.repartition(F.xxhash64("ids1", "ids2")).mapInPandas(multiply, "a long, b long"), "links")
 
 
 def _near(x: Column, y: Column, percent: int) -> Column:
@@ -254,35 +271,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     k: int = K, least: int = LEAST) -> DataFrame:
     """One row per document: the id, ``n_shingles``, ``component_id`` (smallest
     id of its group of linked documents), ``kept`` (whether it is that one)."""
-    sets = materialize(sketches(docs, doc_id, text, size, k), "sketches")
-    classes = materialize(sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = materialize(sets.where("n > 0").join(classes, (F.col("id") == F.col("rep")) & (sets["digest"] == classes["digest"]), "left_semi")
-                       .select("id", "n", "sketch"), "reps")
-    rare = materialize(_rare(reps, least, percent), "lists")
+    sets = stored(sketches(docs, doc_id, text, size, k), "sketches")
+    classes = stored(sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    reps = stored(sets.where("n > 0").join(classes, (F.col("id") == F.col("rep")) & (sets["digest"] == classes["digest"]), "left_semi")
+                  .select("id", "n", "sketch", *MARKS), "reps")
+    thin = stored(sets.select("id", "n", "digest"), "rows")
+    drop_table(sets)
+    rare = stored(_rare(reps, least, percent), "lists")
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    stars = materialize(_stars(rare, percent), "pairs")
-    likely = materialize(_likely(stars, reps, k, least, percent), "likely")
+    stars = stored(_stars(rare, percent), "pairs")
+    likely = stored(_likely(stars, reps, k, least, percent), "likely")
     edges = _verified(likely.where("possible").select("a", "b"), texts, size, percent)
     crowd = components(likely.select("a", "b"), "crowd").select(F.col("node").alias("id"), F.col("component").alias("crowd"))
-    nodes = reps.select("id", "n").join(crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", "id"))
-    nodes = materialize(with_components(nodes, "id", edges), "nodes")
+    nodes = reps.select("id", "n", *MARKS).join(crowd, "id", "left").withColumn("crowd", F.coalesce("crowd", "id"))
+    nodes = stored(with_components(nodes, "id", edges), "nodes")
     large = nodes.groupBy("crowd").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= LARGE).select("crowd", F.lit(True).alias("large"))
-    where = nodes.select("id", "crowd").join(large, "crowd", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    placed = materialize(rare.join(where, "id"), "placed")
+    where = nodes.select("id", "crowd", *MARKS).join(large, "crowd", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    placed = stored(rare.join(where, "id"), "placed")
+    drop_table(rare)
+    may = _may_link(k, least, percent) & _near(F.col("x.n"), F.col("y.n"), percent)
+    # a guest of a crowd shares a list with a document of it that it may be linked to
     hosts = placed.where("large").select("v", F.col("crowd").alias("host")).distinct()
-    guests = placed.join(hosts, "v").where("crowd <> host and (not large or crowd < host)").select("id", F.col("host").alias("crowd")).distinct()
-    edges = edges.unionByName(_crowd_links(nodes, materialize(guests, "guests"), texts, size, percent))
+    asked = placed.join(hosts, "v").where("crowd <> host and (not large or crowd < host)").select("v", "host", "id", "n", *MARKS)
+    guests = (asked.alias("x").join(placed.where("large").alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.host") == F.col("y.crowd")) & may)
+              .select("x.id", F.col("x.host").alias("crowd")).distinct())
+    edges = edges.unionByName(_crowd_links(nodes.drop(*MARKS), stored(guests, "guests"), texts, size, percent))
 
     small = placed.where("not large")
     x, y = small.alias("x"), small.alias("y")
-    rest = (x.join(y, F.col("x.v") == F.col("y.v"))
-            .where((F.col("x.id") < F.col("y.id")) & (F.col("x.crowd") != F.col("y.crowd")) & _near(F.col("x.n"), F.col("y.n"), percent))
+    # pairs of a list are looked at in the join; only those that may be linked are rows
+    rest = (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.crowd") != F.col("y.crowd")) & may)
             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
             .join(stars, ["a", "b"], "left_anti"))
-    possible = _likely(materialize(rest, "pairs"), reps, k, least, percent).where("possible").select("a", "b")
-    more = _verified(materialize(possible, "possible"), texts, size, percent)
+    rest = stored(rest, "pairs")
+    drop_table(placed)
+    possible = _likely(rest, reps, k, least, percent).where("possible").select("a", "b")
+    more = _verified(stored(possible, "possible"), texts, size, percent)
+    drop_table(reps)
     # members of a class hang on its smallest id
-    members = sets.join(classes, "digest", "left").select("id", "n", "rep")
+    members = thin.join(classes, "digest", "left").select("id", "n", "rep")
     found = with_components(classes.select("rep").distinct(), "rep", edges.unionByName(more)).select("rep", "component_id")
     return (members.join(found, "rep", "left")
             .select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -303,6 +330,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     else:
         order = [F.col(doc_id).asc_nulls_last(), F.xxhash64(text).asc()]
         ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-        numbered = materialize(ranged.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        numbered = stored(ranged.withColumn(row, F.monotonically_increasing_id()), "numbered")
     gone = near_duplicates(numbered, row, text, size, percent).where(~F.col("kept")).select(F.col(row).alias("_gone"))
     return numbered.join(gone.withColumnRenamed("_gone", row), row, "left_anti").select(*docs.columns)

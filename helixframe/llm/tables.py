@@ -24,6 +24,20 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
         conf.unset(name) if before is None else conf.set(name, before)
 
 
+WORDS = 1 << 20        # most words of 64 bits of a filter
+
+
+def may_hold(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be one of ``ids``: all that are, and about
+    one of 16 others. Ids set bits of a table of bounded size, which is broadcast."""
+    words = min(WORDS, 1 << max(ids.count() // 4 - 1, 0).bit_length())
+    hashed = F.xxhash64(F.col(key).cast("long"))
+    word, bit = F.pmod(hashed, F.lit(words)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    bits = ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    found = df.withColumn("_word", word).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return found.select(*df.columns)
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest reachable id of every node of ``edges`` (a, b: long).
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from llm_cases import documents, groups, prose, texts_with_copies, words
 
-from helixframe.llm import neardup, rules, substring
+from helixframe.llm import neardup, rules, substring, tables
 from helixframe.llm.tables import components
 
 
@@ -157,3 +157,61 @@ def test_keep_one_goes_by_text_where_ids_repeat(spark):
     assert got == sorted([(7, a), (3, b), (None, c), (9, ""), (9, ""), (None, None)], key=str)
     plain = neardup.keep_one(docs.where("_gone in (1, 4)"), size=2)
     assert plain.columns == docs.columns and plain.count() == 2
+
+
+def test_unlike_documents_of_a_list_are_no_rows(spark, monkeypatch):
+    """A phrase in common makes neither guests of a crowd nor pairs, and texts
+    that nothing asks for are dropped before they are dealt out."""
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(120)]
+    crowd = []
+    for i in range(24):
+        words = list(base)
+        for k in rng.sample(range(20, 120), 3):
+            words[k] = f"z{i}q{k}"
+        crowd.append(words)
+    phrase = base[:20]
+    other = [phrase + [f"d{i}w{j}" for j in range(100)] for i in range(40)]
+    almost = [[w if k % 9 else f"y{k}" for k, w in enumerate(base)], base[:115]]
+    texts = [" ".join(w) for w in [*crowd, *other, *almost]]
+    made, plans, keep = {}, {}, neardup.stored
+
+    def stored(df, label):
+        out = keep(df, label)
+        made.setdefault(label, []).append(out.count())
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(neardup, "stored", stored)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(spark, texts), size=2).collect()}
+    sets = [{(a, b) for a, b in zip(t.split(), t.split()[1:])} for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert got == groups(range(len(texts)), links) and len(set(got.values())) > 40
+    assert made["guests"][0] <= 2 and made["pairs"][1] <= 2
+    joins = [x for x in plans["texts"].split("\n") if "Join" in x]
+    assert len(joins) == 2 and "_bits" in joins[1] and "strategy=broadcast" in joins[1]      # the filter comes first
+
+
+def test_filter_of_ids(spark):
+    ids = spark.range(0, 30000, 7).withColumnRenamed("id", "k")
+    rows = spark.range(30000).withColumnRenamed("id", "k")
+    for words in (1, 64, 1 << 20):
+        tables.WORDS, before = words, tables.WORDS
+        kept = {r.k for r in tables.may_hold(rows, ids, "k").collect()}
+        tables.WORDS = before
+        assert kept >= set(range(0, 30000, 7)) and (words < 1 << 20 or len(kept) < 30000 // 7 + 3000)
+    assert tables.may_hold(rows, ids.limit(0), "k").collect() == []
+
+
+def test_marks_bound_what_two_sketches_share(spark):
+    rng = random.Random(2)
+    pool = [f"p{i}" for i in range(70)]
+    texts = [" ".join(rng.sample(pool, rng.choice((3, 20, 45, 60)))) for _ in range(40)]
+    texts += [" ".join(x.split()[:-1]) for x in texts[:20]] + ["", "one", "one"]
+    s = neardup.sketches(documents(spark, texts), "doc_id", "text", 1, 48).localCheckpoint()
+    x, y = s.alias("x"), s.alias("y")
+    may = x.join(y, (F.col("x.id") < F.col("y.id")) & (F.col("x.n") > 0) & (F.col("y.n") > 0)).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), neardup._may_link(48, 21, 80).alias("may"))
+    allowed = {(r.a, r.b) for r in may.where("may").collect()}
+    possible = {(r.a, r.b) for r in neardup._likely(may.select("a", "b"), s, 48, 21, 80).where("possible").collect()}
+    assert possible <= allowed and 20 < len(possible) and len(allowed) < may.count()
