@@ -128,6 +128,21 @@ def test_distances_of_tiles(spark, capsys, tile):
         assert m.rdd.getNumPartitions() > 8
 
 
+def test_sequences_travel_once_to_their_distances(spark):
+    """Pairs of groups are not dealt out; ids that repeat are cut into pieces of a group."""
+    r = random.Random(6)
+    vectors = [(r.choice((3, 3, 3, i)), [float(r.randrange(9)) for _ in range(r.choice((3, 3, 4)))]) for i in range(90)] + [(None, [1.0, 2.0, 3.0]), (4, [None, 2.0, 3.0])]
+    df = spark.createDataFrame(vectors, "id int, vec array<double>").repartition(3)
+    m = cp.distance_matrix(df, "vec", tile=6)
+    want = sorted(((a, b, math.dist(v, w) if len(v) == len(w) and None not in v + w else None) for a, v in vectors for b, w in vectors
+                   if a is not None and b is not None and a < b), key=str)
+    got = sorted(map(tuple, m.collect()), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-12) for (*_, x), (*_, y) in zip(got, want))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan
+    assert m.schema["id1"].dataType.simpleString() == "int"
+
+
 def test_distances_of_named_sequences(spark):
     df = spark.createDataFrame([("b", [0.0, 3.0]), ("a", [4.0, 0.0]), ("c", [0.0, 0.0])], "id string, vec array<double>")
     assert sorted(map(tuple, cp.distance_matrix(df, "vec").collect())) == [("a", "b", 5.0), ("a", "c", 4.0), ("b", "c", 3.0)]
